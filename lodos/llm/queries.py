@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, secrets, sharding
+from . import line_dedup, mixing, quality, secrets, sharding, simhash, telephony
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_telephony_audio": telephony.op4_telephony_audio,
+        "op8_quality_rules": quality.op8_quality_rules,
+        "op9_mixing": mixing.op9_mixing,
         "op10_sharding": sharding.op10_sharding,
     }
 
