@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, quality, secrets, sharding, simhash, telephony
+from . import line_dedup, mixing, pieces, quality, secrets, sharding, simhash, telephony, training_order
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_telephony_audio": telephony.op4_telephony_audio,
+        "op5_sentencepiece": pieces.op5_sentencepiece,
+        "op7_training_order": training_order.op7_training_order,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_mixing": mixing.op9_mixing,
         "op10_sharding": sharding.op10_sharding,
