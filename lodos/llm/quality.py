@@ -210,6 +210,25 @@ def judged(docs: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= model.threshold))
 
 
+def kept_documents(docs: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns; nothing is shuffled for it."""
+    model = fit(docs, labels, **options)
+    held = docs.sparkSession.sparkContext.broadcast(model.ratio)
+    threshold, at, buckets = model.threshold, docs.columns.index("text"), len(model.ratio)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stay = []
+            for text in batch.column(at).cast(pa.binary()).to_pylist():
+                words = (text or b"").split()
+                ids = _numbered(words)
+                good = len(words) >= 50 and 100 * _repeated(ids) <= 50 * len(words)
+                stay.append(good and float(held.value[_grams(ids, buckets)].mean()) >= threshold)
+            yield batch.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every row of ``documents``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, pieces, quality, secrets, sharding, simhash, telephony, training_order
+from . import line_dedup, mixing, pieces, quality, secrets, sharding, simhash, suffix_dedup, telephony, training_order
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_telephony_audio": telephony.op4_telephony_audio,
         "op5_sentencepiece": pieces.op5_sentencepiece,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_training_order": training_order.op7_training_order,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_mixing": mixing.op9_mixing,
