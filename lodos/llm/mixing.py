@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of, written
+from .common import WORD, documents, text_of, written
 
 MOST_CELLS = 200_000
 ROUNDS, CLOSE = 500, 1e-10
@@ -36,16 +36,15 @@ ALPHA = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 
 def tokens_of(text: Column) -> Column:
     """The number of words of a text."""
-    bare = F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
-    return F.when(bare == "", 0).otherwise(F.length(bare) - F.length(F.translate(bare, " ", "")) + 1).cast("long")
+    return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
 def topic_of(text: Column) -> Column:
     """A coarse topic by form, where the data have none: table, contact, verse (short lines) or prose."""
-    size = F.length(text)
-    count = lambda c: size - F.length(F.translate(text, c, ""))
+    size = F.octet_length(text)
+    count = lambda c: size - F.octet_length(F.replace(text, F.lit(c), F.lit("")))
     return (
-        F.when(count("|") * 50 > size, "table").when(count("@") > 0, "contact").when(count("\n") * 60 > size, "verse").otherwise("prose")
+        F.when(count("|") * 50 > size, "table").when(F.contains(text, F.lit("@")), "contact").when(count("\n") * 60 > size, "verse").otherwise("prose")
     )
 
 
