@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import letter_queries, token_queries
+from . import analysis_queries, letter_queries, token_queries
 
-_MODULES = (letter_queries, token_queries)
+_MODULES = (letter_queries, token_queries, analysis_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
