@@ -62,6 +62,8 @@ def rake(sizes: np.ndarray, dims: list[np.ndarray], targets: list[np.ndarray], r
     than ``close``; where targets contradict the empty cells, it stops after ``rounds``.
     """
     w = sizes.astype(float) / max(sizes.sum(), 1e-300)
+    if not len(w):
+        return w
     for _ in range(rounds):
         off = 0.0
         for at, want in zip(dims, targets, strict=True):
