@@ -21,11 +21,11 @@ only the id and text columns are read. A vocabulary that lacks one of the 256 by
 from __future__ import annotations
 
 import gc
-import hashlib
 import heapq
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -38,11 +38,26 @@ from .common import documents, text_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 #: Spans that a worker remembers before it begins anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: What a byte piece costs beyond the rarest piece, in thousandths.
 BYTE_COST = 4000
 #: More than any cost.
 NEVER = 1 << 60
+#: Slots of the table that finds pieces for many spans at once, and the multipliers of its hash (which has 18 bits).
+SLOTS, STEP, MIX = 1 << 18, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+#: Longer spans are passed one by one; text characters are encoded together up to so many.
+LONG, TOGETHER = 32, 4 << 20
+SIZES = (4, 8, 12, 16, 24, LONG)
+
+
+def piece_bytes(model) -> list[bytes]:  # noqa: ANN001
+    """What each id of a SentencePiece model stands for; nothing for control pieces."""
+    out = []
+    for i in range(model.get_piece_size()):
+        name = model.id_to_piece(i)
+        raw = bytes([int(name[3:5], 16)]) if model.is_byte(i) else name.replace("▁", " ").encode()
+        out.append(b"" if model.is_control(i) or model.is_unknown(i) else raw)
+    return out
 
 
 class Vocabulary:
@@ -53,20 +68,14 @@ class Vocabulary:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces: dict[str, tuple[int, int]] = {}
-        self.bytes: list[bytes] = []
+        self.bytes = piece_bytes(model)
         byte_ids: dict[int, int] = {}
         plain = []
-        for i in range(model.get_piece_size()):
-            name = model.id_to_piece(i)
+        for i, raw in enumerate(self.bytes):
             if model.is_byte(i):
-                byte_ids[int(name[3:5], 16)] = i
-                self.bytes.append(bytes([int(name[3:5], 16)]))
-            elif model.is_control(i) or model.is_unknown(i):
-                self.bytes.append(b"")
-            else:
-                text = name.replace("▁", " ")
-                plain.append((text, i))
-                self.bytes.append(text.encode())
+                byte_ids[raw[0]] = i
+            elif raw:
+                plain.append((raw.decode(), i))
         if len(byte_ids) < 256:
             raise ValueError("the vocabulary has no piece for some byte")
         total = math.log(sum(1 / k for k in range(1, len(plain) + 1)))
@@ -74,12 +83,13 @@ class Vocabulary:
             self.pieces.setdefault(text, (i, round(1000 * (math.log(rank) + total))))
         self.byte_ids = [byte_ids[b] for b in range(256)]
         self.byte_cost = round(1000 * (math.log(len(plain) + 1) + total)) + BYTE_COST
-        self.pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         #: each piece as (id, cost, ids); None for what begins a piece and is none
         self.begun: dict[str, tuple[int, int, tuple[int]] | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))}
         self.begun.update({p: (i, c, (i,)) for p, (i, c) in self.pieces.items()})
         if any("\n" in p or (" " in p.lstrip(" ")) for p in self.pieces):
             raise ValueError("a piece holds a line feed, or a space behind another character")
+        self.longest = max(map(len, self.pieces))
+        self.table: tuple[np.ndarray, ...] | None = None
         self.span = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
     def _bytes_of(self, char: str) -> tuple[int, tuple[int, ...]]:
@@ -117,6 +127,73 @@ class Vocabulary:
                     second[end] = c
         return first, second, back
 
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A hash table of the pieces: keys, ids, costs."""
+        keys, ids, costs = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        for text, (i, cost) in self.pieces.items():
+            key = 0
+            for c in text:
+                key = (key * STEP + ord(c) + 1) & ((1 << 64) - 1)
+            at = (key * MIX & ((1 << 64) - 1)) >> 46
+            while keys[at]:
+                at = (at + 1) % SLOTS
+            keys[at], ids[at], costs[at] = key, i, cost
+        return keys, ids, costs
+
+    def forward_all(self, spans: list[str]) -> Iterator[tuple[str, tuple[int, ...], int, int]]:
+        """(span, ids of the best, its cost, cost of the second best) of many spans up to LONG: the same pass, for all of about one length at once."""
+        if self.table is None:
+            self.table = self._table()
+        keys, ids, costs = self.table
+        by_size: dict[int, list[str]] = {}
+        for x in spans:
+            by_size.setdefault(SIZES[bisect_left(SIZES, len(x))], []).append(x)
+        for n, group in by_size.items():
+            k, own = len(group), np.array([len(x) for x in group])
+            padded = "".join([x.ljust(n, "\0") for x in group])
+            codes = np.ascontiguousarray(np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(k, n).T).astype(np.uint64)
+            first, second = np.full((n + 1, k), NEVER), np.full((n + 1, k), NEVER)
+            back, piece = np.zeros((n + 1, k), np.int16), np.zeros((n + 1, k), np.int32)
+            first[0] = 0
+
+            def reach(start: int, end: int, on: np.ndarray | None, cost: np.ndarray, name: np.ndarray) -> None:
+                new, other = first[start] + cost, second[start] + cost
+                if on is not None:
+                    new, other = np.where(on, new, NEVER), np.where(on, other, NEVER)
+                better = new < first[end]
+                second[end] = np.minimum(np.minimum(np.maximum(first[end], new), second[end]), other)
+                first[end] = np.minimum(first[end], new)
+                back[end][better] = start
+                piece[end][better] = name[better]
+
+            for start in range(n):
+                h = np.zeros(k, np.uint64)
+                for end in range(start + 1, min(n, start + self.longest) + 1):
+                    h = h * np.uint64(STEP) + codes[end - 1] + np.uint64(1)
+                    at = ((h * np.uint64(MIX)) >> np.uint64(46)).astype(np.int64)
+                    found = keys[at] == h
+                    open_ = ~found & (keys[at] != 0)
+                    while open_.any():
+                        at[open_] = (at[open_] + 1) % SLOTS
+                        found |= open_ & (keys[at] == h)
+                        open_ &= ~found & (keys[at] != 0)
+                    if found.any():
+                        reach(start, end, found, costs[at], ids[at].astype(np.int32))
+                    if end == start + 1 and not found.all():  # also behind a span's own end, which nothing reads
+                        c = codes[start]
+                        size = 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
+                        reach(start, end, ~found, self.byte_cost * size, np.full(k, -1, np.int32))
+            tails: list[list[tuple[int, ...]]] = [[] for _ in range(k)]
+            at = own.copy()
+            while (live := np.nonzero(at > 0)[0]).size:
+                starts, names = back[at[live], live].astype(np.int64), piece[at[live], live]
+                for r, s, p in zip(live.tolist(), starts.tolist(), names.tolist(), strict=True):
+                    tails[r].append((p,) if p >= 0 else self._bytes_of(group[r][s])[1])
+                at[live] = starts
+            for x, tail, a, b in zip(group, tails, first[own, np.arange(k)].tolist(), second[own, np.arange(k)].tolist(), strict=True):
+                tail.reverse()
+                yield x, tuple(chain.from_iterable(tail)), a, b
+
     def edges(self, text: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """Edges (start, cost, ids) of the lattice into each place."""
         n, get = len(text), self.begun.get
@@ -162,15 +239,13 @@ class _Spans(dict):
         self.vocabulary, self.n = vocabulary, n
         self.others: dict[str, list[tuple[int, tuple[int, ...]]]] = {}
 
+    def learn(self, spans: set[str]) -> None:
+        """Remembers the spans that it doesn't know; afterwards :func:`encode_names` finds each of them."""
+        new = [x for x in spans if x not in self and len(x) <= LONG]
+        for x, ids, cost, other in self.vocabulary.forward_all(new):
+            self[x] = (ids, cost, other - cost if other < NEVER else NEVER)
+
     def __missing__(self, span: str) -> tuple:
-        if len(span) > 1 and span[-2:] not in self.vocabulary.pairs:  # no piece holds its last two characters
-            head, last = span[:-1], self.get(span[-1]) or self._found(span[-1])
-            head = self.get(head) or self._found(head)
-            out = self[span] = (head[0] + last[0], head[1] + last[1], min(head[2], last[2]))
-            return out
-        return self._found(span)
-
-    def _found(self, span: str) -> tuple:
         first, second, back = self.vocabulary.forward(span)
         # the search for one segmentation expands just the best path
         at, parts = len(span), []
@@ -206,30 +281,51 @@ def _spans(path: str, n: int) -> _Spans:
     return held
 
 
-def encode_text(text: str, spans: _Spans) -> tuple[list[int], list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
-    """The ids of the best segmentation, and for each of the N best (cost, edits): an edit is (at, dropped, ids) of the best's ids."""
-    if not text:
+def encode_names(names: list[str], spans: _Spans) -> tuple[list[int], list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
+    """For a text's spans the ids of the best segmentation, and for each of the N best (cost, edits): an edit is (at, dropped, ids) of the best's ids."""
+    if not names:
         return [], [(0, [])]
-    names = spans.vocabulary.span.findall(" " + text)
     entries = list(map(spans.__getitem__, names))
-    ids = list(chain.from_iterable([e[0] for e in entries]))
-    cost = sum([e[1] for e in entries])
+    best, costs, losses = zip(*entries, strict=True)
+    ids = list(chain.from_iterable(best))
+    cost = sum(costs)
     top: list[tuple[int, tuple[tuple[int, int], ...]]] = [(0, ())]
     if spans.n > 1:
-        loss = np.array([e[2] for e in entries])
+        loss = np.array(losses)
         few = np.argsort(loss, kind="stable")[: spans.n - 1] if len(loss) < 64 else np.sort(np.argpartition(loss, spans.n - 2)[: spans.n - 1])
         for i in few.tolist():
             more = spans.after(names[i]) if loss[i] < NEVER else []
             ways = [(c + a - entries[i][1], (*moved, (i, k))) for c, moved in top for k, (a, _) in enumerate(more)]
             top = sorted(top + ways, key=lambda w: w[0])[: spans.n]
     if len(top) > 1:
-        starts = np.concatenate([[0], np.cumsum([len(e[0]) for e in entries])])
+        starts = np.concatenate([[0], np.cumsum(list(map(len, best)))])
     out = []
     for c, moved in top:
         out.append((cost + c, [(int(starts[i]), len(entries[i][0]), spans.after(names[i])[k][1]) for i, k in sorted(moved)]))
     return ids, out
 
 
+def encode_texts(texts: list[str], model: str, n_best: int) -> list:
+    """:func:`encode_names` of the spans of each text; spans that are new are passed forward at once."""
+    spans = _spans(model, n_best)
+    find = spans.vocabulary.span.findall
+    names = [find(" " + x) if x else [] for x in texts]
+    spans.learn(set(chain.from_iterable(names)))
+    return [encode_names(x, spans) for x in names]
+
+
+def _parts(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows (from, to) of about ``most`` in size."""
+    start = held = i = 0
+    for i, n in enumerate(sizes, 1):
+        held += n
+        if held >= most:
+            yield start, i
+            start, held = i, 0
+    if i > start:
+        yield start, i
+
+
 ENCODED = "doc_id long, ids array<int>, segmentations array<struct<cost: long, edits: array<struct<at: int, dropped: int, ids: array<int>>>>>"
 _EDITS = pa.list_(pa.struct([("at", pa.int32()), ("dropped", pa.int32()), ("ids", pa.list_(pa.int32()))]))
 _SEGMENTATIONS = pa.list_(pa.struct([("cost", pa.int64()), ("edits", _EDITS)]))
@@ -245,10 +341,11 @@ def encode(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = _spans(model, n_best)
-            done = [encode_text(t, spans) for t in batch.column("text").to_pylist()]
-            best = pa.array([[{"cost": c, "edits": [{"at": a, "dropped": d, "ids": i} for a, d, i in e]} for c, e in segs] for _, segs in done], _SEGMENTATIONS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists([i for i, _ in done]), best], ["doc_id", "ids", "segmentations"])
+            texts = batch.column("text").to_pylist()
+            for i, j in _parts(map(len, texts), TOGETHER):
+                done = encode_texts(texts[i:j], model, n_best)
+                best = pa.array([[{"cost": c, "edits": [{"at": a, "dropped": d, "ids": e} for a, d, e in edits]} for c, edits in segs] for _, segs in done], _SEGMENTATIONS)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), _lists([ids for ids, _ in done]), best], ["doc_id", "ids", "segmentations"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(run, ENCODED)
@@ -260,26 +357,45 @@ def decode_ids(ids: list[int], table: list[bytes]) -> str:
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def _decoder(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all pieces joined, where each id's begin, and how many they are."""
+    if path not in _decoders:
+        import sentencepiece
+
+        names = piece_bytes(sentencepiece.SentencePieceProcessor(model_file=path))
+        sizes = np.array([len(x) for x in names], np.int64)
+        _decoders[path] = np.frombuffer(b"".join(names), np.uint8), np.cumsum(sizes) - sizes, sizes
+    return _decoders[path]
+
+
+_decoders: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """``encoded`` with text, decoded from the column ids; a null list decodes to null. Other columns pass through."""
     names = [c for c in encoded.columns if c != "text"]
     at = names.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _spans(model, N_BEST).vocabulary.bytes
+        data, begins, sizes = _decoder(model)
         for batch in batches:
-            texts = pa.array([None if i is None else decode_ids(i, table) for i in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*names, "text"])
+            for i, j in _parts([len(x) if x.is_valid else 0 for x in batch.column(at)], TOGETHER // 2):
+                part, texts = batch.slice(i, j - i), []
+                for ids in part.column(at):
+                    if not ids.is_valid:
+                        texts.append(None)
+                        continue
+                    which = ids.values.to_numpy()
+                    size = sizes[which]
+                    ends = np.cumsum(size)
+                    raw = data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins[which] - (ends - size), size)].tobytes()
+                    texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, "text"])
 
     schema = encoded.select(*names).withColumn("text", F.lit("")).schema
     return encoded.select(*names).mapInArrow(run, schema)
 
 
-def ids_sha256(ids: list[int]) -> str:
-    """SHA-256 of ids as 32-bit little-endian integers."""
-    return hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
-
-
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` encoded, with its N best costs, and decoded again."""
     out = decode(encode(documents(spark, sf_dir)))
@@ -288,7 +404,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
-        F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256).alias("ids_sha256"),
+        F.xxhash64("ids").alias("ids_xxhash64"),
         F.array_join(costs, ",").alias("costs"),
         F.array_join(edited, "|").alias("edits"),
         F.sha2("text", 256).alias("text_sha256"),

@@ -35,8 +35,8 @@ BUCKETS = 1 << 17
 PRIOR = 50.0
 SPREAD = 8.0
 TOP = -0.02
-#: Distinct words that a worker remembers before it begins anew.
-REMEMBERED = 400_000
+#: Distinct words that a task remembers before it begins anew.
+REMEMBERED = 250_000
 
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\r\x0b\x0c"
@@ -74,6 +74,12 @@ def _numbered(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
 
 
+def _forget() -> None:
+    """Leaves nothing of a task in the worker, which later tasks of other stages share."""
+    global _words
+    _words = _Words()
+
+
 def _grams(ids: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of each n-gram of a text."""
     quarter = np.uint64(buckets // 4)
@@ -148,6 +154,7 @@ def count_grams(docs: DataFrame, trusted: np.ndarray, buckets: int = BUCKETS) ->
                         raw += n
                         if is_good:
                             good += n
+        _forget()
         at = np.nonzero(raw)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(good[at])], ["bucket", "raw", "good"])
 
@@ -182,6 +189,7 @@ def scored(docs: DataFrame, model: Model, buckets: int = BUCKETS, only: np.ndarr
                 scores.append(float(ratio[_grams(ids, buckets)].mean()) if words else 0.0)
             cols = [pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 5)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *cols, pa.array(scores, pa.float64())], ["doc_id", "text_hash", *names, "score"])
+        _forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{n} long" for n in names) + ", score double")
@@ -225,6 +233,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, **options: float) -> Data
                 good = len(words) >= 50 and 100 * _repeated(ids) <= 50 * len(words)
                 stay.append(good and float(held.value[_grams(ids, buckets)].mean()) >= threshold)
             yield batch.filter(pa.array(stay, pa.bool_()))
+        _forget()
 
     return docs.mapInArrow(run, docs.schema)
 
