@@ -136,28 +136,41 @@ def suffix_array(text: bytes) -> list[int]:
 # --- anchors -------------------------------------------------------------------------------------------------------
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
-
-
 _BASE = 0x9E3779B97F4A7C15
-_BACK = pow(_BASE, -1, 1 << 64)
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of the ``gram`` bytes at each place but the last gram - 1."""
-    out = np.zeros(len(data) - gram + 1, np.uint64)
-    for k in range(gram):
-        out *= np.uint64(_BASE)
-        out += data[k : k + len(out)]
-    out ^= out >> np.uint64(29)
+    """A 64-bit hash of the ``gram`` bytes at each place but the last gram - 1, put together from halves."""
+    part, size = data.astype(np.uint64), 1
+    out, done = None, 0  # polynomial of the first ``done`` bytes at each place
+    power = lambda k: np.uint64(pow(_BASE, k, 1 << 64))
+    while True:
+        if gram & size:
+            if out is None:
+                out, done = part, size
+            else:
+                n = len(data) - done - size + 1
+                out, done = out[:n] * power(size) + part[done : done + n], done + size
+        if done == gram:
+            break
+        part = part[:-size] * power(size) + part[size:]
+        size *= 2
+    out = out ^ (out >> np.uint64(29))
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
     return out
 
 
+def _hashes_at(data: np.ndarray, places: np.ndarray, gram: int, block: int = 2 << 20) -> np.ndarray:
+    """:func:`_gram_hashes` at ascending places, a block of bytes at a time."""
+    out = np.empty(len(places), np.uint64)
+    for a in range(0, len(data), block):
+        i, j = np.searchsorted(places, [a, a + block])
+        if j > i:
+            out[i:j] = _gram_hashes(data[a : a + block + gram], gram)[places[i:j] - a]
+    return out
+
+
 def segments(texts: list[bytes], least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Of all texts: the text's number, first string's start, strings, anchor's offset from there, anchor's hash; and the joined bytes, each text's start."""
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -197,7 +210,7 @@ def _binned(docs: DataFrame, bins: int, least: int) -> DataFrame:
     """(bin, blob): packed segments, a blob for each bin and block of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=5).compress
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             ids, marks = batch.column("doc_id").to_numpy(), batch.column("text_hash").to_numpy()
@@ -305,15 +318,13 @@ def _ranges(pdf: pd.DataFrame, least: int, gram: int) -> pd.DataFrame:
     """(doc_id, text_hash, lo, hi): runs of starts of strings to remove, from one bin's blobs."""
     ids, marks, places, strings, offs, body, begins = _unpack(pdf["blob"].tolist(), least)
     half = (least - gram) // 2
-    h = _gram_hashes(body, gram + half) if len(body) >= gram + half else np.zeros(0, np.uint64)
-    if not len(h):
-        return pd.DataFrame({"doc_id": [], "text_hash": [], "lo": [], "hi": []}, dtype="int64")
     size = strings + (least - 1)
     stay = np.zeros(len(ids), bool)
     for delta in (0, -half):  # with the bytes right of the anchor, then with those left of it
         at = offs + delta
         fits = np.nonzero((at >= 0) & (at + gram + half <= size))[0]
-        stay[fits] |= _in_two(h[begins[fits] + at[fits]], ids[fits])
+        if len(fits):
+            stay[fits] |= _in_two(_hashes_at(body, begins[fits] + at[fits], gram + half), ids[fits])
     keep = np.nonzero(stay)[0]
     out: list[np.ndarray] = []
     if len(keep):
@@ -452,6 +463,9 @@ def removed(docs: DataFrame, least: int = LEAST, with_text: bool = False) -> Dat
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     keyed = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text_hash", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ids = keyed.groupBy("doc_id").agg((F.min("text_hash") != F.max("text_hash")).alias("twice"))
+    if ids.where("twice").isEmpty():
+        keyed = keyed.withColumn("text_hash", F.lit(0).cast("long"))  # ids tell all texts apart: no hash need travel
     bins = max(BINS, -(-total // BIN_BYTES))
     binned = _binned(keyed.where(F.octet_length("text") >= least), bins, least)
     ranges = binned.groupBy("bin").applyInPandas(lambda pdf: _ranges(pdf, least, GRAM), "doc_id long, text_hash long, lo long, hi long")
