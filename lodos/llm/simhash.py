@@ -143,8 +143,12 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = RADIUS) -> DataFr
 
     Equal rows are one document. Columns are passed through; the name ``_sh_hash`` is kept for this operator.
     """
+    return first_of_each(docs, near_duplicates(docs, words, radius))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component in ``found`` (doc_id, text_hash, fp, component_id)."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    found = near_duplicates(docs, words, radius)
     # null ids can only stay in a component of null ids, which their fingerprints' components tell apart by text
     first = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("k")).agg(F.min(order).alias("first"), F.count("*").alias("n"))
     keep = written(first.select("first.doc_id", F.col("first.text_hash").alias("_sh_hash")), "kept")
