@@ -13,7 +13,9 @@ texts that share a window share its fingerprint, and neighbouring windows mostly
    their lines are deleted.
 
 So a line goes exactly if it lies in a window whose content begins somewhere earlier in the corpus, be it in the same
-text. Order: doc_id, null last, then the text's hash, then the line.
+text. With ``extend``, each later window also grows both ways, unit by unit, as long as its text and the text of its
+content's first position agree, to the ends of the texts too, and the whole run goes: a run's last short lines, which
+fill no window of their own, go with it. Every line deleted still has an equal one earlier in that order. Order: doc_id, null last, then the text's hash, then the line.
 
 Defined results for odd input: null and empty texts have no units and stay as they are; equal rows (same id, same text)
 count as one document, and all get the same result; a text whose lines all go becomes the empty text; an empty table
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, text_of
+from .common import WORD, documents, text_of, written
 
 LEAST_WORDS = 50
 LEAST_LINES = 3
@@ -37,8 +39,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def windows(docs: DataFrame, least_words: int = LEAST_WORDS, least_lines: int = LEAST_LINES) -> DataFrame:
-    """All windows of keyed documents: id, text hash, line of the window's start, its lines, fingerprint, two content hashes."""
+def _units(docs: DataFrame) -> DataFrame:
+    """The units of keyed documents: id, text hash, and of each unit its line, two hashes and words."""
     lines = F.split("text", "\n", -1)
     units = F.filter(
         F.transform(
@@ -49,7 +51,11 @@ def windows(docs: DataFrame, least_words: int = LEAST_WORDS, least_lines: int =
         ),
         lambda u: u["is"],
     )
-    rows = docs.select("_ld_id", "_ld_text", units.alias("u")).where(F.size("u") > 0).distinct()
+    return docs.select("_ld_id", "_ld_text", units.alias("u")).where(F.size("u") > 0).distinct()
+
+
+def windows(rows: DataFrame, least_words: int = LEAST_WORDS, least_lines: int = LEAST_LINES) -> DataFrame:
+    """All windows of ``_units``: id, text hash, line and unit of the window's start, its lines, fingerprint, two content hashes."""
     one = rows.select("_ld_id", "_ld_text", "u", F.posexplode("u").alias("at", "first"))
     at = lambda k: F.get("u", F.col("at") + k)
     words: Column = F.lit(0)
@@ -66,6 +72,7 @@ def windows(docs: DataFrame, least_words: int = LEAST_WORDS, least_lines: int =
         "_ld_id",
         "_ld_text",
         F.col("first.line").alias("line"),
+        "at",
         F.transform("w", lambda x: x["line"]).alias("lines"),
         F.array_min(F.transform("w", lambda x: F.struct(x["h"].alias("h"), x["line"].alias("line")))).alias("print"),
         F.xxhash64(F.transform("w", lambda x: x["h"])).alias("c1"),
@@ -73,9 +80,31 @@ def windows(docs: DataFrame, least_words: int = LEAST_WORDS, least_lines: int =
     )
 
 
-def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_lines: int = LEAST_LINES) -> DataFrame:
+def _extended(later: DataFrame, units: DataFrame) -> DataFrame:
+    """(id, text hash, lines) of the maximal runs that hold windows of ``later``, which have their contents' ``origin``."""
+    shift = (F.col("origin.at") - F.col("at")).alias("_shift")
+    runs = later.groupBy("_ld_id", "_ld_text", F.col("origin._ld_id").alias("_oid"), F.col("origin._ld_text").alias("_otext"), shift).agg(F.collect_set("at").alias("ats"))
+    # windows that begin at neighbouring units are of one run
+    runs = runs.withColumn("ats", F.array_except("ats", F.transform("ats", lambda a: a + 1)))
+    hashes = F.transform("u", lambda x: F.struct(x["h"], x["g"]))
+    own = units.select("_ld_id", "_ld_text", hashes.alias("x"), F.transform("u", lambda x: x["line"]).alias("at_line"))
+    other = units.select(F.col("_ld_id").alias("_oid"), F.col("_ld_text").alias("_otext"), hashes.alias("y"))
+    both = runs.join(own, ["_ld_id", "_ld_text"]).join(other, ["_oid", "_otext"])
+    agree = lambda i: (i + F.col("_shift") >= 0) & F.get("x", i).eqNullSafe(F.get("y", i + F.col("_shift")))
+    ends = F.filter(F.sequence(F.lit(0), F.size("x") - 1), lambda i: ~agree(i))
+    both = both.withColumn("ends", F.concat(F.array(F.lit(-1)), ends, F.array(F.size("x"))))
+    after = lambda a: F.array_max(F.filter("ends", lambda e: e < a)) + 1
+    until = lambda a: F.array_min(F.filter("ends", lambda e: e > a))
+    found = F.flatten(F.transform("ats", lambda a: F.slice("at_line", after(a) + 1, until(a) - after(a))))
+    return both.select("_ld_id", "_ld_text", found.alias("lines"))
+
+
+def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_lines: int = LEAST_LINES, extend: bool = False) -> DataFrame:
     """For each keyed document with later repeats: the numbers of the lines to delete (``_ld_lines``)."""
-    found = windows(docs, least_words, least_lines)
+    units = _units(docs)
+    if extend:
+        units = written(units, "units")
+    found = windows(units, least_words, least_lines)
     here = F.struct("_ld_id", "_ld_text", "print.line")
     shared = (
         found.groupBy(F.col("print.h").alias("h"))
@@ -86,15 +115,17 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_lines: int =
     )
     near = found.join(shared, F.col("print.h") == F.col("h"), "left_semi")
     place = F.struct("_ld_id", "_ld_text", "line")
-    first = near.groupBy("c1", "c2").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = near.join(first, ["c1", "c2"]).where(place != F.col("origin"))
+    first = near.groupBy("c1", "c2").agg(F.min(F.struct("_ld_id", "_ld_text", "line", "at")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = near.join(first, ["c1", "c2"]).where(place != F.struct("origin._ld_id", "origin._ld_text", "origin.line"))
+    if extend:
+        later = _extended(later, units)
     return later.groupBy("_ld_id", "_ld_text").agg(F.flatten(F.collect_set("lines")).alias("_ld_lines"))
 
 
-def line_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, least_lines: int = LEAST_LINES) -> DataFrame:
+def line_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, least_lines: int = LEAST_LINES, extend: bool = False) -> DataFrame:
     """``docs`` without the lines of later repeated runs; adds n_lines and n_deleted."""
     keyed = _keyed(docs)
-    cut = repeats(keyed.select("_ld_id", "_ld_text", text_of().alias("text")), least_words, least_lines)
+    cut = repeats(keyed.select("_ld_id", "_ld_text", text_of().alias("text")), least_words, least_lines, extend)
     parted = keyed.withColumn("_ld_parts", F.split("text", "\n", -1)).drop("text")
     joined = parted.join(cut, ["_ld_id", "_ld_text"], "left")
     every = F.sequence(F.lit(0), F.size("_ld_parts") - 1)

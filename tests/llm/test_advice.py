@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodos.llm import near_copies
+import corpus_pipeline
+from lodos.llm import line_dedup, near_copies
 
 
 def test_near_copies_link_at_the_exact_similarity(spark):
@@ -37,3 +38,37 @@ def test_near_copies_link_at_the_exact_similarity(spark):
         assert got == want and len(set(want.values())) == 40 * 2
     kept = near_copies.one_of_each(docs.withColumn("other", F.lit(1)))
     assert kept.columns == ["doc_id", "text", "other"] and {r["doc_id"] for r in kept.collect()} == set(want.values())
+
+
+def line_runs_by_hand(texts, least_words, least_lines):
+    """The texts left, with each later window grown line by line."""
+    units = [[(i, x) for i, x in enumerate(t.split("\n")) if x.split()] for t in texts]
+    first, gone = {}, [set() for _ in texts]
+    for d, u in enumerate(units):
+        for a in range(len(u)):
+            n = next((k for k in range(1, least_lines + 1) if a + k <= len(u) and (k == least_lines or sum(len(x.split()) for _, x in u[a : a + k]) >= least_words)), None)
+            if n is None:
+                continue
+            o, b = first.setdefault(tuple(x for _, x in u[a : a + n]), (d, a))
+            if (o, b) != (d, a):
+                for step in (1, -1):
+                    i, j = a, b
+                    while 0 <= i < len(u) and 0 <= j < len(units[o]) and u[i][1] == units[o][j][1]:
+                        gone[d].add(u[i][0])
+                        i, j = i + step, j + step
+    return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in enumerate(texts)}
+
+
+def test_later_runs_go_whole(spark, tmp_path):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(80):
+        lines = [" ".join(rng.choice("abc") for _ in range(rng.choice((0, 1, 1, 2, 6)))) for _ in range(rng.randint(1, 9))]
+        texts.append("\n".join(lines))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs, 5, 3, extend=True).collect()}
+    assert got == line_runs_by_hand(texts, 5, 3)
+    # an exact copy with a short tail leaves the pipeline's second stage
+    text = "\n".join([" ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(53)), "short one here", "", "end"])
+    docs = spark.createDataFrame([(i, text, "en", "s", len(text)) for i in (1, 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [(r["doc_id"], r["text"]) for r in corpus_pipeline.lines(spark, docs, "").collect()] == [(1, text)]
