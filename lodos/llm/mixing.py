@@ -9,7 +9,7 @@ of the id and the seed with the probability, so it is the same on every run and
 Targets not given are the data's own shares, tempered: share ** alpha, made to sum to 1.
 
 The cell table has a row for each met combination, not for each document. Up to ``MOST_CELLS`` of them are raked on the
-driver; more are raked by joins and grouped sums on the cluster.
+driver; more are raked by joins and grouped sums on the cluster, to the same budget and by the same stopping rule.
 
 Defined results for odd input: a null source, language or topic is a value of its own; null and empty texts have 0
 tokens, and cells without tokens have weight 0 and probability 1 (they don't move the mixture); targets for values that
@@ -81,12 +81,12 @@ def scale(sizes: np.ndarray, weights: np.ndarray, budget: float | None = None) -
     c = 1 / rate.max() if rate.max(initial=0.0) > 0 else 0.0
     if budget is not None and rate.max(initial=0.0) > 0:
         want, order = budget * sizes.sum(), np.argsort(-rate, kind="stable")
-        full, left = 0.0, float((weights[sizes > 0]).sum())
+        full, left, c = 0.0, float((weights[sizes > 0]).sum()), 0.0
         for i in order:
             if rate[i] <= 0 or left <= 0 or (want - full) / left * rate[i] <= 1:
                 break
-            full, left = full + sizes[i], left - weights[i]
-        c = (want - full) / left if left > 1e-15 and want > full else (1 / rate[rate > 0].min() if want > full else c)
+            full, left, c = full + sizes[i], left - weights[i], 1 / rate[i]
+        c = max(c, (want - full) / left if left > 1e-15 else 1 / rate[rate > 0].min())
     return np.where(sizes > 0, np.minimum(1.0, c * rate), 1.0)
 
 
@@ -111,8 +111,25 @@ def _on_driver(rows: list, dims: list[str], targets: Mapping[str, Mapping[str, f
     return [(*[r[d] for d in dims], float(a), float(b)) for r, a, b in zip(rows, w, p, strict=True)]
 
 
-def _on_cluster(cells: DataFrame, dims: list[str], targets: Mapping[str, Mapping[str, float]], alpha: Mapping[str, float], rounds: int) -> DataFrame:
-    """The same by grouped sums and joins, written every few rounds; without a budget."""
+def _scaled(now: DataFrame, budget: float | None) -> DataFrame:
+    """``scale`` by grouped sums: cells with ``w`` get ``probability``."""
+    rate = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0)
+    most, least, total, left = now.agg(F.max(rate), F.min(F.when(rate > 0, rate)), F.sum("tokens"), F.sum(F.when(F.col("tokens") > 0, F.col("w")))).first()
+    c = 1 / most if most else 0.0
+    if budget is not None and most:
+        c, want, full, n, before = 0.0, budget * total, 0.0, 0, -1
+        # c of the cells that are not full only grows as more become full, so this ends at the driver's c
+        while n != before and left > 1e-15:
+            c, before = max(c, (want - full) / left), n
+            over = rate * F.lit(c) > 1
+            n, full, left = now.agg(F.count(F.when(over, 1)), F.coalesce(F.sum(F.when(over, F.col("tokens"))), F.lit(0)).cast("double"), F.coalesce(F.sum(F.when(~over & (rate > 0), F.col("w"))), F.lit(0.0))).first()
+        if left <= 1e-15:
+            c = 1 / least
+    return now.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), rate * F.lit(c))).otherwise(1.0))
+
+
+def _on_cluster(cells: DataFrame, dims: list[str], targets: Mapping[str, Mapping[str, float]], alpha: Mapping[str, float], budget: float | None, rounds: int) -> DataFrame:
+    """The same by grouped sums and joins; each round is written."""
     spark = cells.sparkSession
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     now = cells.withColumn("w", F.col("tokens") / F.lit(float(total)))
@@ -125,15 +142,21 @@ def _on_cluster(cells: DataFrame, dims: list[str], targets: Mapping[str, Mapping
             goal = have.select(d, F.pow(F.col("t") / float(total), F.lit(alpha.get(d, 1.0))).alias("x"))
         whole = goal.agg(F.sum("x")).first()[0] or 1.0
         wants[d] = written(goal.select(F.col(d).alias("v"), (F.col("x") / F.lit(whole)).alias("x")), "targets")
-    for k in range(rounds):
+    for _ in range(rounds):
+        off = 0.0
         for d in dims:
             have = now.groupBy(F.col(d).alias("v")).agg(F.sum("w").alias("h"))
-            step = have.join(wants[d], have["v"].eqNullSafe(wants[d]["v"]), "left").select(have["v"], F.when(F.col("h") > 0, F.coalesce("x", F.lit(0.0)) / F.col("h")).otherwise(0.0).alias("f"))
-            now = now.join(step, now[d].eqNullSafe(step["v"])).withColumn("w", F.col("w") * F.col("f")).drop("v", "f")
-        if k % 4 == 3:
-            now = written(now, "raked")
-    most = now.where("tokens > 0").agg(F.max(F.col("w") / F.col("tokens"))).first()[0] or 1.0
-    return now.select(*dims, F.col("w").alias("weight"), F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("w") / F.col("tokens") / F.lit(most))).otherwise(1.0).alias("probability"))
+            want = F.coalesce("x", F.lit(0.0))
+            step = have.join(wants[d], have["v"].eqNullSafe(wants[d]["v"]), "left").select(have["v"], "h", F.when(F.col("h") > 0, want / F.col("h")).otherwise(0.0).alias("f"), F.when(F.col("h") > 0, F.abs(F.col("h") - want)).alias("off"))
+            step = written(step, "steps")
+            off = max(off, step.agg(F.max("off")).first()[0] or 0.0)
+            now = now.join(step.drop("h", "off"), now[d].eqNullSafe(step["v"])).withColumn("w", F.col("w") * F.col("f")).drop("v", "f")
+        now = written(now, "raked")
+        if off <= CLOSE:
+            break
+    whole = now.agg(F.sum("w")).first()[0] or 1.0
+    now = _scaled(written(now.withColumn("w", F.col("w") / F.lit(whole)), "raked"), budget)
+    return now.select(*dims, F.col("w").alias("weight"), "probability")
 
 
 def mixed(
@@ -143,7 +166,7 @@ def mixed(
     alpha: Mapping[str, float] = ALPHA,
     seed: int = 42,
     most_cells: int = MOST_CELLS,
-    cluster_rounds: int = 24,
+    cluster_rounds: int = ROUNDS,
 ) -> DataFrame:
     """``docs`` (doc_id, text, source, lang; topic if they have one) with topic, tokens, weight (of the cell), probability, drawn."""
     spark, dims = docs.sparkSession, ["source", "lang", "topic"]
@@ -157,7 +180,7 @@ def mixed(
         rows = _on_driver(cells.orderBy(*dims).collect(), dims, targets or {}, alpha, budget)
         fitted = spark.createDataFrame(rows, "source string, lang string, topic string, weight double, probability double")
     else:
-        fitted = _on_cluster(cells, dims, targets or {}, alpha, cluster_rounds)
+        fitted = _on_cluster(cells, dims, targets or {}, alpha, budget, cluster_rounds)
     fitted = fitted.select(*[F.col(d).alias(f"_mx_{d}") for d in dims], F.col("weight").alias("_mx_weight"), F.col("probability").alias("_mx_probability"))
     same = [F.col(d).eqNullSafe(F.col(f"_mx_{d}")) for d in dims]
     joined = base.join(F.broadcast(fitted) if n <= most_cells else fitted, same[0] & same[1] & same[2], "left")

@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodos.llm import line_dedup, near_copies
+from lodos.llm import line_dedup, mixing, near_copies
 
 
 def test_near_copies_link_at_the_exact_similarity(spark):
@@ -72,3 +73,16 @@ def test_later_runs_go_whole(spark, tmp_path):
     text = "\n".join([" ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(53)), "short one here", "", "end"])
     docs = spark.createDataFrame([(i, text, "en", "s", len(text)) for i in (1, 2)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [(r["doc_id"], r["text"]) for r in corpus_pipeline.lines(spark, docs, "").collect()] == [(1, text)]
+
+
+@pytest.mark.parametrize("budget", [0.6, 1.0])
+def test_mixing_by_cluster_and_driver_agree_with_a_budget(spark, budget):
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(1, 60), f"s{i % 4}" if i % 3 else "hot", rng.choice(("en", "tr")), rng.choice("ab")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    a = {r["doc_id"]: r for r in mixing.mixed(docs, budget=budget).collect()}
+    b = {r["doc_id"]: r for r in mixing.mixed(docs, budget=budget, most_cells=0).collect()}
+    assert a.keys() == b.keys()
+    assert all(abs(a[k]["probability"] - b[k]["probability"]) < 1e-6 and abs(a[k]["weight"] - b[k]["weight"]) < 1e-8 for k in a)
+    if budget:
+        assert abs(sum(r["probability"] * r["tokens"] for r in b.values()) - budget * sum(r["tokens"] for r in b.values())) < 1e-3
