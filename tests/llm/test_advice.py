@@ -1,6 +1,7 @@
 """Places where an earlier form did less than the whole job."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,13 @@ def test_mixing_by_cluster_and_driver_agree_with_a_budget(spark, budget):
     assert all(abs(a[k]["probability"] - b[k]["probability"]) < 1e-6 and abs(a[k]["weight"] - b[k]["weight"]) < 1e-8 for k in a)
     if budget:
         assert abs(sum(r["probability"] * r["tokens"] for r in b.values()) - budget * sum(r["tokens"] for r in b.values())) < 1e-3
+
+
+def test_mixture_stage_meets_its_targets(spark):
+    rng = random.Random(2)
+    rows = [(i, f"d{i} " + "w " * 30, "en", "hot" if i % 3 == 0 else f"s{rng.randrange(6)}", 1) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sizes = Counter(r[3] for r in rows)
+    target = mixing.tempered({k: v / len(rows) for k, v in sizes.items()}, mixing.ALPHA["source"])
+    drawn = Counter(r["source"] for r in corpus_pipeline.mixture(spark, docs, "").collect())
+    assert all(abs(drawn[k] / sum(drawn.values()) - target[k]) < 0.02 for k in target)
