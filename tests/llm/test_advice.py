@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodos.llm import line_dedup, mixing, near_copies
+from lodos.llm import line_dedup, mixing, near_copies, quality
 
 
 def test_near_copies_link_at_the_exact_similarity(spark):
@@ -97,3 +97,20 @@ def test_mixture_stage_meets_its_targets(spark):
     target = mixing.tempered({k: v / len(rows) for k, v in sizes.items()}, mixing.ALPHA["source"])
     drawn = Counter(r["source"] for r in corpus_pipeline.mixture(spark, docs, "").collect())
     assert all(abs(drawn[k] / sum(drawn.values()) - target[k]) < 0.02 for k in target)
+
+
+def test_toxic_words_in_ordinary_prose_are_rejected(spark):
+    rng = random.Random(8)
+    prose = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(600):
+        words = [rng.choice(prose) for _ in range(rng.randint(60, 200))]
+        for _ in range(3 if i % 6 == 0 else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(("Vile,", "vile", "rotten", "rotten.")))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality.judged(docs, labels).where("kept").collect()}
+    unseen = range(400, 600)
+    assert not [i for i in unseen if i % 6 == 0 and i in kept]
+    assert sum(i in kept for i in unseen if i % 6) > 150
