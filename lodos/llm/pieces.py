@@ -1,14 +1,18 @@
 """SentencePiece encoding and decoding with N-best segmentation over the piece lattice.
 
-A piece's cost is -log of a Zipf probability of its rank in the vocabulary file, in whole thousandths, so sums are exact
-and the same everywhere. A character that no piece covers costs its UTF-8 bytes as byte pieces. A forward Viterbi pass
-gives the least cost from the start to each place; a backward A* search from the end, with these as exact heuristics,
-then meets the segmentations of a span in order of cost, and expands nothing that isn't on one of the N best.
+A piece's cost is its negative score in the model, in whole units (thousandths where scores aren't whole numbers), so sums
+are exact and the same everywhere. A character that no piece of one character covers costs ``UNKNOWN`` more than the
+dearest piece and gives its UTF-8 bytes as byte pieces, as unigram models of this format do. A forward Viterbi pass gives
+the least cost from the start to each place; a backward A* search from the end, with these as exact heuristics, then
+meets the segmentations of a span in order of cost. Every open path is known to be completed at its estimate, and no two
+of them complete alike, so an agenda of N paths is enough; of equal estimates the one nearest the start goes first. So
+neither ties nor long spans widen the search: it takes time and memory in proportion to the span, times N.
 
 Pieces hold a space only in front or hold nothing else, and none holds a line feed (checked on loading). So a lattice
 falls apart at each start of a run of spaces and around each line feed; spans between are searched on their own and
 remembered by the worker, and the N best of a text are merged from those of its spans: only the N - 1 spans with the
-smallest loss of their second best can be altered in them.
+smallest loss of their second best can be altered in them. Spans up to ``LONG`` characters pass forward many at once, by
+a double-array trie of the pieces; longer ones alone.
 
 As usual for this format a space is put in front of a text that isn't empty, and taken off by decoding; decoding gives
 back every text byte for byte.
@@ -21,10 +25,8 @@ only the id and text columns are read. A vocabulary that lacks one of the 256 by
 from __future__ import annotations
 
 import gc
-import heapq
-import math
 import re
-from bisect import bisect_left
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -38,16 +40,13 @@ from .common import documents, text_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 #: Spans that a worker remembers before it begins anew.
-REMEMBERED = 200_000
-#: What a byte piece costs beyond the rarest piece, in thousandths.
-BYTE_COST = 4000
+REMEMBERED = 250_000
+#: What a character without a piece costs beyond the dearest piece, in units of the model's scores.
+UNKNOWN = 10
 #: More than any cost.
 NEVER = 1 << 60
-#: Slots of the table that finds pieces for many spans at once, and the multipliers of its hash (which has 18 bits).
-SLOTS, STEP, MIX = 1 << 18, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
-#: Longer spans are passed one by one; text characters are encoded together up to so many.
-LONG, TOGETHER = 32, 4 << 20
-SIZES = (4, 8, 12, 16, 24, LONG)
+#: Longer spans pass forward alone; spans that pass together; text characters that are encoded together.
+LONG, BLOCK, TOGETHER = 40, 1 << 14, 4 << 20
 
 
 def piece_bytes(model) -> list[bytes]:  # noqa: ANN001
@@ -60,6 +59,63 @@ def piece_bytes(model) -> list[bytes]:  # noqa: ANN001
     return out
 
 
+class Trie:
+    """The pieces as a double array: the child of ``node`` by letter number c is base[node] + c, if owner[there] is ``node``.
+
+    Letters that no piece has, and the end of a span, have number 0, which leads nowhere. Bases may be below 0: there the
+    arrays end in places without an owner.
+    """
+
+    def __init__(self, pieces: dict[str, tuple[int, int]]):
+        counts: dict[str, int] = {}
+        for c in chain.from_iterable(pieces):
+            counts[c] = counts.get(c, 0) + 1
+        letters = sorted(counts, key=lambda c: (-counts[c], c))
+        number = {c: k for k, c in enumerate(letters, 1)}
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[list(map(ord, letters))] = np.arange(1, len(letters) + 1)
+        children: list[dict[int, int]] = [{}]
+        ends: list[tuple[int, int]] = [(NEVER, -1)]
+        for text, (i, cost) in pieces.items():
+            node = 0
+            for c in text:
+                node = children[node].setdefault(number[c], len(children))
+                if node == len(children):
+                    children.append({})
+                    ends.append((NEVER, -1))
+            ends[node] = cost, i
+        # widest nodes first: each takes the first place where all its children find room; only children fill what is left
+        room = 2 * (len(children) + len(letters) + 1)
+        free, slot, base, low = np.ones(room - len(letters), bool), [0] * len(children), [0] * len(children), 1
+        free[0] = False
+        for node in sorted((n for n, kids in enumerate(children) if len(kids) > 1), key=lambda n: -len(children[n])):
+            keys = np.array(sorted(children[node]), np.int64)
+            keys -= (least := int(keys[0]))
+            while not free[low]:
+                low += 1
+            at, open_ = low, keys[:0]
+            while not len(open_):
+                open_ = np.flatnonzero(free[at : at + 1024]) + at
+                for k in keys.tolist():
+                    open_ = open_[free[open_ + k]]
+                at += 1024
+            base[node] = int(open_[0]) - least
+            free[open_[0] + keys] = False
+        places = iter(np.flatnonzero(free).tolist())
+        for node, kids in enumerate(children):
+            if len(kids) == 1:
+                base[node] = next(places) - next(iter(kids))
+            for k, child in kids.items():
+                slot[child] = base[node] + k
+        self.base, self.owner = np.zeros(room, np.int64), np.full(room, -1, np.int64)
+        self.cost, self.id = np.full(room, NEVER, np.int64), np.full(room, -1, np.int32)
+        for node, kids in enumerate(children):
+            here = slot[node]
+            self.base[here], (self.cost[here], self.id[here]) = base[node], ends[node]
+            for k in kids.values():
+                self.owner[slot[k]] = here
+
+
 class Vocabulary:
     """Pieces with spaces as spaces, their ids and costs; the bytes of each id."""
 
@@ -67,203 +123,237 @@ class Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces: dict[str, tuple[int, int]] = {}
         self.bytes = piece_bytes(model)
         byte_ids: dict[int, int] = {}
-        plain = []
+        scores = {i: model.get_score(i) for i, raw in enumerate(self.bytes) if raw and not model.is_byte(i)}
+        scale = 1 if all(s == int(s) for s in scores.values()) else 1000
+        self.pieces: dict[str, tuple[int, int]] = {}
         for i, raw in enumerate(self.bytes):
             if model.is_byte(i):
                 byte_ids[raw[0]] = i
             elif raw:
-                plain.append((raw.decode(), i))
+                self.pieces.setdefault(raw.decode(), (i, round(-scale * scores[i])))
         if len(byte_ids) < 256:
             raise ValueError("the vocabulary has no piece for some byte")
-        total = math.log(sum(1 / k for k in range(1, len(plain) + 1)))
-        for rank, (text, i) in enumerate(plain, 1):
-            self.pieces.setdefault(text, (i, round(1000 * (math.log(rank) + total))))
-        self.byte_ids = [byte_ids[b] for b in range(256)]
-        self.byte_cost = round(1000 * (math.log(len(plain) + 1) + total)) + BYTE_COST
-        #: each piece as (id, cost, ids); None for what begins a piece and is none
-        self.begun: dict[str, tuple[int, int, tuple[int]] | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))}
-        self.begun.update({p: (i, c, (i,)) for p, (i, c) in self.pieces.items()})
         if any("\n" in p or (" " in p.lstrip(" ")) for p in self.pieces):
             raise ValueError("a piece holds a line feed, or a space behind another character")
+        self.byte_ids = [byte_ids[b] for b in range(256)]
+        self.unknown = max(c for _, c in self.pieces.values()) + UNKNOWN * scale
         self.longest = max(map(len, self.pieces))
-        self.table: tuple[np.ndarray, ...] | None = None
-        self.span = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-
-    def _bytes_of(self, char: str) -> tuple[int, tuple[int, ...]]:
-        """(cost, ids) of a character by its bytes."""
-        raw = char.encode("utf-8", "surrogatepass")
-        return self.byte_cost * len(raw), tuple([self.byte_ids[x] for x in raw])
-
-    def forward(self, text: str) -> tuple[list[int], list[int], list[tuple[int, tuple[int, ...]]]]:
-        """For each place the least and second least cost from the start to it (Viterbi), and (start, ids) of the best edge into it."""
-        n, get = len(text), self.begun.get
-        first, second = [0] + [NEVER] * n, [NEVER] * (n + 1)
-        back: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (n + 1)
+        self.trie: Trie | None = None
+        self.begun = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+
+    def _bytes_of(self, char: str) -> tuple[int, ...]:
+        return tuple([self.byte_ids[x] for x in char.encode("utf-8", "surrogatepass")])
+
+    def forward(self, text: str) -> array:
+        """For each place the least cost from the start to it (Viterbi)."""
+        n, pieces, begun = len(text), self.pieces, self.begun
+        least = array("q", [0]) + array("q", [NEVER]) * n
         for start in range(n):
-            a, b, covered, end = first[start], second[start], False, start
-            while end < n:
+            a, end = least[start], start + 1
+            found = pieces.get(text[start:end])
+            c = a + (found[1] if found else self.unknown)
+            if c < least[end]:
+                least[end] = c
+            while end <= n and text[start:end] in begun:
+                if end > start + 1 and (found := pieces.get(text[start:end])) and a + found[1] < least[end]:
+                    least[end] = a + found[1]
                 end += 1
-                p = get(text[start:end], 0)
-                if p is None:
-                    continue  # begins a piece, is none
-                if p == 0:
-                    break
-                if end == start + 1:
-                    covered = True
-                c = a + p[1]
-                if c < first[end]:
-                    second[end], first[end], back[end] = min(first[end], b + p[1]), c, (start, p[2])
-                elif c < second[end]:
-                    second[end] = c
-            if not covered:
-                cost, ids = self._bytes_of(text[start])
-                end, c = start + 1, a + cost
-                if c < first[end]:
-                    second[end], first[end], back[end] = min(first[end], b + cost), c, (start, ids)
-                elif c < second[end]:
-                    second[end] = c
-        return first, second, back
-
-    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A hash table of the pieces: keys, ids, costs."""
-        keys, ids, costs = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
-        for text, (i, cost) in self.pieces.items():
-            key = 0
-            for c in text:
-                key = (key * STEP + ord(c) + 1) & ((1 << 64) - 1)
-            at = (key * MIX & ((1 << 64) - 1)) >> 46
-            while keys[at]:
-                at = (at + 1) % SLOTS
-            keys[at], ids[at], costs[at] = key, i, cost
-        return keys, ids, costs
-
-    def forward_all(self, spans: list[str]) -> Iterator[tuple[str, tuple[int, ...], int, int]]:
-        """(span, ids of the best, its cost, cost of the second best) of many spans up to LONG: the same pass, for all of about one length at once."""
-        if self.table is None:
-            self.table = self._table()
-        keys, ids, costs = self.table
-        by_size: dict[int, list[str]] = {}
-        for x in spans:
-            by_size.setdefault(SIZES[bisect_left(SIZES, len(x))], []).append(x)
-        for n, group in by_size.items():
-            k, own = len(group), np.array([len(x) for x in group])
-            padded = "".join([x.ljust(n, "\0") for x in group])
-            codes = np.ascontiguousarray(np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(k, n).T).astype(np.uint64)
-            first, second = np.full((n + 1, k), NEVER), np.full((n + 1, k), NEVER)
-            back, piece = np.zeros((n + 1, k), np.int16), np.zeros((n + 1, k), np.int32)
-            first[0] = 0
-
-            def reach(start: int, end: int, on: np.ndarray | None, cost: np.ndarray, name: np.ndarray) -> None:
-                new, other = first[start] + cost, second[start] + cost
-                if on is not None:
-                    new, other = np.where(on, new, NEVER), np.where(on, other, NEVER)
-                better = new < first[end]
-                second[end] = np.minimum(np.minimum(np.maximum(first[end], new), second[end]), other)
-                first[end] = np.minimum(first[end], new)
-                back[end][better] = start
-                piece[end][better] = name[better]
-
-            for start in range(n):
-                h = np.zeros(k, np.uint64)
-                for end in range(start + 1, min(n, start + self.longest) + 1):
-                    h = h * np.uint64(STEP) + codes[end - 1] + np.uint64(1)
-                    at = ((h * np.uint64(MIX)) >> np.uint64(46)).astype(np.int64)
-                    found = keys[at] == h
-                    open_ = ~found & (keys[at] != 0)
-                    while open_.any():
-                        at[open_] = (at[open_] + 1) % SLOTS
-                        found |= open_ & (keys[at] == h)
-                        open_ &= ~found & (keys[at] != 0)
-                    if found.any():
-                        reach(start, end, found, costs[at], ids[at].astype(np.int32))
-                    if end == start + 1 and not found.all():  # also behind a span's own end, which nothing reads
-                        c = codes[start]
-                        size = 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
-                        reach(start, end, ~found, self.byte_cost * size, np.full(k, -1, np.int32))
-            tails: list[list[tuple[int, ...]]] = [[] for _ in range(k)]
-            at = own.copy()
-            while (live := np.nonzero(at > 0)[0]).size:
-                starts, names = back[at[live], live].astype(np.int64), piece[at[live], live]
-                for r, s, p in zip(live.tolist(), starts.tolist(), names.tolist(), strict=True):
-                    tails[r].append((p,) if p >= 0 else self._bytes_of(group[r][s])[1])
-                at[live] = starts
-            for x, tail, a, b in zip(group, tails, first[own, np.arange(k)].tolist(), second[own, np.arange(k)].tolist(), strict=True):
-                tail.reverse()
-                yield x, tuple(chain.from_iterable(tail)), a, b
-
-    def edges(self, text: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
-        """Edges (start, cost, ids) of the lattice into each place."""
-        n, get = len(text), self.begun.get
-        into: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        for start in range(n):
-            for end in range(start + 1, n + 1):
-                if (p := get(text[start:end], 0)) == 0:
-                    break
-                if p is not None:
-                    into[end].append((start, p[1], p[2]))
-            if not into[start + 1] or into[start + 1][-1][0] != start:
-                into[start + 1].append((start, *self._bytes_of(text[start])))
-        return into
+        return least
 
-    def search(self, text: str, n: int, into: list, first: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    def into(self, text: str, end: int) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+        """Edges (start, cost, ids) of the lattice into a place."""
+        for start in range(max(0, end - self.longest), end):
+            if found := self.pieces.get(text[start:end]):
+                yield start, found[1], (found[0],)
+            elif start == end - 1:
+                yield start, self.unknown, self._bytes_of(text[start])
+
+    def n_best(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """(cost, ids) of up to n segmentations of a span, by cost: A* backward from the end, guided by the forward scores."""
-        heap: list[tuple[int, int, int, int, tuple | None]] = [(first[-1], 0, len(text), 0, None)]
-        pushed, out = 1, []
-        while heap and len(out) < n:
-            total, _, at, behind, tail = heapq.heappop(heap)
+        least, out = self.forward(text), []
+        # (estimate, place, cost from it to the end, path)
+        agenda: list[tuple[int, int, int, tuple | None]] = [(least[-1], len(text), 0, None)]
+        while agenda and len(out) < n:
+            total, at, behind, path = agenda.pop(0)
             if at == 0:
                 ids: list[int] = []
-                while tail is not None:
-                    ids.extend(tail[0])
-                    tail = tail[1]
+                while path is not None:
+                    ids.extend(path[0])
+                    path = path[1]
                 out.append((total, tuple(ids)))
                 continue
-            for start, cost, ids_in in into[at]:
-                heapq.heappush(heap, (first[start] + behind + cost, pushed, start, behind + cost, (ids_in, tail)))
-                pushed += 1
+            for start, cost, ids_in in self.into(text, at):
+                agenda.append((least[start] + behind + cost, start, behind + cost, (ids_in, path)))
+            agenda.sort(key=_first)
+            del agenda[n - len(out) :]
         return out
 
-    def n_best(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """(cost, ids) of up to n segmentations of a span, by cost."""
-        return self.search(text, n, self.edges(text), self.forward(text)[0])
+    def forward_all(self, spans: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of spans of one character or more: the ids of the best segmentations, joined; how many each has; the best's cost, the second best's."""
+        trie = self.trie = self.trie or Trie(self.pieces)
+        sizes = np.array(list(map(len, spans)), np.int64)
+        by = np.argsort(-sizes, kind="stable")  # longest first: who still has a character at a place is a slice
+        own, k, n = sizes[by], len(spans), int(sizes.max())
+        text = np.frombuffer("".join([spans[i] for i in by.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = np.zeros((n + 1, k), np.int32)
+        rows = np.repeat(np.arange(k), own)
+        places = np.arange(len(text)) - np.repeat(np.cumsum(own) - own, own)
+        letters[places, rows] = trie.number[text]
+        first, second = np.full((n + 1, k), NEVER), np.full((n + 1, k), NEVER)
+        back, piece = np.zeros((n + 1, k), np.int16), np.full((n + 1, k), -1, np.int32)
+        first[0] = 0
+        alive = np.searchsorted(-own, -np.arange(n), "left")  # spans longer than each place
+        for start in range(n):
+            m = int(alive[start])
+            who, node = np.arange(m), np.zeros(m, np.int64)
+            for end in range(start + 1, n + 1):
+                step = trie.base[node] + letters[end - 1, who]
+                on = trie.owner[step] == node
+                if end == start + 1:
+                    lone = np.flatnonzero(~on | (trie.cost[step] == NEVER))
+                    if len(lone):  # no piece of one character: its bytes
+                        self._reach(first, second, back, piece, start, end, lone, np.full(len(lone), self.unknown), -1)
+                who, node = who[on], step[on]
+                if not len(who):
+                    break
+                cost = trie.cost[node]
+                whole = np.flatnonzero(cost < NEVER)
+                if len(whole):
+                    self._reach(first, second, back, piece, start, end, who[whole], cost[whole], trie.id[node[whole]])
+        # back along the best paths, all spans at once
+        steps, live, at = [], np.arange(k), own.copy()
+        while len(live):
+            end = at[live]
+            steps.append((live, piece[end, live], end))
+            at[live] = back[end, live]
+            live = live[at[live] > 0]
+        count = np.zeros(k, np.int64)
+        for live, _, _ in steps:
+            count[live] += 1
+        begins, ids, ends = np.cumsum(count) - count, np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()), np.int64)
+        for t, (live, p, end) in enumerate(steps):
+            where = begins[live] + count[live] - 1 - t
+            ids[where], ends[where] = p, end
+        costs, others = first[own, np.arange(k)], second[own, np.arange(k)]
+        if len(lone := np.flatnonzero(ids < 0)):
+            char = np.repeat(np.cumsum(own) - own, count)[lone] + ends[lone] - 1
+            raw = [self._bytes_of(chr(c)) for c in text[char].tolist()]
+            width = np.ones(len(ids), np.int64)
+            width[lone] = list(map(len, raw))
+            to = np.cumsum(width) - width
+            count = np.add.reduceat(width, begins)
+            wide = np.empty(int(width.sum()), np.int64)
+            wide[to] = ids
+            wide[np.concatenate([np.arange(a, a + len(r)) for a, r in zip(to[lone].tolist(), raw, strict=True)])] = list(chain.from_iterable(raw))
+            ids, begins = wide, np.cumsum(count) - count
+        # in the order given
+        back_to = np.empty(k, np.int64)
+        back_to[by] = np.arange(k)
+        return _gathered(ids.astype(np.int32), begins[back_to], count[back_to]), count[back_to], costs[back_to], others[back_to]
+
+    @staticmethod
+    def _reach(first, second, back, piece, start, end, who, cost, name) -> None:  # noqa: ANN001
+        """Takes an edge from ``start`` to ``end`` for the spans ``who``."""
+        new, other = first[start, who] + cost, second[start, who] + cost
+        held = first[end, who]
+        better = new < held
+        second[end, who] = np.minimum(np.minimum(np.maximum(held, new), second[end, who]), other)
+        moved = who[better]
+        first[end, moved], back[end, moved] = new[better], start
+        piece[end, moved] = name[better] if isinstance(name, np.ndarray) else name
+
+
+def _first(open_: tuple) -> tuple[int, int]:
+    return open_[:2]
+
+
+def _gathered(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices data[begin : begin + size], joined."""
+    ends = np.cumsum(sizes)
+    return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)]
 
 
 class _Spans(dict):
-    """span -> (ids, cost, loss of the second best: NEVER if there is none)."""
+    """name of a span -> its number. Arrays hold the ids of each number's best segmentation, its cost, and the loss of the second best.
+
+    Names spare cutting texts by a pattern: a span of one space and a word is named by the word, "" is one space, and a
+    word without a space is named by "\0" and the word; what these would confuse, by a line feed and the span.
+    """
 
     def __init__(self, vocabulary: Vocabulary, n: int):
         super().__init__()
         self.vocabulary, self.n = vocabulary, n
-        self.others: dict[str, list[tuple[int, tuple[int, ...]]]] = {}
-
-    def learn(self, spans: set[str]) -> None:
-        """Remembers the spans that it doesn't know; afterwards :func:`encode_names` finds each of them."""
-        new = [x for x in spans if x not in self and len(x) <= LONG]
-        for x, ids, cost, other in self.vocabulary.forward_all(new):
-            self[x] = (ids, cost, other - cost if other < NEVER else NEVER)
-
-    def __missing__(self, span: str) -> tuple:
-        first, second, back = self.vocabulary.forward(span)
-        # the search for one segmentation expands just the best path
-        at, parts = len(span), []
-        while at:
-            at, ids = back[at]
-            parts.append(ids)
-        parts.reverse()
-        cost = first[-1]
-        out = self[span] = (tuple(chain.from_iterable(parts)), cost, second[-1] - cost if second[-1] < NEVER else NEVER)
-        return out
+        self.cut = re.compile(r" +[^ \n]*|[^ \n]+|\n").findall
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.others: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+        self.new: list[str] = []
+        self.names: list[str] = []
+        self.ids, self.begins, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.costs, self.losses = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, name: str) -> int:
+        self.new.append(name)
+        n = self[name] = len(self)
+        return n
+
+    def names_of(self, text: str) -> list[str]:
+        """The names of a text's spans."""
+        if not text:
+            return []
+        if text[0] == " " or "  " in text or "\0" in text:
+            return [x if x == "\n" else "\0" + x if x[0] != " " else x[1:] if x[1:2] not in (" ", "\0") else "\n" + x for x in self.cut(" " + text)]
+        return text.replace("\n", " \n \0").split(" ")
+
+    @staticmethod
+    def span_of(name: str) -> str:
+        return name if name == "\n" else name[1:] if name[:1] in ("\0", "\n") else " " + name
+
+    def numbers(self, names: Iterable[str]) -> np.ndarray:
+        """The numbers of spans; new ones are searched and remembered."""
+        found = np.fromiter(map(self.__getitem__, names), np.int64)
+        if self.new:
+            self._learn(list(map(self.span_of, self.new)))
+        return found
 
-    def after(self, span: str) -> list[tuple[int, tuple[int, ...]]]:
+    def _learn(self, new: list[str]) -> None:
+        self.names += self.new
+        self.new = []
+        sizes, costs, others = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), np.full(len(new), NEVER)
+        parts: list[np.ndarray] = []
+        which: list[np.ndarray] = []
+        lengths = np.array(list(map(len, new)))
+        short = np.flatnonzero((lengths > 0) & (lengths <= LONG))
+        for i in range(0, len(short), BLOCK):
+            at = short[i : i + BLOCK]
+            ids, sizes[at], costs[at], others[at] = self.vocabulary.forward_all([new[j] for j in at.tolist()])
+            parts.append(ids)
+            which.append(at)
+        for j in np.flatnonzero(lengths > LONG).tolist():
+            best = self.vocabulary.n_best(new[j], max(2, self.n))
+            parts.append(np.array(best[0][1], np.int32))
+            which.append(np.array([j]))
+            sizes[j], costs[j] = len(best[0][1]), best[0][0]
+            if len(best) > 1:
+                others[j] = best[1][0]
+            self.others[len(self.begins) + j] = best[1 : self.n]
+        order = np.concatenate([*which, np.zeros(0, np.int64)]).astype(np.int64)
+        begins = np.zeros(len(new), np.int64)
+        begins[order] = np.cumsum(sizes[order]) - sizes[order]
+        self.begins = np.concatenate([self.begins, begins + len(self.ids)])
+        self.ids = np.concatenate([self.ids, *parts])
+        self.sizes, self.costs = np.concatenate([self.sizes, sizes]), np.concatenate([self.costs, costs])
+        self.losses = np.concatenate([self.losses, np.where(others < NEVER, others - costs, NEVER)])
+
+    def after(self, number: int) -> list[tuple[int, tuple[int, ...]]]:
         """The segmentations of a span behind its best, up to the n-th."""
-        found = self.others.get(span)
+        found = self.others.get(number)
         if found is None:
-            if len(self.others) > REMEMBERED // 10:
-                self.others.clear()
-            found = self.others[span] = self.vocabulary.n_best(span, self.n)[1:]
+            found = self.others[number] = self.vocabulary.n_best(self.span_of(self.names[number]), self.n)[1:]
         return found
 
 
@@ -277,41 +367,49 @@ def _spans(path: str, n: int) -> _Spans:
         gc.freeze()  # what is remembered holds no cycles: collections over it would only take time
         gc.set_threshold(200_000, 50, 100)
     elif len(held) > REMEMBERED:
-        held.clear()
+        held.forget()
     return held
 
 
-def encode_names(names: list[str], spans: _Spans) -> tuple[list[int], list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
-    """For a text's spans the ids of the best segmentation, and for each of the N best (cost, edits): an edit is (at, dropped, ids) of the best's ids."""
-    if not names:
-        return [], [(0, [])]
-    entries = list(map(spans.__getitem__, names))
-    best, costs, losses = zip(*entries, strict=True)
-    ids = list(chain.from_iterable(best))
-    cost = sum(costs)
-    top: list[tuple[int, tuple[tuple[int, int], ...]]] = [(0, ())]
-    if spans.n > 1:
-        loss = np.array(losses)
-        few = np.argsort(loss, kind="stable")[: spans.n - 1] if len(loss) < 64 else np.sort(np.argpartition(loss, spans.n - 2)[: spans.n - 1])
-        for i in few.tolist():
-            more = spans.after(names[i]) if loss[i] < NEVER else []
-            ways = [(c + a - entries[i][1], (*moved, (i, k))) for c, moved in top for k, (a, _) in enumerate(more)]
-            top = sorted(top + ways, key=lambda w: w[0])[: spans.n]
-    if len(top) > 1:
-        starts = np.concatenate([[0], np.cumsum(list(map(len, best)))])
-    out = []
-    for c, moved in top:
-        out.append((cost + c, [(int(starts[i]), len(entries[i][0]), spans.after(names[i])[k][1]) for i, k in sorted(moved)]))
-    return ids, out
+Edit = tuple[int, int, tuple[int, ...]]
+
+
+def _edit(old: np.ndarray, new: tuple[int, ...], at: int) -> Edit:
+    """What turns a span's best ids, which begin at ``at``, into others: without what both begin and end with."""
+    kept, a, b = old.tolist(), 0, 0
+    while a < min(len(kept), len(new)) and kept[a] == new[a]:
+        a += 1
+    while b < min(len(kept), len(new)) - a and kept[-1 - b] == new[-1 - b]:
+        b += 1
+    return at + a, len(kept) - a - b, new[a : len(new) - b]
 
 
-def encode_texts(texts: list[str], model: str, n_best: int) -> list:
-    """:func:`encode_names` of the spans of each text; spans that are new are passed forward at once."""
+def encode_texts(texts: list[str], model: str, n_best: int) -> list[tuple[np.ndarray, list[tuple[int, list[Edit]]]]]:
+    """For each text the ids of the best segmentation, and for each of the N best (cost, edits): an edit is (at, dropped, ids) of the best's ids."""
     spans = _spans(model, n_best)
-    find = spans.vocabulary.span.findall
-    names = [find(" " + x) if x else [] for x in texts]
-    spans.learn(set(chain.from_iterable(names)))
-    return [encode_names(x, spans) for x in names]
+    names = [spans.names_of(x) for x in texts]
+    counts = np.array(list(map(len, names)), np.int64)
+    numbers = spans.numbers(chain.from_iterable(names))
+    sizes, ends = spans.sizes[numbers], np.cumsum(counts)
+    ids = _gathered(spans.ids, spans.begins[numbers], sizes)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    costs = np.concatenate([[0], np.cumsum(spans.costs[numbers])])
+    losses = spans.losses[numbers]
+    out = []
+    for i, j in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+        cost, start = int(costs[j] - costs[i]), int(at[i])
+        top: list[tuple[int, tuple[tuple[int, int], ...]]] = [(0, ())]
+        if n_best > 1 and j > i:
+            loss = losses[i:j]
+            few = np.argsort(loss, kind="stable")[: n_best - 1] if j - i < 64 else np.sort(np.argpartition(loss, n_best - 2)[: n_best - 1])
+            for k in (few + i).tolist():
+                if losses[k] < NEVER:
+                    best, more = int(spans.costs[numbers[k]]), spans.after(int(numbers[k]))
+                    ways = [(c + a - best, (*moved, (k, w))) for c, moved in top for w, (a, _) in enumerate(more)]
+                    top = sorted(top + ways, key=lambda w: w[0])[:n_best]
+        best_of = [(cost + c, [_edit(ids[at[k] : at[k + 1]], spans.after(int(numbers[k]))[w][1], int(at[k]) - start) for k, w in sorted(moved)]) for c, moved in top]
+        out.append((ids[start : int(at[j])], best_of))
+    return out
 
 
 def _parts(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
@@ -327,13 +425,22 @@ def _parts(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
 
 
 ENCODED = "doc_id long, ids array<int>, segmentations array<struct<cost: long, edits: array<struct<at: int, dropped: int, ids: array<int>>>>>"
-_EDITS = pa.list_(pa.struct([("at", pa.int32()), ("dropped", pa.int32()), ("ids", pa.list_(pa.int32()))]))
-_SEGMENTATIONS = pa.list_(pa.struct([("cost", pa.int64()), ("edits", _EDITS)]))
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))))
+def _lists(sizes: Iterable[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.array(list(sizes), np.int64))]).astype(np.int32)), values)
+
+
+def _encoded(ids: pa.Array, texts: list[str], model: str, n_best: int) -> pa.RecordBatch:
+    done = encode_texts(texts, model, n_best)
+    ways = list(chain.from_iterable([best for _, best in done]))
+    edits = list(chain.from_iterable([e for _, e in ways]))
+    new = _lists([len(e[2]) for e in edits], pa.array(list(chain.from_iterable([e[2] for e in edits])), pa.int32()))
+    edit = pa.StructArray.from_arrays([pa.array([e[0] for e in edits], pa.int32()), pa.array([e[1] for e in edits], pa.int32()), new], ["at", "dropped", "ids"])
+    way = pa.StructArray.from_arrays([pa.array([c for c, _ in ways], pa.int64()), _lists([len(e) for _, e in ways], edit)], ["cost", "edits"])
+    best = np.concatenate([x for x, _ in done]) if done else np.zeros(0, np.int32)
+    cols = [ids, _lists([len(x) for x, _ in done], pa.array(best, pa.int32())), _lists([len(b) for _, b in done], way)]
+    return pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "segmentations"])
 
 
 def encode(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL) -> DataFrame:
@@ -343,9 +450,7 @@ def encode(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL) -> DataFra
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for i, j in _parts(map(len, texts), TOGETHER):
-                done = encode_texts(texts[i:j], model, n_best)
-                best = pa.array([[{"cost": c, "edits": [{"at": a, "dropped": d, "ids": e} for a, d, e in edits]} for c, edits in segs] for _, segs in done], _SEGMENTATIONS)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), _lists([ids for ids, _ in done]), best], ["doc_id", "ids", "segmentations"])
+                yield _encoded(batch.column("doc_id").slice(i, j - i), texts[i:j], model, n_best)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(run, ENCODED)

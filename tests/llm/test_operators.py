@@ -2,13 +2,16 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
@@ -253,23 +256,99 @@ def segmentations_by_hand(v, text):
             if text[i:j] in v.pieces:
                 go(j, cost + v.pieces[text[i:j]][1], (*ids, v.pieces[text[i:j]][0]))
         if text[i] not in v.pieces:
-            raw = text[i].encode()
-            go(i + 1, cost + v.byte_cost * len(raw), (*ids, *(v.byte_ids[b] for b in raw)))
+            go(i + 1, cost + v.unknown, (*ids, *(v.byte_ids[b] for b in text[i].encode())))
 
     go(0, 0, ())
     return sorted(out)
 
 
-@pytest.mark.parametrize("text", ["the end", "a\nb  c", "é漢😀 x", "hello", " ", "▁the", "don't\n\n"])
-def test_n_best_by_hand(vocabulary, text):
-    want = segmentations_by_hand(vocabulary, " " + text)
-    (ids, found), = pieces.encode_texts([text], pieces.MODEL, 4)
-    assert [c for c, _ in found] == [c for c, _ in want[:4]]
-    for cost, edits in found:
-        other = list(ids)
-        for at, dropped, new in reversed(edits):
-            other[at : at + dropped] = new
-        assert (cost, tuple(other)) in want
+def edited(ids, edits):
+    out = ids.tolist()
+    for at, dropped, new in reversed(edits):
+        out[at : at + dropped] = new
+    return tuple(out)
+
+
+def some_texts():
+    rng = random.Random(1)
+    return ["the end", "a\nb  c", "é漢😀 x", "hello", " ", "▁the", "don't\n\n", "\0 \0", *("".join(rng.choice("abe th in\nx=.漢😀1\0é") for _ in range(rng.randint(1, 9))) for _ in range(200))]
+
+
+def test_n_best_by_hand(vocabulary):
+    for n in (1, 4):
+        for text, (ids, found) in zip(some_texts(), pieces.encode_texts(some_texts(), pieces.MODEL, n), strict=True):
+            want = segmentations_by_hand(vocabulary, " " + text)
+            assert [c for c, _ in found] == [c for c, _ in want[:n]], text
+            ways = {(cost, edited(ids, edits)) for cost, edits in found}
+            assert len(ways) == len(found) and ways <= set(want)
+
+
+def test_long_spans_pass_as_short_ones(vocabulary, monkeypatch):
+    texts = [t * 9 for t in some_texts()]
+    apart = pieces.encode_texts(texts, pieces.MODEL, 3)
+    monkeypatch.setattr(pieces, "LONG", 0)
+    pieces._spans(pieces.MODEL, 3).forget()
+    for (a, x), (b, y) in zip(apart, pieces.encode_texts(texts, pieces.MODEL, 3), strict=True):
+        assert [c for c, _ in x] == [c for c, _ in y] and sum(len(e) for _, e in x) == sum(len(e) for _, e in y)
+        assert len(a) == len(b)
+    pieces._spans(pieces.MODEL, 3).forget()
+
+
+@pytest.mark.parametrize("text", ["x" * 20_000, "=" * 50_000, "ab" * 20_000, " " * 30_000, "漢" * 20_000])
+def test_long_uniform_spans_end_soon(text):
+    start = time.time()
+    ((ids, found),) = pieces.encode_texts([text], pieces.MODEL, 3)
+    assert time.time() - start < 10 and pieces.decode_ids(ids.tolist(), pieces.Vocabulary().bytes) == text
+    assert len({edited(ids, e) for _, e in found}) == len(found) and [c for c, _ in found] == sorted(c for c, _ in found)
+
+
+def as_unigram(raw):
+    """The model file with the type of its trainer set to unigram, for which the library searches the same lattice."""
+
+    def fields(data):
+        i = 0
+        while i < len(data):
+            start, key, shift = i, 0, 0
+            while True:
+                key |= (data[i] & 127) << shift
+                i, shift, more = i + 1, shift + 7, data[i] > 127
+                if not more:
+                    break
+            head, size, shift = i, 0, 0
+            if key & 7 in (0, 2):
+                while True:
+                    size |= (data[i] & 127) << shift
+                    i, shift, more = i + 1, shift + 7, data[i] > 127
+                    if not more:
+                        break
+                body = i
+                i += size if key & 7 == 2 else 0
+            else:
+                body = i
+                i += {5: 4, 1: 8}[key & 7]
+            yield key, data[start:i], data[body:i], head
+
+    def number(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + number(n >> 7)
+
+    out = b""
+    for key, whole, body, _ in fields(raw):
+        if key == 2 << 3 | 2:
+            inner = b"".join(b"\x18\x01" if k == 3 << 3 else w for k, w, _, _ in fields(body))
+            whole = bytes([key]) + number(len(inner)) + inner
+        out += whole
+    return out
+
+
+def test_best_segmentations_are_the_library_ones():
+    with open(pieces.MODEL, "rb") as file:
+        library = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(file.read()))
+    texts = ["hello world, it's", "supercalifragilistic", "The quick brown fox jumps over the lazy dog.", "über Straße façade", "x = [1, 2, 3]"]
+    for text, (ids, found) in zip(texts, pieces.encode_texts(texts, pieces.MODEL, 4), strict=True):
+        want = library.nbest_encode(text, nbest_size=4, out_type=int)
+        cost = lambda x: sum(-library.get_score(i) for i in x)  # noqa: B023, E731
+        assert cost(ids.tolist()) == cost(want[0]) and [c for c, _ in found] == sorted(cost(w) for w in want)
+        assert {edited(ids, e) for _, e in found[:1]} == {tuple(want[0])}
 
 
 def test_decoding_gives_texts_back(spark, odd):
