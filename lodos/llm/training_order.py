@@ -1,18 +1,22 @@
 """Token ids in training order: packed sequences, a keyed Feistel permutation, fixed-stride shards.
 
-1. Texts are tokenized (byte-level BPE) once, and written as packed ids with their count and their place in the task's run
-   of tokens. Counts of the tasks' runs, added up, place every document in one stream; each is followed by the end token.
+1. Texts are tokenized (byte-level BPE) once, and written as compressed chunks of ids with the id, hash and count of each
+   of their documents. Documents are then put in order by (doc_id, null last; hash of the text): ranges of that order are
+   numbered, their counts added up, and so every document gets its place in one stream, whatever files or partitions it
+   came from. Each document is followed by the end token. Places return to the scan's tasks as one small file for each,
+   so that the ids themselves are not moved for it.
 2. The stream is cut every ``length`` tokens. Sequence i of n gets the slot that a keyed Feistel network assigns: a
    permutation of the next power of four, walked along its cycle until it falls below n. Slots are computed, never stored,
    and the inverse network tells which sequence a slot holds.
-3. Pieces of sequences are range-partitioned by shard (``per_shard`` consecutive slots) and sorted by slot; each shard is
-   written at once as one file in which slot s begins at (s % per_shard) * stride bytes. So training reads sequentially,
-   and resumes anywhere by arithmetic. A shard is written under another name and moved, so a lost task leaves no part.
+3. Pieces of sequences go to the range of slots that they belong to (``per_shard`` consecutive slots, a shard), those of a
+   task and a shard as one compressed blob. Each shard is written at once as one file in which slot s begins at
+   (s % per_shard) * stride bytes. So training reads sequentially, and resumes anywhere by arithmetic. A shard is written
+   under another name and moved, so a lost task leaves no part.
 
 Only the tail of the last sequence is padded, with the end token.
 
-Defined results for odd input: null and empty texts give an end token alone; equal rows are written each; the stream
-follows the scan, so ids tie nothing; an empty table writes no shard; only the id and text columns are read.
+Defined results for odd input: null and empty texts give an end token alone; equal rows are written each, side by side; an
+empty table writes no shard; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +44,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LENGTH, PER_SHARD = 1024, 4096
 ROUNDS = 6
 REMEMBERED = 300_000
+#: Bytes of ids in a chunk; bytes of ids that a task cuts into pieces at once; documents in a range of their order.
+CHUNK, TOGETHER, RANGE_DOCS = 4 << 20, 32 << 20, 1_000_000
 
 
 class Tokens(dict):
@@ -77,20 +84,102 @@ def tokens_of(path: str = MODEL) -> Tokens:
 
 
 def tokenized(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, run, start, n, ids): packed ids; start counts the tokens before them in the task's run. Written to the shared folder."""
+    """(run, first, doc_ids, hashes, ns, ids): chunks of documents as a scan task met them, ``first`` counts those before.
+
+    ids: their packed ids, compressed. Written to the shared folder.
+    """
+    names = ["run", "first", "doc_ids", "hashes", "ns", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, at, task = tokens_of(model), 0, TaskContext.get().partitionId()
+        pack = zstandard.ZstdCompressor(level=6).compress
+        held: list[tuple[pa.Array, pa.Array, list[int], bytes]] = []
+
+        def chunk() -> pa.RecordBatch:
+            nonlocal at
+            ids, hashes = pa.concat_arrays([h[0] for h in held]), pa.concat_arrays([h[1] for h in held])
+            ns = [n for h in held for n in h[2]]
+            body = pack(b"".join([h[3] for h in held]))
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            out = [pa.array([task], pa.int64()), pa.array([at], pa.int64()), one(ids), one(hashes), one(pa.array(ns, pa.int64())), pa.array([body], pa.binary())]
+            at += len(ns)
+            held.clear()
+            return pa.RecordBatch.from_arrays(out, names)
+
+        for batch in batches:
+            texts, i, size = batch.column("text").to_pylist(), 0, sum(len(h[3]) for h in held)
+            parts: list[bytes] = []
+            for j, text in enumerate(texts, 1):
+                parts.append(tokens.encode(text))
+                size += len(parts[-1])
+                if size >= CHUNK or j == len(texts):
+                    held.append((batch.column("doc_id").slice(i, j - i), batch.column("hash").slice(i, j - i), [len(p) // tokens.dtype.itemsize for p in parts], b"".join(parts)))
+                    i, parts = j, []
+                if size >= CHUNK:
+                    yield chunk()
+                    size = 0
+        if held:
+            yield chunk()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("hash", F.xxhash64("text"))
+    return written(rows.mapInArrow(run, "run long, first long, doc_ids array<long>, hashes array<long>, ns array<long>, ids binary"), "tokens", "none")
+
+
+def placed(tokens: DataFrame) -> tuple[str, int]:
+    """Writes for each run a file of its documents' places in the stream; the folder, and the number of tokens."""
+    spark = tokens.sparkSession
+    pair = F.arrays_zip("doc_ids", "hashes", "ns")
+    docs = tokens.select("run", "first", F.posexplode(pair).alias("k", "d"))
+    docs = docs.select("run", (F.col("first") + F.col("k")).alias("at"), F.col("d.doc_ids").alias("doc_id"), F.col("d.hashes").alias("hash"), F.col("d.ns").alias("n"))
+    ranges = max(1, -(-(tokens.agg(F.sum(F.size("ns"))).first()[0] or 0) // RANGE_DOCS))
+    # the run and the place in it tell equal rows apart, so that no row has too many equals for a range
+    order = [F.col("doc_id").isNull(), "doc_id", "hash", "run", "at"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            ids = [tokens.encode(t) for t in batch.column("text").to_pylist()]
-            n = np.array([len(i) // tokens.dtype.itemsize for i in ids], np.int64)
-            start = at + np.cumsum(n) - n
-            at += int(n.sum())
-            cols = [batch.column("doc_id"), pa.array(np.full(len(n), task, np.int64)), pa.array(start), pa.array(n), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "run", "start", "n", "ids"])
+            n = batch.column("n").to_numpy()
+            begin = before + np.cumsum(n) - n
+            before += int(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int64)), batch.column("run"), batch.column("at"), pa.array(begin), batch.column("n")], ["part", "run", "at", "begin", "n"])
+
+    ordered = docs.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("run", "at", "n")
+    ordered = written(ordered.mapInArrow(add, "part long, run long, at long, begin long, n long"), "order")
+    # a row for each range
+    sums = ordered.groupBy("part").agg(F.sum("n").alias("all"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = written(sums.select("part", "all", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("before")), "ranges")
+    total = sums.agg(F.sum("all")).first()[0] or 0
+    folder = work_path(spark, "places")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return written(rows.mapInArrow(run, "doc_id long, run long, start long, n long, ids binary"), "tokens")
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _store(folder)
+        store.create_dir(top, recursive=True)
+        now, held, done = -1, [], []
+
+        def close() -> None:
+            if held:
+                part = f"{top}/{now}.{TaskContext.get().taskAttemptId()}"
+                with store.open_output_stream(part) as file:
+                    file.write(np.concatenate(held).tobytes())
+                store.move(part, f"{top}/{now}")
+                held.clear()
+                done.append(now)
+
+        for batch in batches:
+            runs, places = batch.column("run").to_numpy(), batch.column("place").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(runs)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i < j and runs[i] != now:
+                    close()
+                    now = int(runs[i])
+                held.append(places[i:j])
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], ["run"])
+
+    rows = ordered.join(F.broadcast(sums), "part").select("run", "at", (F.col("begin") + F.col("before")).alias("place"))
+    rows.repartition("run").sortWithinPartitions("run", "at").mapInArrow(write, "run long").agg(F.count("*")).first()
+    return folder, total
 
 
 class Feistel:
@@ -135,66 +224,89 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
 
 def write_order(docs: DataFrame, path: str, key: str = "order", length: int = LENGTH, per_shard: int = PER_SHARD, model: str = MODEL) -> tuple[int, int]:
     """Writes the shards below ``path`` (any address that pyarrow opens); the number of sequences and of tokens."""
-    spark = docs.sparkSession
     tokens = tokenized(docs, model)
-    runs = tokens.groupBy("run").agg(F.sum("n").alias("run_n"))
-    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    # a row for each task of the scan
-    runs = written(runs.select("run", "run_n", F.coalesce(F.sum("run_n").over(before), F.lit(0)).alias("run_start")), "runs")
-    total = runs.agg(F.sum("run_n")).first()[0] or 0
+    folder, total = placed(tokens)
     n = -(-total // length)
     if not n:
         return 0, 0
-    order, size, end = Feistel(n, key), tokens_of(model).dtype.itemsize, tokens_of(model).end
-    dtype = tokens_of(model).dtype
-    placed = tokens.join(runs, "run").select((F.col("start") + F.col("run_start")).alias("at"), "n", "ids")
-    cut = placed.select("at", "n", "ids", F.explode(F.sequence(F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("n") - 1) / length))).alias("sequence"))
-    first = F.greatest(F.col("at"), F.col("sequence") * length)
-    last = F.least(F.col("at") + F.col("n"), (F.col("sequence") + 1) * length)
-    parts = cut.select("sequence", (first - F.col("sequence") * length).cast("int").alias("offset"), F.substring("ids", ((first - F.col("at")) * size + 1).cast("int"), ((last - first) * size).cast("int")).alias("ids"))
-
-    def slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = order.slots(batch.column("sequence").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // per_shard), *batch.columns[1:]], ["slot", "shard", "offset", "ids"])
+    order, end, dtype = Feistel(n, key), tokens_of(model).end, tokens_of(model).dtype
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _store(folder)
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        run, places, size = -1, np.zeros(0, np.int64), 0
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+
+        def blobs() -> pa.RecordBatch:
+            out = []
+            for parts in held.values():
+                offsets, sizes, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+                out.append(pack(b"".join([np.int64(len(offsets)).tobytes(), offsets.tobytes(), sizes.tobytes(), ids.tobytes()])))
+            cols = [pa.array(held, pa.int64()), pa.array(out, pa.binary())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(cols, ["shard", "blob"])
 
-    stride = length * size
+        for batch in batches:
+            for r, first, ns, body in zip(batch.column("run").to_pylist(), batch.column("first").to_pylist(), batch.column("ns"), batch.column("ids").to_pylist(), strict=True):
+                if r != run:
+                    run = r
+                    with store.open_input_file(f"{top}/{run}") as file:
+                        places = np.frombuffer(file.read(), np.int64)
+                ids, ns = np.frombuffer(unpack(body), dtype), ns.values.to_numpy()
+                at = places[first : first + len(ns)]
+                low, many = at // length, (at + ns - 1) // length - at // length + 1
+                doc = np.repeat(np.arange(len(ns)), many)
+                sequence = low[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                begin, stop = np.maximum(at[doc], sequence * length), np.minimum((at + ns)[doc], (sequence + 1) * length)
+                source, sizes = (np.cumsum(ns) - ns)[doc] + begin - at[doc], stop - begin
+                slot = order.slots(sequence)
+                shard, offset = slot // per_shard, (slot % per_shard) * length + begin - sequence * length
+                by = np.argsort(shard, kind="stable")
+                cuts = [0, *(np.flatnonzero(np.diff(shard[by])) + 1).tolist(), len(by)]
+                for i, j in zip(cuts, cuts[1:], strict=False):
+                    rows = by[i:j]
+                    ends = np.cumsum(sizes[rows])
+                    which = np.arange(int(ends[-1])) + np.repeat(source[rows] - (ends - sizes[rows]), sizes[rows])
+                    held.setdefault(int(shard[rows[0]]), []).append((offset[rows], sizes[rows].astype(np.int32), ids[which]))
+                size += ids.nbytes
+                if size >= TOGETHER:
+                    yield blobs()
+                    size = 0
+        if held:
+            yield blobs()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _store(path)
         store.create_dir(top, recursive=True)
-        out, name, shard, slot_now, held = None, "", -1, -1, []
-        done: list[tuple[int, int]] = []
-
-        def flush() -> None:
-            if held:
-                row = b"".join(held)
-                out.write(row + np.full((stride - len(row)) // size, end, dtype).tobytes())
-                held.clear()
+        unpack = zstandard.ZstdDecompressor().decompress
+        now, rows, done = -1, np.zeros(0, dtype), []
 
         def close() -> None:
-            if out is not None:
-                flush()
-                out.close()
-                store.move(f"{top}/{name}.{TaskContext.get().taskAttemptId()}", f"{top}/{name}")
+            if now >= 0:
+                name = f"{top}/shard-{now:08d}.bin"
+                part = f"{name}.{TaskContext.get().taskAttemptId()}"
+                with store.open_output_stream(part) as file:
+                    file.write(rows.tobytes())
+                store.move(part, name)
+                done.append(now)
 
         for batch in batches:
-            for s, h, ids in zip(batch.column("slot").to_pylist(), batch.column("shard").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if h != shard:
+            for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if shard != now:
                     close()
-                    shard, name = h, f"shard-{h:08d}.bin"
-                    out = store.open_output_stream(f"{top}/{name}.{TaskContext.get().taskAttemptId()}")
-                    done.append((h, 0))
-                elif s != slot_now:
-                    flush()
-                slot_now = s
-                held.append(ids)
+                    now, rows = shard, np.full(min(per_shard, n - shard * per_shard) * length, end, dtype)
+                raw = unpack(blob)
+                k = int(np.frombuffer(raw, np.int64, 1)[0])
+                offsets, sizes = np.frombuffer(raw, np.int64, k, 8), np.frombuffer(raw, np.int32, k, 8 + 8 * k).astype(np.int64)
+                ids = np.frombuffer(raw, dtype, -1, 8 + 12 * k)
+                rows[np.arange(len(ids)) + np.repeat(offsets - (np.cumsum(sizes) - sizes), sizes)] = ids
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in done], pa.int64())], ["shard"])
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], ["shard"])
 
     shards = -(-n // per_shard)
-    slotted = parts.mapInArrow(slot, "slot long, shard long, offset int, ids binary")
-    dealt = slotted.repartitionByRange(min(shards, 100_000), "shard").sortWithinPartitions("slot", "offset")
+    many = min(shards, 100_000)
+    ranged = tokens.select("run", "first", "ns", "ids").mapInArrow(pieces, "shard long, blob binary")
+    dealt = ranged.repartitionById(many, F.floor(F.col("shard") * many / F.lit(shards)).cast("int")).sortWithinPartitions("shard")
     found = dealt.mapInArrow(write, "shard long").agg(F.count("*")).first()[0]
     if found != shards:
         raise RuntimeError(f"{found} of {shards} shards were written")
@@ -222,7 +334,7 @@ def described(spark: SparkSession, path: str, n: int, key: str = "order", length
         for batch in batches:
             for shard in batch.column("id").to_pylist():
                 slots = np.arange(shard * per_shard, min(n, (shard + 1) * per_shard))
-                rows = [(int((x == end).sum()), zlib.crc32(x.tobytes()), int(x[0])) for x in read_slots(path, int(slots[0]), len(slots), length, per_shard, dtype)]
+                rows = [(np.count_nonzero(x == end), zlib.crc32(x), int(x[0])) for x in read_slots(path, int(slots[0]), len(slots), length, per_shard, dtype)]
                 ends, crc, first = zip(*rows, strict=True)
                 cols = [slots, order.sequences(slots), np.full(len(slots), shard), (slots % per_shard) * length * dtype.itemsize, ends, crc, first]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["slot", "sequence", "shard", "byte", "n_ends", "crc32", "first_id"])

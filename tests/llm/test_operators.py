@@ -438,6 +438,31 @@ def test_shards_hold_every_token_in_slot_order(spark, odd, tmp_path):
     assert sizes == {50 * 32 * tokens.dtype.itemsize}
 
 
+def test_shards_do_not_depend_on_partitions(spark, odd, tmp_path):
+    found = []
+    for k in (1, 7):
+        path = tmp_path / f"order{k}"
+        training_order.write_order(odd.repartition(k), f"file://{path}", length=32, per_shard=50)
+        found.append([p.read_bytes() for p in sorted(path.glob("shard-*.bin"))])
+    assert found[0] == found[1] and len(found[0]) > 2
+    # the stream holds documents by id, null last, then by their texts' hashes
+    tokens = training_order.tokens_of()
+    n = sum(map(len, found[0])) // (32 * tokens.dtype.itemsize)
+    stream = np.empty((n, 32), tokens.dtype)
+    stream[training_order.Feistel(n, "order").sequences(np.arange(n))] = np.frombuffer(b"".join(found[0]), tokens.dtype).reshape(n, 32)
+    order = sorted(ROWS, key=lambda r: (r[0] is None, r[0] or 0))
+    ids = [i for i, _ in Counter(r[0] for r in order).items()]
+    want = [{tuple(tokens.coder.encode_ordinary(r[1] or "")) for r in ROWS if r[0] == i} for i in ids for _ in range(sum(r[0] == i for r in ROWS))]
+    texts, now = [], []
+    for t in stream.reshape(-1).tolist():
+        if t == tokens.end:
+            texts.append(tuple(now))
+            now = []
+        else:
+            now.append(t)
+    assert all(t in w for t, w in zip(texts, want))
+
+
 # --- quality
 
 
