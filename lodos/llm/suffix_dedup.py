@@ -14,15 +14,16 @@ strings have equal anchors at equal places. Runs of neighbouring strings with on
 to a bin by their anchor's hash. In a bin
   1. segments stay whose anchor, with half of what a string holds beyond it on one side, occurs in two documents;
   2. segments of an anchor are aligned at it and trimmed to what agrees with some other segment; equal ones become one;
-  3. an anchor with one segment left is settled by equality; all others are concatenated, in blocks of bounded size, and
-     put in suffix order. Neighbours that agree on ``least`` bytes form a class, whose smallest id is what counts.
+  3. a segment that lies whole in one of a smaller id goes whole; an anchor with one segment left is settled; all others
+     are concatenated, in blocks of bounded size, and put in suffix order. Neighbours that agree on ``least`` bytes form a
+     class, whose smallest id is what counts.
 Ranges of strings to remove return to their documents, where they are united and cut out.
 
 Bins are sized by the table's bytes. The bytes of one anchor's occurrences meet in one bin.
 
 Defined results for odd input: null and empty texts have no bytes; documents of one id never remove from each other; a
-null id is larger than all others; equal rows (same id, same text) give equal rows; an empty table gives an empty
-table; only the id and text columns are read.
+null id is larger than all others but 2^63 - 1, which counts as the same id and still comes back as itself; equal rows
+(same id, same text) give equal rows; an empty table gives an empty table; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +44,8 @@ LEAST = 50
 GRAM = 12
 #: Text bytes for each bin; bins at least.
 BIN_BYTES, BINS = 8 << 20, 64
-#: Text bytes that a task cuts into segments at once; bytes put in suffix order at once.
-BLOCK, SORTED = 8 << 20, 1 << 18
+#: Text bytes that a task cuts into segments at once; bytes put in suffix order at once; variants that one is looked for in.
+BLOCK, SORTED, NEAR = 8 << 20, 1 << 18, 16
 LAST = (1 << 63) - 1
 
 
@@ -75,11 +75,6 @@ def suffix_array(text: bytes) -> list[int]:
     order[0], place[n - 1] = n - 1, 0
     before = [-1] * n  # previous smaller suffix
 
-    def move(j: int, group: int, to: int) -> None:
-        """Brings suffix j to place ``to`` of its group."""
-        p, other = place[j], order[to]
-        order[to], order[p], place[other], place[j] = j, other, p, to
-
     end = n - 1
     while end > 0:
         group = start[order[end]]
@@ -93,8 +88,10 @@ def suffix_array(text: bytes) -> list[int]:
                 own = start[j]
                 k = size[own]
                 if k > 1:
-                    move(j, own, own + k - 1)
-                    size[own], start[j], size[own + k - 1] = k - 1, own + k - 1, 1
+                    to, p = own + k - 1, place[j]
+                    other = order[to]
+                    order[to], order[p], place[other], place[j] = j, other, p, to
+                    size[own], start[j], size[to] = k - 1, to, 1
             end -= 1
             continue
         times: dict[int, int] = {}
@@ -115,7 +112,8 @@ def suffix_array(text: bytes) -> list[int]:
                     to = own + size[own]
                     for j in them:
                         to -= 1
-                        move(j, own, to)
+                        p, other = place[j], order[to]
+                        order[to], order[p], place[other], place[j] = j, other, p, to
                     for j in them:
                         start[j] = to
                     size[own], size[to] = rest, len(them)
@@ -155,19 +153,22 @@ def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
             break
         part = part[:-size] * power(size) + part[size:]
         size *= 2
-    out = out ^ (out >> np.uint64(29))
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    return out
+    return _mixed(out)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
-def _hashes_at(data: np.ndarray, places: np.ndarray, gram: int, block: int = 2 << 20) -> np.ndarray:
-    """:func:`_gram_hashes` at ascending places, a block of bytes at a time."""
+def _hashes_at(data: np.ndarray, places: np.ndarray, gram: int, block: int = 1 << 16) -> np.ndarray:
+    """A 64-bit hash of the ``gram`` bytes at each place, read as rows, a block of places at a time."""
     out = np.empty(len(places), np.uint64)
-    for a in range(0, len(data), block):
-        i, j = np.searchsorted(places, [a, a + block])
-        if j > i:
-            out[i:j] = _gram_hashes(data[a : a + block + gram], gram)[places[i:j] - a]
+    power = np.array([pow(_BASE, k, 1 << 64) for k in range(gram)][::-1], np.uint64)
+    rows = np.lib.stride_tricks.sliding_window_view(data, gram)
+    for a in range(0, len(places), block):
+        h = rows[places[a : a + block]].astype(np.uint64) @ power
+        out[a : a + block] = _mixed(h)
     return out
 
 
@@ -254,12 +255,15 @@ def _binned(docs: DataFrame, bins: int, least: int) -> DataFrame:
 
 
 def _runs_of(pieces: list[bytes]) -> Iterator[slice]:
+    """Slices of pieces that hold BLOCK bytes together, or one piece: places within them fit 24 bits."""
     start, held = 0, 0
     for i, p in enumerate(pieces):
+        if i > start and held + len(p) > BLOCK:
+            yield slice(start, i)
+            start, held = i, 0
         held += len(p)
-        if held >= BLOCK or i + 1 == len(pieces):
-            yield slice(start, i + 1)
-            start, held = i + 1, 0
+    if pieces:
+        yield slice(start, len(pieces))
 
 
 def _unpack(blobs: list[bytes], least: int) -> tuple[np.ndarray, ...]:
@@ -314,9 +318,12 @@ def _agree(anchor: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ranges(pdf: pd.DataFrame, least: int, gram: int) -> pd.DataFrame:
-    """(doc_id, text_hash, lo, hi): runs of starts of strings to remove, from one bin's blobs."""
-    ids, marks, places, strings, offs, body, begins = _unpack(pdf["blob"].tolist(), least)
+RANGES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
+
+
+def _ranges(bin_: pa.Table, least: int, gram: int) -> pa.Table:
+    """(doc_id, text_hash, lo, hi): runs of starts of strings to remove, from one bin's blobs; a row for each document, with lists of runs."""
+    ids, marks, places, strings, offs, body, begins = _unpack(bin_["blob"].to_pylist(), least)
     half = (least - gram) // 2
     size = strings + (least - 1)
     stay = np.zeros(len(ids), bool)
@@ -334,8 +341,22 @@ def _ranges(pdf: pd.DataFrame, least: int, gram: int) -> pd.DataFrame:
         for part in _parts(anchor, 60_000):
             out.append(_settle(anchor[part], ids[part], places[part], offs[part], begins[part], size[part], body, least, part))
     found = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-    k = found[:, 0]
-    return pd.DataFrame({"doc_id": ids[k], "text_hash": marks[k], "lo": found[:, 1], "hi": found[:, 2]})
+    if not len(found):
+        return pa.table({"doc_id": [], "text_hash": [], "lo": [], "hi": []}, RANGES)
+    k, lo, hi = found.T
+    by = np.lexsort((hi, lo, marks[k], ids[k]))
+    k, lo, hi = k[by], lo[by], hi[by]
+    other = np.concatenate([[True], (ids[k][1:] != ids[k][:-1]) | (marks[k][1:] != marks[k][:-1])])
+    # runs that touch become one; ends only grow within a document, so a shift by document keeps them apart
+    shift = np.cumsum(other) * (int(hi.max()) + 1)
+    reach = np.maximum.accumulate(hi + shift)
+    new = np.concatenate([[True], (lo + shift)[1:] > reach[:-1]])
+    ends = (reach - shift)[np.concatenate([new[1:], [True]])]
+    cuts = np.flatnonzero(other[new])[1:]
+    heads = k[other]
+    edges = pa.array(np.concatenate([[0], cuts, [int(new.sum())]]).astype(np.int32))
+    runs = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int32))) for x in (lo[new], ends)]
+    return pa.table([ids[heads], marks[heads], *runs], schema=RANGES)
 
 
 def _parts(anchor: np.ndarray, most: int) -> Iterator[np.ndarray]:
@@ -387,15 +408,21 @@ def _settle(anchor, ids, places, offs, begins, size, body, least, number) -> np.
         held = 0
 
     for variants in trimmed.values():
-        if len(variants) == 1:
-            ((text, them),) = variants.items()
-            if len(them) > 1:
-                least_id = min(ids_of[r] for r in them)
+        # what lies whole in a variant of a smaller id goes whole, and tells the others nothing
+        apart: list[tuple[int, bytes, list[int]]] = []
+        for least_id, text, them in sorted((min(map(ids_of.__getitem__, them)), text, them) for text, them in variants.items()):
+            if any(least_id > i and text in other for i, other, _ in apart[:NEAR]):
                 for r in them:
-                    if ids_of[r] > least_id:
-                        emit(r, 0, len(text) - least + 1)
+                    emit(r, 0, len(text) - least + 1)
+            else:
+                apart.append((least_id, text, them))
+        if len(apart) == 1:
+            ((least_id, text, them),) = apart
+            for r in them:
+                if ids_of[r] > least_id:
+                    emit(r, 0, len(text) - least + 1)
             continue
-        for text, them in variants.items():
+        for _, text, them in apart:
             waiting.append((text, them))
             held += len(text) + 1
         if held >= SORTED:
@@ -441,12 +468,10 @@ def _classes(texts: list[bytes], ids: list[int], least: int) -> list[list[int]]:
     return out
 
 
-def _cut(text: bytes, lo: list[int], hi: list[int], least: int) -> tuple[int, int, bytes]:
+def _cut(text: bytes, lo: np.ndarray, hi: np.ndarray, least: int) -> tuple[int, int, bytes]:
     """Bytes and maximal runs removed, and what is left, from runs of starts of strings."""
-    if not lo:
-        return 0, 0, text
     by = np.argsort(lo, kind="stable")
-    a, b = np.array(lo, np.int64)[by], np.maximum.accumulate(np.array(hi, np.int64)[by] + (least - 1))
+    a, b = lo[by].astype(np.int64), np.maximum.accumulate(hi[by].astype(np.int64) + (least - 1))
     new = np.concatenate([[True], a[1:] > b[:-1]])
     begins = a[new].tolist()
     ends = b[np.concatenate([new[1:], [True]])].tolist()
@@ -460,33 +485,46 @@ def _cut(text: bytes, lo: list[int], hi: list[int], least: int) -> tuple[int, in
 
 def removed(docs: DataFrame, least: int = LEAST, with_text: bool = False) -> DataFrame:
     """For every row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary, with ``with_text``)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    keyed = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text_hash", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    keyed = rows.withColumn("doc_id", F.coalesce("own_id", F.lit(LAST)))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ids = keyed.groupBy("doc_id").agg((F.min("text_hash") != F.max("text_hash")).alias("twice"))
     if ids.where("twice").isEmpty():
         keyed = keyed.withColumn("text_hash", F.lit(0).cast("long"))  # ids tell all texts apart: no hash need travel
     bins = max(BINS, -(-total // BIN_BYTES))
-    binned = _binned(keyed.where(F.octet_length("text") >= least), bins, least)
-    ranges = binned.groupBy("bin").applyInPandas(lambda pdf: _ranges(pdf, least, GRAM), "doc_id long, text_hash long, lo long, hi long")
-    listed = ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
-    joined = keyed.join(listed, ["doc_id", "text_hash"], "left")
-    joined = joined.select(F.when(F.col("doc_id") < LAST, F.col("doc_id")).alias("doc_id"), "text", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
+    binned = _binned(keyed.select("doc_id", "text_hash", "text").where(F.octet_length("text") >= least), bins, least)
+    ranges = binned.groupBy("bin").applyInArrow(lambda bin_: _ranges(bin_, least, GRAM), "doc_id long, text_hash long, lo array<int>, hi array<int>")
+    listed = ranges.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
+    joined = _packed(keyed).join(listed, ["doc_id", "text_hash"], "left").select("own_id", "packed", "lo", "hi")
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for text, lo, hi in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), strict=True):
-                gone, spans, left = _cut(text, lo or [], hi or [], least)
+            for packed, lo, hi in zip(batch.column("packed").to_pylist(), batch.column("lo"), batch.column("hi"), strict=True):
+                text = unpack(packed) if packed else b""
+                gone, spans, left = _cut(text, lo.values.to_numpy(), hi.values.to_numpy(), least) if lo.is_valid else (0, 0, text)
                 out.append((len(text), gone, spans, hashlib.sha256(left).hexdigest(), left)[: 5 if with_text else 4])
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=False)] if out else [pa.array([], t) for t in types[: 5 if with_text else 4]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], [k.split()[0] for k in kinds.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("own_id"), *cols], [k.split()[0] for k in kinds.split(", ")])
 
     return joined.mapInArrow(run, kinds)
 
 
+def _packed(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with each text's bytes compressed (nothing for the empty text), as they travel to their ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            packed = pa.array([pack(t) if t else b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("own_id"), batch.column("doc_id"), batch.column("text_hash"), packed], ["own_id", "doc_id", "text_hash", "packed"])
+
+    return keyed.select("own_id", "doc_id", "text_hash", "text").mapInArrow(run, "own_id long, doc_id long, text_hash long, packed binary")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents`` with what is removed from it."""
     return removed(documents(spark, sf_dir))

@@ -404,6 +404,13 @@ def test_removed_strings_of_many_variants(spark):
     assert rows_of(suffix_dedup.removed(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_by_hand(rows, 50)
 
 
+def test_the_largest_id_is_no_null(spark):
+    text = "".join(chr(97 + i % 26) for i in range(0, 700, 7))
+    rows = [(suffix_dedup.LAST, text), (None, text), (3, "z" + text)]
+    out = suffix_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()
+    assert sorted((repr(r["doc_id"]), r["n_removed"]) for r in out) == [("3", 0), (str(suffix_dedup.LAST), 100), ("None", 100)]
+
+
 # --- training order
 
 
