@@ -66,7 +66,7 @@ def words(text: Column | str) -> Column:
 
 def kind(token: Column | str) -> Column:
     """The type of a token's text."""
-    t, fits = _col(token), lambda p: F.rlike(_col(token), F.lit("^(?:" + _classes(p, SPARK) + ")$"))
+    t, fits = _col(token), lambda p: F.rlike(_col(token), F.lit(r"\A(?:" + _classes(p, SPARK) + r")\z"))
     return (
         F.when(fits(f"#{TAG}"), "Hashtag")
         .when(fits(f"@{TAG}"), "Mention")
@@ -83,19 +83,48 @@ def kind(token: Column | str) -> Column:
     )
 
 
+#: Sizes are added up in blocks of so many, so that no array is built up one by one over a whole text.
+_BLOCK = 128
+
+
+def running(sizes: Column) -> Column:
+    """The running sums of an array of integers."""
+    grow = lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + x))
+    zero = F.array(F.lit(0))
+    block = lambda b: F.aggregate(F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK)), zero, grow)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _BLOCK).cast("int")), block)
+    none = F.array().cast("array<array<int>>")
+    start = F.struct(F.lit(0).alias("before"), none.alias("out"))
+
+    def add(state: Column, sums: Column) -> Column:
+        more = F.transform(F.slice(sums, F.lit(2), F.lit(_BLOCK)), lambda x: x + state["before"])
+        return F.struct((state["before"] + F.element_at(sums, -1)).alias("before"), F.concat(state["out"], F.array(more)).alias("out"))
+
+    whole = F.flatten(F.aggregate(blocks, start, add, lambda s: s["out"]))
+    return F.when(F.size(sizes) > 0, whole).when(sizes.isNotNull(), F.array().cast("array<int>"))
+
+
+def match_ends(text: Column, pattern: str) -> Column:
+    """Where each match of a pattern ends, in code points."""
+    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    gaps = F.split(text, pattern, -1)
+    return running(F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.length(m) + F.length(g)))
+
+
+def ends(text: Column | str) -> Column:
+    """Where each token ends, in code points."""
+    return match_ends(_col(text), token_pattern())
+
+
 def tokens(text: Column | str) -> Column:
     """Tokens as (text, token_type, start, end), in code points from 0."""
-    text, none = _col(text), F.array().cast("array<struct<text:string,token_type:string,start:int,end:int>>")
-
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    both = F.arrays_zip(words(text).alias("t"), ends(text).alias("e"))
+    return F.transform(both, lambda x: F.struct(x["t"].alias("text"), kind(x["t"]).alias("token_type"), (x["e"] - F.length(x["t"])).alias("start"), x["e"].alias("end")))
 
-    def step(state: Column, token: Column) -> Column:
-        start = F.position(token, text, state["at"] + 1) - 1
-        end = start + F.length(token)
-        one = F.struct(token.alias("text"), kind(token).alias("token_type"), start.cast("int").alias("start"), end.cast("int").alias("end"))
-        return F.struct(end.cast("int").alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(words(text), zero, step, lambda s: s["out"])
+def is_wordlike(token: Column) -> Column:
+    """Whether a token is neither Punctuation nor Symbol: these have one character, no letter and no digit."""
+    return (F.length(token) > 1) | F.rlike(token, F.lit(r"^[\p{IsAlphabetic}0-9]"))
 
 
 def byte_offset(text: Column | str, at: Column) -> Column:

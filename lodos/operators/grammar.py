@@ -1,20 +1,26 @@
-"""Grammar findings and corrected texts: rules over token rows with their neighbours, no UDF.
+"""Grammar findings and corrected texts: rules over tokens with their neighbours.
 
-Findings have offsets in code points. Rules that need parses take the first parses of distinct words from
-:mod:`lodos.operators.morphology` and are left out without them. Of neighbouring findings with one span the first rule's
-stays; corrections are spliced in from the end.
+Findings have offsets in code points. Rules on a token and the one before it are column expressions over the row's own
+arrays. With a lexicon, rules on words ask for the parses of distinct words, joined back to the tokens that ask; rules on
+agreement walk the few texts that hold a trigger, with their tokens' parses. Of neighbouring findings with one span the
+first rule's stays; corrections are spliced in from the end. Rows with one id, or none, stay apart; null and empty texts
+have no findings.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import letters as L
-from .text_tables import placed_tokens
+from ..functions import tokens as T
+from .morphology import analyses, choose, parse_lists
+from .text_tables import ROW, cut, rowed
 
 # The word lists of the rules.
 QUESTION = ("misin mısın musun müsün miyiz mıyız muyuz müyüz misiniz mısınız musunuz müsünüz miler mılar").split()
@@ -86,6 +92,16 @@ TWICE = {
     "ilk başlangıç": "başlangıç", "geri iade": "iade", "kendi öz": "öz", "şüphesiz kuşkusuz": "şüphesiz",
     "aynen tamamen": "tamamen",
 }
+QUANTITY = set(
+    "bir iki üç dört beş altı yedi sekiz dokuz on yirmi otuz kırk elli altmış yetmiş seksen doksan yüz bin milyon birçok "
+    "birkaç çok az onlarca yüzlerce binlerce kaç fazla hayli".split()
+)
+NEGATIVE = set("kimse hiçbiri hiçbirisi hiçkimse asla katiyen".split())
+#: Negated endings and their affirmatives, replaced in this order.
+AFFIRMED = {
+    "medi": "di", "madı": "dı", "miyor": "iyor", "mıyor": "ıyor", "müyor": "üyor", "muyor": "uyor", "meyecek": "ecek",
+    "mayacak": "acak", "mez": "r", "maz": "r",
+}
 _DERIVED_ROOT = "(ler|lar|li|lı|lu|lü|lik|lık|luk|lük|gil)$"
 _DERIVED_SUFFIX = "^(ler|lar|li|lı|lu|lü|siz|sız|suz|süz|lik|lık|luk|lük)"
 
@@ -113,11 +129,18 @@ def _rooted(low: Column, roots: dict[str, str]) -> Column:
     return F.when(root != "", F.concat(_map(roots, root), F.regexp_extract(low, pattern, 2)))
 
 
-def token_findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, finding...) of the rules that look at a token and the one before it."""
-    here = Window.partitionBy(key).orderBy("pos")
-    rows = placed_tokens(docs, key, text).select(key, "pos", "token", "start", "end", L.lower("token").alias("low"))
-    rows = rows.withColumn("before", F.lag("token").over(here)).withColumn("before_low", F.lag("low").over(here)).withColumn("before_start", F.lag("start").over(here))
+def _tokens(held: DataFrame, text: str) -> DataFrame:
+    """(_row, pos, token, start, end, low) with the token before as before, before_low, before_start."""
+    rows = cut(held, ROW, text=text)
+    near = F.transform(F.arrays_zip("_t", "_e"), lambda x, i: F.struct(x["_t"].alias("t"), x["_e"].alias("e"), F.get("_t", i - 1).alias("b"), F.get("_e", i - 1).alias("be")))
+    rows = rows.select(ROW, F.posexplode(near).alias("pos", "r")).select(ROW, "pos", F.col("r.t").alias("token"), F.col("r.e").cast("long").alias("end"), F.col("r.b").alias("before"), F.col("r.be").cast("long").alias("_be"))
+    rows = rows.withColumn("start", F.col("end") - F.length("token")).withColumn("before_start", F.col("_be") - F.length("before"))
+    return rows.withColumn("low", L.lower("token")).withColumn("before_low", L.lower("before")).drop("_be")
+
+
+def token_findings(held: DataFrame, text: str = "text") -> DataFrame:
+    """(_row, finding...) of the rules that look at a token and the one before it."""
+    rows = _tokens(held, text)
     tok, low, s, e = F.col("token"), F.col("low"), F.col("start"), F.col("end")
     prev, plow, ps = F.col("before"), F.col("before_low"), F.col("before_start")
     pair, both = F.concat(plow, F.lit(" "), low), F.concat(prev, F.lit(" "), tok)
@@ -173,10 +196,10 @@ def token_findings(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             _first(ps, e, "CompoundWordOrthography", both, _map(TOGETHER, pair), 111),
         )
     )
-    return rows.select(key, F.explode(found).alias("f")).select(key, "f.*")
+    return rows.select(ROW, F.explode(found).alias("f")).select(ROW, "f.*")
 
 
-def apostrophe_findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def apostrophe_findings(held: DataFrame, text: str = "text") -> DataFrame:
     """Doubled ordinals (the first of each kind), number suffixes that must harden, suffixes that take no apostrophe."""
     t = F.col(text)
     each = []
@@ -186,17 +209,16 @@ def apostrophe_findings(docs: DataFrame, key: str = "doc_id", text: str = "text"
         there = (at > 0) & (number != "")
         start = at - 1 - F.length(number)
         each.append(_first(start, at - 1 + len(mark), "ApostropheNumberDate", F.concat(number, F.lit(mark)), F.when(there, F.concat(number, F.lit(mark[1:]))), 50 + i))
-    doubled = docs.select(key, F.explode(F.array_compact(F.array(*each))).alias("f")).select(key, "f.*")
+    doubled = held.select(ROW, F.explode(F.array_compact(F.array(*each))).alias("f")).select(ROW, "f.*")
     part = r"[^\p{IsWhite_Space}.,(\"!]+"
-    pairs = F.arrays_zip(F.split(t, part, -1).alias("gap"), F.regexp_extract_all(t, F.lit(part), 0).alias("part"))
-    rows = docs.select(key, F.posexplode(pairs).alias("pos", "r")).select(key, "pos", "r.part", F.length("r.gap").alias("gap")).where("part is not null")
-    end = F.sum(F.col("gap") + F.length("part")).over(Window.partitionBy(key).orderBy("pos"))
-    rows = rows.withColumn("begin", end - F.length("part")).where(F.contains("part", F.lit("'")))
+    pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(part), 0).alias("part"), T.match_ends(t, part).alias("end"))
+    rows = held.where(F.contains(t, F.lit("'"))).select(ROW, F.explode(F.filter(pairs, lambda p: F.contains(p["part"], F.lit("'")))).alias("r"))
+    rows = rows.select(ROW, "r.part", (F.col("r.end") - F.length("r.part")).cast("long").alias("begin"))
     marks = F.filter(F.sequence(F.lit(1), F.length("part")), lambda i: F.substring(F.col("part"), i, F.lit(1)) == "'")
-    at = rows.select(key, "part", "begin", F.explode(marks).alias("at"))
+    at = rows.select(ROW, "part", "begin", F.explode(marks).alias("at"))
     root = F.substring("part", F.lit(1), F.col("at") - 1)
     suffix = F.regexp_extract(F.substring("part", F.col("at") + 1, F.length("part")), r"^\p{IsAlphabetic}+", 0)
-    at = at.select(key, "begin", root.alias("root"), suffix.alias("suffix")).where("root != '' and suffix != ''")
+    at = at.select(ROW, "begin", root.alias("root"), suffix.alias("suffix")).where("root != '' and suffix != ''")
     root, suffix = F.col("root"), F.col("suffix")
     number = F.rlike(root, F.lit("^[0-9]+$"))
     hard = F.when(number & F.rlike(root, F.lit("[345]$")) & F.rlike(L.lower(suffix), F.lit("^d[ea]")), F.concat(root, F.lit("'t"), F.substring(L.lower(suffix), 2, 1), F.substring(suffix, F.lit(3), F.length(suffix))))
@@ -204,48 +226,166 @@ def apostrophe_findings(docs: DataFrame, key: str = "doc_id", text: str = "text"
     stop = F.col("begin") + F.length(root) + 1 + F.length(suffix)
     original = F.concat(root, F.lit("'"), suffix)
     found = F.coalesce(_first(F.col("begin"), stop, "ApostropheNumberDate", original, hard, 58), _first(F.col("begin"), stop, "ApostropheProperNoun", original, joined, 58))
-    return doubled.union(at.select(key, found.alias("f")).where("f is not null").select(key, "f.*"))
+    return doubled.union(at.select(ROW, found.alias("f")).where("f is not null").select(ROW, "f.*"))
 
 
-def tautologies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def tautologies(held: DataFrame, text: str = "text") -> DataFrame:
     """The first of each doubled expression, anywhere in a text."""
     low = L.lower(text)
     each = []
     for i, (phrase, better) in enumerate(TWICE.items()):
         at = F.locate(phrase, low)
         each.append(_first(at - 1, at - 1 + len(phrase), "TautologyRedundancy", F.substring(F.col(text), at, F.lit(len(phrase))), F.when(at > 0, F.lit(better)), 120 + i))
-    return docs.select(key, F.explode(F.array_compact(F.array(*each))).alias("f")).select(key, "f.*")
-
-
-def agreement_findings(docs: DataFrame, parses: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rules on parses: d after a hard stem, clitics on verbs. ``parses``: (word in lower case, pos, tags) of first parses."""
-    rows = placed_tokens(docs, key, text).select(key, "token", "start", "end", L.lower("token").alias("low"))
-    stems = rows.withColumn("stem", F.substring("low", F.lit(1), F.length("low") - 2)).where(F.rlike("low", F.lit("(de|da|te|ta|ki)$")) & (F.octet_length("low") > 4))
-    met = stems.join(parses.select(F.col("word").alias("stem"), "pos", "tags"), "stem")
-    finite = (F.col("pos") == "Verb") & F.exists("tags", lambda t: F.rlike(t, F.lit("Past|Pres|Fut|Aor|Cond")))
-    own = F.substring("token", F.lit(1), F.length("token") - 2)
-    clitic = F.when(L.is_front(L.last_vowel("stem")) | L.last_vowel("stem").isNull(), "de").otherwise("da")
-    low, tok = F.col("low"), F.col("token")
-    attached = F.when(finite & ~low.endswith("ki"), F.concat(own, F.lit(" "), clitic))
-    ki = F.when((F.col("pos") == "Verb") & low.endswith("ki") & ~low.isin(WITH_KI_ATTACHED), F.concat(own, F.lit(" ki")))
-    hardens = F.when(L.hardens("stem") & F.rlike(low, F.lit("d[ea]$")), _cased(tok, F.concat("stem", F.lit("t"), F.right(low, F.lit(1)))))
-    found = F.array_compact(F.array(_first(F.col("start"), F.col("end"), "CliticDeDa", tok, attached, 33), _first(F.col("start"), F.col("end"), "CliticKi", tok, ki, 42), _first(F.col("start"), F.col("end"), "ConsonantAssimilation", tok, hardens, 89)))
-    return met.select(key, F.explode(found).alias("f")).select(key, "f.*")
-
-
-def findings(docs: DataFrame, parses: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, end, category, original, replacement) of all rules, in order; one for each run of equal spans."""
-    every = token_findings(docs, key, text).union(apostrophe_findings(docs, key, text)).union(tautologies(docs, key, text))
-    if parses is not None:
-        every = every.union(agreement_findings(docs, parses, key, text))
-    order = Window.partitionBy(key).orderBy("start", "ord", "end")
-    told = every.withColumn("_s", F.lag("start").over(order)).withColumn("_e", F.lag("end").over(order))
-    return told.where("_s is null or _s != start or _e != end").drop("_s", "_e")
-
-
-def corrected(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_findings, corrected): replacements spliced into each text from its end."""
-    listed = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "ord", "end", "replacement")), asc=False).alias("f"))
+    return held.select(ROW, F.explode(F.array_compact(F.array(*each))).alias("f")).select(ROW, "f.*")
+
+
+#: What a word must end with for a rule on its parses.
+_ASKS = "(de|da|te|ta|ki|d[ae]n|d[ıiuü]r?|c[ae]|[ae]yor|l[ae]r)$"
+
+
+def word_fixes(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(low, ord, category, drop, tail, whole): what is wrong with a word in lower case by its and its stems' parses.
+
+    ``whole`` replaces the word, in its case; else its last ``drop`` letters give way to ``tail``.
+    """
+    low = F.col("low")
+    less = lambda n: F.substring(low, F.lit(1), F.length(low) - n)
+    none = F.lit(None).cast("string")
+
+    def ask(order: int, on: Column, stem: Column, other: Column = none) -> Column:
+        return F.when(on, F.struct(F.lit(order).alias("ord"), stem.alias("ask"), other.alias("other")))
+
+    hard = F.regexp_extract(low, f"^(.*[{L.HARD}])(d[ae]n?|d[ıiuü]r?|c[ae])$", 1)
+    assimilated = F.concat(hard, F.translate(F.substring(low, F.length(hard) + 1, F.lit(1)), "dc", "tç"), F.substring(low, F.length(hard) + 2, F.length(low)))
+    vowel = L.last_vowel(less(3))
+    plural = F.concat(less(3), F.when(L.is_front(vowel), "ler").otherwise("lar"))
+    narrowed = F.concat(less(4), F.coalesce(L.harmony_i(L.last_vowel(less(4))), F.lit("ı")), F.lit("yor"))
+    asks = F.array_compact(
+        F.array(
+            ask(33, F.rlike(low, F.lit("[dt][ea]$")) & (F.octet_length(low) > 4), less(2)),
+            ask(42, low.endswith("ki") & (F.octet_length(low) > 4) & ~low.isin(WITH_KI_ATTACHED), less(2)),
+            ask(89, (hard != "") & (F.octet_length(hard) > 2), hard, assimilated),
+            ask(91, F.rlike(low, F.lit("[ae]yor$")) & (F.length(low) > 4), less(3), narrowed),
+            ask(92, F.rlike(low, F.lit("l[ae]r$")) & vowel.isNotNull() & (plural != low), plural, plural),
+            # what rule 92 must not find
+            ask(93, F.rlike(low, F.lit("l[ae]r$")) & vowel.isNotNull() & (plural != low), low),
+        )
+    )
+    asked = words.select("low").distinct().select("low", F.explode(asks).alias("q")).select("low", "q.*")
+    finite = F.exists("tags", lambda t: F.rlike(t, F.lit("Past|Pres|Fut|Aor|Cond")))
+    facts = analyses(asked.select(F.col("ask").alias("word")), lexicon).groupBy(F.col("word").alias("ask")).agg(
+        F.max(F.col("pos") == "Verb").alias("verb"), F.max((F.col("pos") == "Verb") & finite).alias("finite"), F.max((F.col("pos") == "Noun") & (F.array_join("tags", "+") == "Noun")).alias("bare")
+    )
+    met = asked.join(facts, "ask").where(
+        ((F.col("ord") == 33) & F.col("finite") & ~F.col("bare")) | (F.col("ord").isin(42, 91) & F.col("verb")) | F.col("ord").isin(89, 92, 93)
+    )
+    parsed = met.where("ord = 93").select("low").withColumn("parsed", F.lit(True))
+    met = met.where("ord < 93").join(parsed, "low", "left").where("ord != 92 or parsed is null")
+    clitic = F.when(L.is_front(L.last_vowel("ask")) | L.last_vowel("ask").isNull(), " de").otherwise(" da")
+    category = F.when(F.col("ord") == 33, "CliticDeDa").when(F.col("ord") == 42, "CliticKi").when(F.col("ord") == 89, "ConsonantAssimilation").otherwise("VowelHarmony")
+    tail = F.when(F.col("ord") == 33, clitic).when(F.col("ord") == 42, " ki")
+    return met.select("low", "ord", category.alias("category"), F.lit(2).alias("drop"), tail.alias("tail"), F.col("other").alias("whole"))
+
+
+def word_findings(held: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
+    """(_row, finding...) of the rules on a word's parses: clitics on verbs, assimilation, narrowing, harmony of plurals."""
+    rows = _tokens(held, text).select(ROW, "token", "low", "start", "end").where(F.rlike("low", F.lit(_ASKS)))
+    met = rows.join(word_fixes(rows, lexicon), "low")
+    tok = F.col("token")
+    better = F.when(F.col("whole").isNotNull(), _cased(tok, F.col("whole"))).otherwise(F.concat(F.substring(tok, F.lit(1), F.length(tok) - F.col("drop")), F.col("tail")))
+    return met.select(ROW, "start", "end", "category", tok.alias("original"), better.alias("replacement"), "ord")
+
+
+def agreements(words: list[str], ends: list[int], parses: list[list[dict]]) -> list[tuple[int, int, str, str, str, int]]:
+    """Findings on agreement over a text's words, their ends and their parses."""
+    low = [w.replace("I", "ı").replace("İ", "i").lower() for w in words]
+    chosen, out = choose(words, parses), []
+    plural = lambda w: w.endswith(("ler", "lar"))
+    has = lambda p, *tags: any(x in t for t in p["tags"] for x in tags)
+
+    def add(i: int, category: str, better: str, order: int) -> None:
+        out.append((ends[i] - len(words[i]), ends[i], category, words[i], better, order))
+
+    for i, (w, nxt) in enumerate(zip(low, low[1:], strict=False), 1):
+        p = chosen[i]
+        if (w in QUANTITY or re.fullmatch("[0-9]+", w)) and plural(nxt) and len(nxt) > 3 and p["secondary"] != "ProperNoun" and (p["pos"] == "Noun" or has(p, "A3pl")):
+            add(i, "QuantityPluralClash", words[i][:-3], 100)
+        if w == "benim" and any(q["pos"] == "Noun" and not has(q, "P1sg", "P2sg", "P3sg") for q in parses[i]):
+            vowels = [c for c in nxt if c in "aeıioöuüâîû"]
+            close = {"a": "ı", "ı": "ı", "â": "ı", "o": "u", "u": "u", "û": "u", "ö": "ü", "ü": "ü"}.get(vowels[-1], "i") if vowels else "i"
+            add(i, "GenitivePossessiveClash", words[i] + ("m" if nxt[-1] in "aeıioöuüâîû" else close + "m"), 101)
+    verbs = [i for i, p in enumerate(chosen) if p["pos"] == "Verb"]
+    if low.count("ne") >= 2:
+        for i in verbs:
+            if has(chosen[i], "Neg"):
+                better = low[i]
+                for negated, plain in AFFIRMED.items():
+                    better = better.replace(negated, plain)
+                add(i, "CorrelativeConjunctionPolarity", better, 102)
+    if verbs:
+        last = verbs[-1]
+        if NEGATIVE.intersection(low) and not has(chosen[last], "Neg"):
+            add(last, "CorrelativeConjunctionPolarity", words[last], 103)
+        if len(words) > 1 and chosen[0]["pos"] == "Noun" and has(chosen[0], "A3pl") and plural(low[last]):
+            add(last, "SubjectVerbAgreement", words[last][:-3], 104)
+    return out
+
+
+def agreement_findings(held: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
+    """(_row, finding...) of the rules on number, possession, polarity and subjects, in the texts that hold a trigger of one."""
+    texts = cut(held, ROW, text=text)
+    texts = texts.withColumn("_low", F.transform("_t", lambda t: L.lower(t))).where(F.size("_t") > 1)
+    pairs = F.exists(
+        F.arrays_zip(F.slice("_low", F.lit(1), F.size("_low") - 1).alias("a"), F.slice("_low", F.lit(2), F.size("_low")).alias("b")),
+        lambda p: (p["a"].isin(sorted(QUANTITY)) | F.rlike(p["a"], F.lit("^[0-9]+$"))) & F.rlike(p["b"], F.lit(".l[ae]r$")),
+    )
+    any_of = lambda ws: F.arrays_overlap("_low", F.array(*map(F.lit, ws)))
+    subject = F.rlike(F.get("_low", F.lit(0)), F.lit("l[ae]r")) & F.exists("_low", lambda w: F.rlike(w, F.lit("l[ae]r$")))
+    twice = F.size(F.filter("_low", lambda w: w == "ne")) >= 2
+    some = texts.where(pairs | any_of(["benim", *sorted(NEGATIVE)]) | subject | twice).select(ROW, "_t", "_e")
+    each = some.select(ROW, F.posexplode(F.arrays_zip("_t", "_e")).alias("pos", "r")).select(ROW, "pos", F.col("r._t").alias("token"), F.col("r._e").alias("end"))
+    listed = parse_lists(each.select(F.col("token").alias("word")), lexicon)
+    met = each.join(listed, each["token"] == listed["word"], "left").select(ROW, F.struct("pos", "token", "end", "parses").alias("t"))
+    grouped = met.groupBy(ROW).agg(F.array_sort(F.collect_list("t")).alias("t"))
+    names = ["start", "end", "category", "original", "replacement", "ord"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for i, ts in enumerate(batch.column("t").to_pylist()):
+                found = agreements([t["token"] for t in ts], [t["end"] for t in ts], [t["parses"] or [] for t in ts])
+                at += [i] * len(found)
+                out += found
+            cols = zip(*out, strict=True) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(ROW).take(pa.array(at, pa.int32())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], [ROW, *names])
+
+    return grouped.mapInArrow(run, f"{ROW} long, {FINDING}")
+
+
+def _listed(held: DataFrame, lexicon: DataFrame | None, text: str) -> DataFrame:
+    """(_row, f): all findings of each row that has some, by start, then rule; one for each run of equal spans."""
+    every = token_findings(held, text).union(apostrophe_findings(held, text)).union(tautologies(held, text))
+    if lexicon is not None:
+        every = every.union(word_findings(held, lexicon, text)).union(agreement_findings(held, lexicon, text))
+    one = F.struct("start", "ord", "end", "category", "original", "replacement")
+    listed = every.groupBy(ROW).agg(F.array_sort(F.collect_list(one)).alias("_f"))
+    before = lambda i, c: F.get("_f", i - 1)[c]
+    new = F.filter("_f", lambda f, i: (i == 0) | (before(i, "start") != f["start"]) | (before(i, "end") != f["end"]))
+    return listed.select(ROW, new.alias("f"))
+
+
+def findings(docs: DataFrame, lexicon: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, start, end, category, original, replacement) of all rules; those on parses only with a lexicon."""
+    held = rowed(docs, key, text)
+    rows = held.select(ROW, key).join(_listed(held, lexicon, text), ROW).select(key, F.explode("f").alias("f"))
+    return rows.select(key, *[f"f.{c}" for c in ("start", "end", "category", "original", "replacement")])
+
+
+def corrected(docs: DataFrame, lexicon: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_findings, corrected): one row for each of ``docs``, replacements spliced into its text from the end."""
+    held = rowed(docs, key, text)
+    out = held.join(_listed(held, lexicon, text), ROW, "left")
     splice = lambda s, f: F.concat(F.substring(s, F.lit(1), f["start"].cast("int")), f["replacement"], F.substring(s, (f["end"] + 1).cast("int"), F.lit(2**31 - 1)))
-    out = docs.select(key, text).join(listed, key, "left")
-    return out.select(key, F.coalesce(F.size("f"), F.lit(0)).cast("long").alias("n_findings"), F.when(F.col("f").isNull(), F.col(text)).otherwise(F.aggregate("f", F.col(text), splice)).alias("corrected"))
+    whole = F.when(F.col("f").isNull(), F.col(text)).otherwise(F.aggregate(F.reverse("f"), F.col(text), splice))
+    return out.select(key, F.coalesce(F.size("f"), F.lit(0)).cast("long").alias("n_findings"), whole.alias("corrected"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import letters as L
-from .text_tables import token_rows
+from .text_tables import ROW, rowed, token_rows
 
 # Conjunctions that make a sentence complex, and the formulas' coefficients and grades.
 CONJUNCTIONS = "ve veya yahut ki de da ama fakat lakin ancak çünkü oysa oysaki halbuki ise madem ile".split()
@@ -41,7 +41,9 @@ def statistics(docs: DataFrame, familiar: DataFrame | None = None, parses: DataF
     verbal noun, and whether it is a proper noun or a number; from :mod:`lodos.operators.morphology`.
     """
     word = F.col("word")
-    rows = token_rows(docs, key, text).select(key, "sentence", L.lower("token").alias("word"))
+    # one key for each row: ids may repeat or be null, and grouping by it needs no further exchange
+    held = rowed(docs, key, text)
+    rows = token_rows(held, ROW, text=text).select(ROW, "sentence", L.lower("token").alias("word"))
     rows = rows.withColumn("is_word", F.rlike(word, F.lit(r"\p{IsAlphabetic}")))
     if parses is not None:
         rows = rows.join(parses.select("word", "lemma", "verbal", "known"), "word", "left")
@@ -50,15 +52,21 @@ def statistics(docs: DataFrame, familiar: DataFrame | None = None, parses: DataF
     rows = rows.withColumn("lemma", F.coalesce("lemma", "word")).fillna(False, ["verbal", "known"])
     if familiar is not None:
         known = familiar.select(L.lower("word").alias("f")).distinct()
-        forms = rows.select("word", "lemma", "known").where("not known").distinct()
-        each = forms.select("word", F.explode(F.array("word", "lemma", F.concat("lemma", F.lit("mak")), F.concat("lemma", F.lit("mek")))).alias("f"))
-        listed = each.join(known, "f", "left_semi").select("word").distinct().withColumn("listed", F.lit(True))
-        rows = rows.join(listed, "word", "left").fillna(False, ["listed"])
+        forms = [F.col("word"), F.col("lemma"), F.concat("lemma", F.lit("mak")), F.concat("lemma", F.lit("mek"))]
+        if parses is None:
+            # without lemmas a word is familiar if it, or it less -mak or -mek, is listed: a list of words, however many the tokens
+            infinitive = F.when(F.rlike("f", F.lit("m[ae]k$")), F.substring("f", F.lit(1), F.length("f") - 3))
+            listed = known.select(F.explode(F.array_compact(F.array(F.col("f"), infinitive))).alias("word")).distinct()
+        else:
+            each = rows.where("not known").select("word", "lemma").distinct()
+            each = each.select("word", "lemma", F.explode(F.array(*forms)).alias("f"))
+            listed = each.join(known, "f", "left_semi").select("word").distinct()
+        rows = rows.join(listed.withColumn("listed", F.lit(True)), "word", "left").fillna(False, ["listed"])
     else:
         rows = rows.withColumn("listed", F.lit(False))
     syllables = F.when(F.col("is_word"), L.syllable_count(word)).otherwise(0)
     one = lambda c: F.sum(F.when(F.col("is_word") & c, 1).otherwise(0))
-    by_sentence = rows.groupBy(key, "sentence").agg(
+    by_sentence = rows.groupBy(ROW, "sentence").agg(
         one(F.lit(True)).alias("words"),
         F.sum(syllables).alias("syllables"),
         one(syllables >= 3).alias("polysyllabic"),
@@ -67,9 +75,10 @@ def statistics(docs: DataFrame, familiar: DataFrame | None = None, parses: DataF
         one(word.isin(CONJUNCTIONS)).alias("links"),
     )
     complex_ = ((F.col("verbals") > 0) | (F.col("links") > 0) | (F.col("words") > 10)).cast("long")
-    counts = by_sentence.groupBy(key).agg(F.count("*").alias("sentences"), *[F.sum(c).alias(c) for c in ("words", "syllables", "polysyllabic", "unfamiliar", "verbals")], F.sum(complex_).alias("complex"))
-    once = rows.where("is_word").groupBy(key, "lemma").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum((F.col("n") == 1).cast("long")).alias("hapax"))
-    whole = docs.select(key).join(counts, key, "left").join(once, key, "left").fillna(0)
+    counts = by_sentence.groupBy(ROW).agg(F.count("*").alias("sentences"), *[F.sum(c).alias(c) for c in ("words", "syllables", "polysyllabic", "unfamiliar", "verbals")], F.sum(complex_).alias("complex"))
+    once = rows.where("is_word").groupBy(ROW, "lemma").agg(F.count("*").alias("n")).groupBy(ROW).agg(F.sum((F.col("n") == 1).cast("long")).alias("hapax"))
+    sums = ["sentences", "words", "syllables", "polysyllabic", "unfamiliar", "verbals", "complex", "hapax"]
+    whole = held.select(ROW, key).join(counts, ROW, "left").join(once, ROW, "left").select(key, *[F.coalesce(c, F.lit(0)).alias(c) for c in sums])
     s, w = F.greatest(F.col("sentences"), F.lit(1)), F.greatest(F.col("words"), F.lit(1))
     return whole.select(
         "*",

@@ -10,7 +10,6 @@ from ..operators import grammar as G
 from ..operators import morphology as M
 from ..operators import spelling as S
 from ..operators import style as Y
-from ..operators import text_tables as X
 from .letter_queries import sql_lower
 from .token_queries import _SENT, PATTERN, _kind, sql_rows
 
@@ -52,12 +51,11 @@ def style_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grammar_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.findings(_docs(spark, sf_dir)).drop("ord")
+    return G.findings(_docs(spark, sf_dir), M.seed_lexicon(spark))
 
 
 def corrected_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return G.corrected(docs, G.findings(docs))
+    return G.corrected(_docs(spark, sf_dir), M.seed_lexicon(spark))
 
 
 def morph_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +72,7 @@ def compound_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dependency_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = M.disambiguated(X.token_rows(_docs(spark, sf_dir, "benchmark"), "item_id"), M.seed_lexicon(spark), "item_id")
-    return M.conllu(rows, "item_id")
+    return M.conllu(M.disambiguated(_docs(spark, sf_dir), M.seed_lexicon(spark))).drop("row")
 
 
 def named_entities(spark: SparkSession, sf_dir: str) -> DataFrame:

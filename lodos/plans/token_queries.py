@@ -52,8 +52,8 @@ def token_types_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.placed_tokens(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id")
-    return rows.select("item_id", F.col("pos").cast("long").alias("pos"), "token", "token_type", "start", "end")
+    rows = X.placed_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "token", "token_type", "start", "end")
 
 
 def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,10 +157,10 @@ QUERIES = {
     "token_types_by_lang": (token_types_by_lang, f"SELECT lang, {_kind('t')} AS token_type, count(*) AS n, count(DISTINCT t) AS distinct_tokens FROM (SELECT lang, unnest(regexp_extract_all(text, '{PATTERN}')) AS t FROM documents) GROUP BY ALL"),
     "token_offsets": (
         token_offsets,
-        f"""WITH r AS (SELECT item_id, unnest(regexp_extract_all(text, '{PATTERN}')) AS token, unnest(string_split_regex(text, '{PATTERN}')[1:len(regexp_extract_all(text, '{PATTERN}'))]) AS gap,
-        unnest(range(len(regexp_extract_all(text, '{PATTERN}')))) AS pos FROM benchmark),
-        e AS (SELECT *, sum(length(gap) + length(token)) OVER (PARTITION BY item_id ORDER BY pos)::BIGINT AS "end" FROM r)
-        SELECT item_id, pos, token, {_kind('token')} AS token_type, "end" - length(token) AS start, "end" FROM e""",
+        f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '{PATTERN}')) AS token, unnest(string_split_regex(text, '{PATTERN}')[1:len(regexp_extract_all(text, '{PATTERN}'))]) AS gap,
+        unnest(range(len(regexp_extract_all(text, '{PATTERN}')))) AS pos FROM documents),
+        e AS (SELECT *, sum(length(gap) + length(token)) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS "end" FROM r)
+        SELECT doc_id, pos, token, {_kind('token')} AS token_type, "end" - length(token) AS start, "end" FROM e""",
     ),
     "page_tokens": (page_tokens, f"SELECT page_id, len(t)::BIGINT AS n, md5(array_to_string(t, '|')) AS tokens_md5 FROM (SELECT page_id, regexp_extract_all(html, '{PATTERN}') AS t FROM pages)"),
     "sentence_count": (

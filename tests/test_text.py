@@ -1,6 +1,7 @@
 """Literal fixtures of the text operators, and property tests against row-wise models."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,9 +71,9 @@ def test_tokens_and_sentences(apply, spark):
     assert apply(T.words, ["#ev @ali http://a.b/c 3.14 50% Ankara'da 1923'te a@b.com"])[0] == ["#ev", "@ali", "http://a.b/c", "3.14", "50%", "Ankara'da", "1923", "'", "te", "a@b.com"]
     assert apply(lambda c: F.transform(T.words(c), T.kind), ["#ev 3.14 50% Dr. ev Ali'nin , €"])[0] == ["Hashtag", "Time", "Number", "Abbreviation", "Word", "ProperNounWithApostrophe", "Punctuation", "Symbol"]
     docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
-    found = [r["text"] for r in text_tables.sentences(docs).orderBy("sentence").collect()]
+    found = [r["text"] for r in text_tables.sentences(docs, "doc_id").orderBy("sentence").collect()]
     assert found == ["Ak Ana, Türk mitolojisinde deniz tanrıçasıdır.", "Prof. Dr. Ayşe Hanım geldi!", "Sen de gelecek misin?", "Evet..."]
-    assert all(text[r["start"] : r["end"]] == r["token"] for r in text_tables.placed_tokens(docs).collect())
+    assert all(text[r["start"] : r["end"]] == r["token"] for r in text_tables.placed_tokens(docs, "doc_id").collect())
     assert readability.evaluated(readability.statistics(docs)).count() == 3
     assert keywords.keywords(docs).where("rank = 1").count() == 1
 
@@ -90,7 +91,7 @@ def test_grammar(spark):
         (None, None),
     ]
     docs = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "doc_id long, text string")
-    got = {r["doc_id"]: r["corrected"] for r in grammar.corrected(docs, grammar.findings(docs)).collect()}
+    got = {r["doc_id"]: r["corrected"] for r in grammar.corrected(docs).collect()}
     assert got == {i: b for i, (_, b) in enumerate(pairs)}
 
 
@@ -102,7 +103,7 @@ def test_morphology(spark):
     wanted = spark.createDataFrame([("kitap", ["Acc"], "kitabı"), ("burun", ["Acc"], "burnu"), ("git", ["Prog", "A1sg"], "gidiyorum"), ("oku", ["Fut"], "okuyacak"), ("yok", ["Acc"], None)], "lemma string, tags array<string>, want string")
     assert all(r["surface"] == r["want"] for r in morphology.generated(wanted, lexicon).collect())
     docs = spark.createDataFrame([(1, "Güzel kitabı okulda okudu.")], "doc_id long, text string")
-    tree = morphology.disambiguated(text_tables.token_rows(docs), lexicon).orderBy("id").collect()
+    tree = morphology.disambiguated(docs, lexicon).orderBy("id").collect()
     assert [(r["head"], r["deprel"]) for r in tree] == [(2, "amod"), (4, "obj"), (4, "obl"), (0, "root"), (4, "dep")]
 
 
@@ -133,3 +134,37 @@ def test_spelling_finds_all_neighbours(spark):
     got = spelling.suggestions(frame(words), spelling.vocabulary(frame(vocab)), most=1000).collect()
     want = {(w, v, levenshtein(w.encode(), v.encode())) for w in words for v in ([w] if w in vocab else vocab)}
     assert {(r["word"], r["suggestion"], r["distance"]) for r in got} == {x for x in want if x[2] <= 2}
+
+
+def test_grammar_by_parses(spark):
+    pairs = [
+        ("Bugün hava çok güzel.", "Bugün hava çok güzel.", None),
+        ("Ali de geldi, Veli te geldi.", "Ali de geldi, Veli de geldi.", "CliticDeDa"),
+        ("Gittide geri dönmedi.", "Gitti de geri dönmedi.", "CliticDeDa"),
+        ("Duydumki unutmuşsun gözlerimin rengini.", "Duydum ki unutmuşsun gözlerimin rengini.", "CliticKi"),
+        ("Madem ki bilmiyorsun, neden konuşuyorsun?", "Mademki bilmiyorsun, neden konuşuyorsun?", "CliticKi"),
+        ("Biliyormusun bu şarkıyı?", "Biliyor musun bu şarkıyı?", "ParticleMi"),
+        ("Sen de gördün mı onu?", "Sen de gördün mü onu?", "ParticleMi"),
+        ("Kitapda ilginç bilgiler var.", "Kitapta ilginç bilgiler var.", "ConsonantAssimilation"),
+        ("Sokakdan sesler geliyor.", "Sokaktan sesler geliyor.", "ConsonantAssimilation"),
+        ("Onun akılı çok karışık.", "Onun aklı çok karışık.", "VowelDropping"),
+        ("Yarın şehire gideceğiz.", "Yarın şehre gideceğiz.", "VowelDropping"),
+        ("Bu kitapı mutlaka okumalısın.", "Bu kitabı mutlaka okumalısın.", "ConsonantSoftening"),
+        ("Çocuklar elele yürüyorlardı.", "Çocuklar el ele yürüyorlardı.", "ReduplicationOrthography"),
+        ("Pazardan üç elmalar aldım.", "Pazardan üç elma aldım.", "QuantityPluralClash"),
+        ("Mitinge birçok insanlar katıldı.", "Mitinge birçok insan katıldı.", "QuantityPluralClash"),
+        ("Kendini çok iyi hiss etti.", "Kendini çok iyi hissetti.", "CompoundWordOrthography"),
+        ("Onlar birlikte beraber çalışıyorlar.", "Onlar birlikte çalışıyorlar.", "TautologyRedundancy"),
+        ("Dün benim araba bozuldu.", "Dün benim arabam bozuldu.", "GenitivePossessiveClash"),
+        ("Kimse buraya geldi.", "Kimse buraya geldi.", "CorrelativeConjunctionPolarity"),
+        ("O ne gelmedi ne okudu.", "O ne geldi ne okudu.", "CorrelativeConjunctionPolarity"),
+        ("Evler güzel görüyorlar.", "Evler güzel görüyor.", "SubjectVerbAgreement"),
+        ("Hemen başlayor.", "Hemen başlıyor.", "VowelHarmony"),
+    ]
+    docs = spark.createDataFrame([(i % 2 if i else None, a) for i, (a, _, _) in enumerate(pairs)], "doc_id long, text string").coalesce(1)
+    lexicon = morphology.seed_lexicon(spark)
+    assert Counter(r["corrected"] for r in grammar.corrected(docs, lexicon).collect()) == Counter(b for _, b, _ in pairs)
+    found = grammar.findings(docs, lexicon).collect()
+    assert {c for _, _, c in pairs if c} <= {r["category"] for r in found}
+    texts = [a for a, _, _ in pairs]
+    assert all(any(t[r["start"] : r["end"]] == r["original"] for t in texts) for r in found)
