@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodos.functions import letters as L
 from lodos.functions import numerals as N
 from lodos.functions import tokens as T
-from lodos.operators import entities, grammar, keywords, morphology, readability, spelling, style, text_tables
+from lodos.operators import entities, grammar, groups, keywords, morphology, readability, spelling, style, text_tables
 
 
 @pytest.fixture(scope="module")
@@ -157,7 +157,7 @@ def test_grammar_by_parses(spark):
         ("Onlar birlikte beraber çalışıyorlar.", "Onlar birlikte çalışıyorlar.", "TautologyRedundancy"),
         ("Dün benim araba bozuldu.", "Dün benim arabam bozuldu.", "GenitivePossessiveClash"),
         ("Kimse buraya geldi.", "Kimse buraya geldi.", "CorrelativeConjunctionPolarity"),
-        ("O ne gelmedi ne okudu.", "O ne geldi ne okudu.", "CorrelativeConjunctionPolarity"),
+        ("O ne bilmiyor ne okudu.", "O ne biliyor ne okudu.", "CorrelativeConjunctionPolarity"),
         ("Evler güzel görüyorlar.", "Evler güzel görüyor.", "SubjectVerbAgreement"),
         ("Hemen başlayor.", "Hemen başlıyor.", "VowelHarmony"),
     ]
@@ -168,3 +168,23 @@ def test_grammar_by_parses(spark):
     assert {c for _, _, c in pairs if c} <= {r["category"] for r in found}
     texts = [a for a, _, _ in pairs]
     assert all(any(t[r["start"] : r["end"]] == r["original"] for t in texts) for r in found)
+
+
+def test_inflectional_groups(spark):
+    words = spark.createDataFrame([(w,) for w in ("güzel", "geldiğimizde", "evlerimizde", "ankara")], "word string")
+    rows = groups.group_parses(words, morphology.seed_lexicon(spark)).collect()
+    assert {"ADJ", "ADV", "NN"} <= {r["root_pos"] for r in rows if r["word"] == "güzel"}
+    parses = [r for r in rows if r["word"] == "geldiğimizde" and r["root"] == "gel"]
+    assert any(r["root_pos"] == "VB" and r["groups"][0]["Polarity"] == "Pos" and (g := r["groups"][1])["pos"] == "NOMP" and g["derivation"] == "PastNom" and g["Case"] == "Loc" for r in parses)
+    assert "(ev[NN]+[Case=Loc]+[PersonNumber=A3pl]+[Possessive=P1pl])+[Proper=False]" in {r["formatted"] for r in rows}
+    assert "(ankara[PROP])+[Proper=True]" in {r["formatted"] for r in rows}
+
+
+def test_normalization_by_parses(spark):
+    lexicon = morphology.seed_lexicon(spark)
+    docs = spark.createDataFrame([(1, "turkce nlp cok hizli calisiyor ve ogrenci kitap okuyor"), (1, None), (None, "COK Guzel agac"), (3, "")], "doc_id long, text string")
+    marked = spelling.replaced(docs, spelling.restorations(spelling.word_runs(docs), lexicon))
+    assert Counter(r["changed"] for r in marked.collect()) == Counter(["türkçe nlp çok hızlı çalışıyor ve öğrenci kitap okuyor", None, "ÇOK Güzel ağaç", ""])
+    words = {"noldu": "ne oldu", "çooookkkk": "çok", "yapcam": "yapacağım", "geliyom": "geliyorum", "xyzzz": "xyzz", "gelcekler": "gelecekler", "gidiyo": "gidiyor"}
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    assert {r["word"]: r["better"] for r in spelling.normalizations(frame, lexicon).collect()} == words
