@@ -1 +1 @@
-
+"""What texts are read from and results are written to."""
