@@ -52,9 +52,8 @@ _SHAPE = re.compile(rb"([A-Z]+|\xc3[\x80-\x9e])|([a-z\x80-\xff]+)|([0-9]+)|([^A-
 
 
 def _shape(word: bytes) -> int:
-    """A small hash of the word's runs: A letters of upper case, a of lower case, 0 digits, else the mark itself."""
-    runs = b"".join((b"", b"A", b"a", b"0", m.group()[:2])[m.lastindex] for m in _SHAPE.finditer(word[:64]))
-    return xxhash.xxh32_intdigest(runs[:8])
+    """A small hash of all the word's runs: A letters of upper case, a of lower case, 0 digits, else the marks themselves."""
+    return xxhash.xxh32_intdigest(b"".join([(b"", b"A", b"a", b"0", m.group())[m.lastindex] for m in _SHAPE.finditer(word)]))
 
 
 def _bare(word: bytes) -> bytes:

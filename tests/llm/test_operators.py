@@ -226,6 +226,9 @@ def test_formats_keep_samples_and_resample(spark, odd, form):
     assert all(f == form and len(d) % 64 == 0 and len(d) >= n for n, (f, _, d) in read)
     pcm = telephony.resampled(media, 16000).collect()
     assert len(pcm) == len(ROWS) and all(telephony.read_wav(r["media"])[:2] == (telephony.PCM, 16000) for r in pcm)
+    some = media.withColumn("media", F.when(F.col("n_bytes") > 100, F.col("media")))
+    both = telephony.resampled(some, 16000, "pcm").collect()
+    assert len(both) == len(ROWS) and all((r["pcm"] is None) == (r["media"] is None) for r in both)
 
 
 def test_adpcm_decodes_as_block_by_block():
