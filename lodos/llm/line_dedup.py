@@ -6,16 +6,13 @@ the end of the text to fill a window begin none. The smallest hash in a window i
 texts that share a window share its fingerprint, and neighbouring windows mostly share theirs.
 
 1. Fingerprints met at two or more positions in the corpus are kept; the others end here, with their windows.
-2. Each shared position is extended both ways to the windows around it of which it is the minimum; a window's content
-   (two 64-bit hashes over its line hashes) is grouped, and the first position of each content is found by
-   (doc_id, line). Groups are never listed: a group is one row with its smallest position.
-3. Every window that is not the first of its content is a later repeat. Windows that touch form the repeated runs; all
-   their lines are deleted.
+2. The windows around shared positions are joined by their content (two 64-bit hashes over their line hashes) to the first
+   position of that content by (doc_id, line). Groups are never listed: a group is one row with its smallest position.
+3. With ``extend``, each later position grows both ways from its window, unit by unit, as long as its text and the text of
+   the first position agree, to the ends of the texts too, and the whole repeated run goes: a run's last short lines, which
+   fill no window of their own, go with it. Without, only the lines of later windows go.
 
-So a line goes exactly if it lies in a window whose content begins somewhere earlier in the corpus, be it in the same
-text. With ``extend``, each later window also grows both ways, unit by unit, as long as its text and the text of its
-content's first position agree, to the ends of the texts too, and the whole run goes: a run's last short lines, which
-fill no window of their own, go with it. Every line deleted still has an equal one earlier in that order. Order: doc_id, null last, then the text's hash, then the line.
+Every line deleted still has an equal one earlier in that order: doc_id, null last, then the text's hash, then the line.
 
 Defined results for odd input: null and empty texts have no units and stay as they are; equal rows (same id, same text)
 count as one document, and all get the same result; a text whose lines all go becomes the empty text; an empty table
@@ -141,12 +138,16 @@ def line_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, least_lines: int
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line deduplication of all ``documents``: for each, its lines, the lines deleted and the text left."""
-    out = line_dedup(documents(spark, sf_dir))
+    out = line_dedup(documents(spark, sf_dir), extend=True)
     return out.select("doc_id", "n_lines", "n_deleted", F.sha2(text_of(), 256).alias("kept_sha256"), F.length(text_of()).cast("long").alias("kept_chars"))
 
 
-def oracle_sql(table: str = "documents", columns: str | None = None, least_words: int = LEAST_WORDS, least_lines: int = LEAST_LINES) -> str:
-    """Deletion judged window by window on the lines themselves, without fingerprints or hashes."""
+def oracle_sql(table: str = "documents", columns: str | None = None, least_words: int = LEAST_WORDS, least_lines: int = LEAST_LINES, extend: bool = True) -> str:
+    """Deletion judged window by window on the lines themselves, without fingerprints or hashes.
+
+    With ``extend``, each later window stands for the diagonal on which it meets the first window of its content; of the
+    places that are equal along a diagonal, the runs that hold such a window go.
+    """
     ends = " ".join(
         f"WHEN {' + '.join(f'coalesce(lead(words, {j}) OVER d, 0)' if j else 'words' for j in range(k + 1))} >= {least_words} AND lead(words, {k}) OVER d IS NOT NULL THEN {k + 1}"
         if k < least_lines - 1
@@ -156,15 +157,22 @@ def oracle_sql(table: str = "documents", columns: str | None = None, least_words
     content = ", ".join(f"CASE WHEN n > {k} THEN coalesce(lead(x, {k}) OVER d, '') END" for k in range(least_lines))
     lines = ", ".join(f"CASE WHEN n > {k} THEN lead(line, {k}) OVER d END" for k in range(least_lines))
     out = columns or "doc_id, n_lines, n_deleted, sha256(coalesce(text, '')) AS kept_sha256, length(coalesce(text, ''))::BIGINT AS kept_chars"
+    whole_windows = "gone AS (SELECT DISTINCT id, t, unnest(ls) AS line FROM later)"
+    whole_runs = """diagonals AS (SELECT DISTINCT id, t, oid, ot, ok - k AS shift FROM later),
+equal AS (SELECT d.*, u.k, u.line FROM diagonals d JOIN units u ON u.id = d.id AND u.t = d.t JOIN units o ON o.id = d.oid AND o.t = d.ot AND o.k = u.k + d.shift AND o.x = u.x),
+runs AS (SELECT *, k - row_number() OVER (PARTITION BY id, t, oid, ot, shift ORDER BY k) AS run FROM equal),
+hit AS (SELECT DISTINCT r.id, r.t, r.oid, r.ot, r.shift, r.run FROM runs r JOIN later w ON w.id = r.id AND w.t = r.t AND w.oid = r.oid AND w.ot = r.ot AND w.ok - w.k = r.shift AND w.k = r.k),
+gone AS (SELECT DISTINCT r.id, r.t, r.line FROM runs r JOIN hit h ON h.id = r.id AND h.t = r.t AND h.oid = r.oid AND h.ot = r.ot AND h.shift = r.shift AND h.run = r.run)"""
     return f"""
 WITH RECURSIVE src AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS ld_row FROM {table}),
 texts AS (SELECT DISTINCT coalesce(doc_id, 9223372036854775807) AS id, coalesce(text, '') AS t FROM src),
 parts AS (SELECT id, t, unnest(string_split(t, chr(10))) AS x, unnest(range(len(string_split(t, chr(10))))) AS line FROM texts),
-units AS (SELECT *, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS words FROM parts WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
+units AS (SELECT *, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS words, row_number() OVER (PARTITION BY id, t ORDER BY line) AS k FROM parts WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
 sized AS (SELECT *, CASE {ends} END AS n FROM units WINDOW d AS (PARTITION BY id, t ORDER BY line)),
-windows AS (SELECT id, t, line, n, ({content}) AS content, [{lines}] AS ls FROM sized WINDOW d AS (PARTITION BY id, t ORDER BY line)),
-later AS (SELECT id, t, unnest(ls) AS line FROM (SELECT *, row_number() OVER (PARTITION BY content, n ORDER BY id, t, line) AS r FROM windows WHERE n IS NOT NULL) WHERE r > 1),
-gone AS (SELECT DISTINCT id, t, line FROM later WHERE line IS NOT NULL),
+windows AS (SELECT id, t, line, k, n, ({content}) AS content, [{lines}] AS ls FROM sized WINDOW d AS (PARTITION BY id, t ORDER BY line)),
+ranked AS (SELECT *, row_number() OVER o AS r, first_value(id) OVER o AS oid, first_value(t) OVER o AS ot, first_value(k) OVER o AS ok FROM windows WHERE n IS NOT NULL WINDOW o AS (PARTITION BY content, n ORDER BY id, t, line)),
+later AS (SELECT * FROM ranked WHERE r > 1),
+{whole_runs if extend else whole_windows},
 cut AS (SELECT p.id, p.t, string_agg(p.x, chr(10) ORDER BY p.line) FILTER (g.line IS NULL) AS kept, count(g.line) AS n_deleted, count(*) AS n_lines
         FROM parts p LEFT JOIN gone g ON g.id = p.id AND g.t = p.t AND g.line = p.line GROUP BY p.id, p.t),
 done AS (SELECT s.* REPLACE (CASE WHEN s.text IS NOT NULL THEN coalesce(c.kept, '') END AS text), CASE WHEN s.text IS NULL THEN 0 ELSE c.n_lines END::BIGINT AS n_lines, c.n_deleted::BIGINT AS n_deleted

@@ -184,7 +184,8 @@ def test_components_of_chains(spark):
 def test_line_dedup_on_small_windows(spark, odd):
     out = line_dedup.line_dedup(odd.withColumn("line", F.lit("x")), least_words=5, least_lines=2)
     assert out.columns == [*odd.columns, "line", "n_lines", "n_deleted"]
-    same(out.drop("line"), line_dedup.oracle_sql("documents", "* EXCLUDE (ld_row)", 5, 2))
+    same(out.drop("line"), line_dedup.oracle_sql("documents", "* EXCLUDE (ld_row)", 5, 2, extend=False))
+    same(line_dedup.line_dedup(odd, 5, 2, extend=True), line_dedup.oracle_sql("documents", "* EXCLUDE (ld_row)", 5, 2))
 
 
 def test_line_dedup_keeps_first_and_deletes_later_runs(spark):
