@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import documents, text_of, work_path
+from .common import documents, text_of, work_path, written
+
+
+#: Unseen blobs that are sent to every task: 32 bytes of hash, a path and the keys of rules each, some tens of MB at most.
+FEW = 100_000
 
 
 @dataclass(frozen=True)
@@ -152,8 +156,13 @@ class Ledger:
             .select("blob", "path", F.array_except(keys, F.coalesce("rules", F.array().cast("array<string>"))).alias("todo"))
             .where(F.size("todo") > 0)
         )
+        # written once: it is counted, joined, and becomes part of the ledger
+        unseen = written(unseen, "unseen")
+        few = unseen.limit(FEW + 1).count() <= FEW
+        # few unseen blobs go to the texts, so that no seen text is moved; else texts and blobs meet in an exchange
+        side = F.broadcast(unseen) if few else unseen.hint("shuffle_hash")
         scanned = rows.alias("t").join(
-            unseen.hint("shuffle_hash").alias("u"),
+            side.alias("u"),
             (F.col("t.blob") == F.col("u.blob")) & F.col("t.path").eqNullSafe(F.col("u.path")),
         ).select("u.blob", "t.text", "u.todo")
         find(scanned, rules).write.mode("append").parquet(f"{self.path}/found")
