@@ -41,12 +41,12 @@ def _ranked(rows: DataFrame, keys: list[str], at: str, order: list[str], name: s
 def interleave(rows: DataFrame, stratum: str, tie: list[str], n_shards: int, seed: int = 42) -> DataFrame:
     """``rows`` with shard, slot (in the shard, from 0), position (in all), for ``rows`` that have no column named _*.
 
-    The seeded shuffle sorts by MD5 of the seed and the first column of ``tie``, then by ``tie``.
+    The seeded shuffle sorts by MD5 of the seed and the columns of ``tie``, then by these.
     """
     n = rows.count()
     ranges = max(1, math.ceil(n / RANGE_ROWS))
     mixed = rows.withColumn("_stratum", F.coalesce(F.concat(F.lit("s"), F.col(stratum)), F.lit("n"))).withColumn(
-        "_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(tie[0]).cast("string")))
+        "_key", F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in tie]))
     )
     lead = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
     dealt = mixed.withColumn("_range", F.floor(lead * ranges / F.lit(1 << 32)).cast("long"))
@@ -84,11 +84,11 @@ WITH crc_table AS (
   SELECT list_transform(range(256), lambda x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0],
          lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, x)) AS t),
 texts AS (SELECT doc_id, source, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
-rows_in AS (
-  SELECT doc_id, coalesce('s' || source, 'n') AS stratum, (strlen(text) + 16)::BIGINT AS size, md5('42|' || doc_id::VARCHAR) AS k,
-         xor(4294967295, list_reduce(list_transform(range(strlen(text)), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT),
+sized AS (
+  SELECT doc_id, coalesce('s' || source, 'n') AS stratum, (strlen(text) + 16)::BIGINT AS size, xor(4294967295, list_reduce(list_transform(range(strlen(text)), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT),
              lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8), 4294967295::BIGINT))::BIGINT AS text_crc32
   FROM texts, crc_table),
+rows_in AS (SELECT *, md5('42|' || coalesce(doc_id::VARCHAR, '') || '|' || text_crc32) AS k FROM sized),
 ranked AS (
   SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY k, doc_id, text_crc32) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS part
   FROM rows_in),
