@@ -321,9 +321,9 @@ def _agree(anchor: np.ndarray, rows: np.ndarray) -> np.ndarray:
 RANGES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
 
 
-def _ranges(bin_: pa.Table, least: int, gram: int) -> pa.Table:
+def _ranges(blobs: list[bytes], least: int, gram: int) -> pa.Table:
     """(doc_id, text_hash, lo, hi): runs of starts of strings to remove, from one bin's blobs; a row for each document, with lists of runs."""
-    ids, marks, places, strings, offs, body, begins = _unpack(bin_["blob"].to_pylist(), least)
+    ids, marks, places, strings, offs, body, begins = _unpack(blobs, least)
     half = (least - gram) // 2
     size = strings + (least - 1)
     stay = np.zeros(len(ids), bool)
@@ -492,8 +492,14 @@ def removed(docs: DataFrame, least: int = LEAST, with_text: bool = False) -> Dat
     if ids.where("twice").isEmpty():
         keyed = keyed.withColumn("text_hash", F.lit(0).cast("long"))  # ids tell all texts apart: no hash need travel
     bins = max(BINS, -(-total // BIN_BYTES))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [b for batch in batches for b in batch.column("blob").to_pylist()]  # a partition is a bin
+        if blobs:
+            yield from _ranges(blobs, least, GRAM).to_batches()
+
     binned = _binned(keyed.select("doc_id", "text_hash", "text").where(F.octet_length("text") >= least), bins, least)
-    ranges = binned.groupBy("bin").applyInArrow(lambda bin_: _ranges(bin_, least, GRAM), "doc_id long, text_hash long, lo array<int>, hi array<int>")
+    ranges = binned.repartitionById(bins, F.col("bin").cast("int")).select("blob").mapInArrow(settle, "doc_id long, text_hash long, lo array<int>, hi array<int>")
     listed = ranges.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
     joined = _packed(keyed).join(listed, ["doc_id", "text_hash"], "left").select("own_id", "packed", "lo", "hi")
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
