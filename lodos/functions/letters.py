@@ -5,6 +5,8 @@ Null in, null out. Upper and lower case follow ``ı/I`` and ``i/İ``; other lett
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named there, and not anew for each element of an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def lower(text: Column | str) -> Column:
     return F.lower(F.translate(_col(text), "Iİ", "ıi"))
 
