@@ -166,6 +166,11 @@ def store(docs: DataFrame, form: int = MULAW) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def _resampled(pcm: np.ndarray, rate: int, to: int) -> bytes:
+    """A WAV file of 16-bit PCM at the rate ``to``."""
+    return wav(PCM, resample(pcm, rate, to).astype("<i2").tobytes(), to)
+
+
 def resampled(media: DataFrame, rate: int = 16000, to: str = "media") -> DataFrame:
     """``media`` (a table with a column media of WAV files) with ``to``: 16-bit PCM at ``rate`` as a WAV file, null where media is null; other columns pass."""
     names = [*[c for c in media.columns if c != to], to]
@@ -176,7 +181,7 @@ def resampled(media: DataFrame, rate: int = 16000, to: str = "media") -> DataFra
                 there = [i for i, c in enumerate(clips) if c is not None]
                 files: list[bytes | None] = [None] * len(clips)
                 for i, (r, pcm) in zip(there, decode([clips[i] for i in there]), strict=True):
-                    files[i] = wav(PCM, resample(pcm, r, rate).astype("<i2").tobytes(), rate)
+                    files[i] = _resampled(pcm, r, rate)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names[:-1]], pa.array(files, pa.binary())], names)
 
     kept = media if to == "media" else media.withColumn(to, F.lit(None).cast("binary"))
@@ -193,23 +198,22 @@ def features(pcm: np.ndarray) -> str:
 
 
 def described(media: DataFrame, rate: int = 16000) -> DataFrame:
-    """For (doc_id, n_bytes, media, pcm): the stored samples read back, their digests, and features of what they decode to.
+    """For (doc_id, n_bytes, media): the stored samples read back, their digests, and features of what they decode to.
 
-    Features: of the clip as stored, of the same bytes read as A-law, mu-law and ADPCM, and of the stored PCM at ``rate``, with its CRC-32.
+    Features: of the clip as stored, of the same bytes read as A-law, mu-law and ADPCM, and size and CRC-32 of the PCM of its
+    resampled WAV file, as :func:`resampled` makes it. These files live only as long as a part of a batch: they are several
+    times the input.
     """
     kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            stored = batch.column("pcm").to_pylist()
             for part, clips in _runs(batch, "media"):
-                files, at = stored[at : at + len(clips)], at + len(clips)
                 read = [read_wav(c) for c in clips]
                 adpcm = decode([wav(IMA, data) for _, _, data in read])
                 rows = []
-                for clip, file, (_, _, data), (_, pcm), (_, coded) in zip(clips, files, read, decode(clips), adpcm, strict=True):
-                    other, samples = TABLES[ALAW][np.frombuffer(data, np.uint8)], read_wav(file)[2]
+                for clip, (_, _, data), (r, pcm), (_, coded) in zip(clips, read, decode(clips), adpcm, strict=True):
+                    other, samples = TABLES[ALAW][np.frombuffer(data, np.uint8)], read_wav(_resampled(pcm, r, rate))[2]
                     text = f"stored:{features(pcm)}|alaw:{features(other)}|adpcm:{features(coded)}|pcm{rate}:n={len(samples) // 2};crc={zlib.crc32(samples)}"
                     rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(clip), hashlib.sha256(clip).hexdigest(), text))
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
@@ -219,5 +223,5 @@ def described(media: DataFrame, rate: int = 16000) -> DataFrame:
 
 
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text of ``documents`` stored as a mu-law WAV and as resampled PCM, read back and described."""
-    return described(resampled(store(documents(spark, sf_dir)), to="pcm"))
+    """Every text of ``documents`` stored as a mu-law WAV, read back and described."""
+    return described(store(documents(spark, sf_dir)))
