@@ -543,6 +543,44 @@ def test_mixing_on_driver_and_cluster_agree(spark, odd):
     assert all(math.isclose(a[k][0], b[k][0], rel_tol=1e-3, abs_tol=1e-6) and a[k][1] == b[k][1] for k in a)
 
 
+def test_mixing_query_by_hand(spark, results):
+    """The query's own rows: cells, weights raked by plain loops, probabilities and draws."""
+
+    def topic(t):
+        n = len(t.encode())
+        return "table" if t.count("|") * 50 > n else "contact" if "@" in t else "verse" if t.count("\n") * 60 > n else "prose"
+
+    cell = lambda r: (r[3], r[2], topic(r[1] or ""))
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = Counter()
+    for r in ROWS:
+        sizes[cell(r)] += words(r[1])
+    total = sum(sizes.values())
+    weights = {c: n / total for c, n in sizes.items()}
+    goals = []
+    for d, alpha in enumerate((0.7, 0.8, 0.9)):
+        shares = Counter()
+        for c, n in sizes.items():
+            shares[c[d]] += n / total
+        raised = {k: v**alpha for k, v in shares.items() if v > 0}
+        goals.append({k: v / sum(raised.values()) for k, v in raised.items()})
+    for _ in range(500):
+        for d, goal in enumerate(goals):
+            have = Counter()
+            for c, w in weights.items():
+                have[c[d]] += w
+            weights = {c: w * goal.get(c[d], 0) / have[c[d]] if have[c[d]] else 0.0 for c, w in weights.items()}
+    whole = sum(weights.values())
+    rate = {c: w / whole / sizes[c] if sizes[c] else 0.0 for c, w in weights.items()}
+    chance = {c: rate[c] / max(rate.values()) if sizes[c] else 1.0 for c in sizes}
+    numbered = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(ROWS)], "i long, doc_id long, text string")
+    u = {r["i"]: r["u"] for r in numbered.selectExpr("i", "pmod(xxhash64(42, doc_id, xxhash64(coalesce(text, ''))), 9007199254740992) / 9007199254740992D AS u").collect()}
+    want = sorted(((r[0], *cell(r), words(r[1]), round(weights[cell(r)] / whole, 6), round(chance[cell(r)], 6)) for r in ROWS), key=repr)
+    got = results("op9_mixing")
+    assert sorted(((r["doc_id"], r["source"], r["lang"], r["topic"], r["tokens"], round(r["weight"], 6), round(r["probability"], 6)) for r in got), key=repr) == want
+    assert Counter(r["doc_id"] for r in got if r["drawn"]) == Counter(r[0] for i, r in enumerate(ROWS) if u[i] < chance[cell(r)])
+
+
 # --- sharding
 
 
