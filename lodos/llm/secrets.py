@@ -158,8 +158,8 @@ class Ledger:
         )
         # written once: it is counted, joined, and becomes part of the ledger
         unseen = written(unseen, "unseen")
-        few = unseen.limit(FEW + 1).count() <= FEW
-        # few unseen blobs go to the texts, so that no seen text is moved; else texts and blobs meet in an exchange
+        # where nearly all is seen, the few unseen blobs go to the texts, so that no seen text is moved; else they meet in an exchange
+        few = (n := unseen.count()) <= FEW and 20 * n <= blobs.count()
         side = F.broadcast(unseen) if few else unseen.hint("shuffle_hash")
         scanned = rows.alias("t").join(
             side.alias("u"),
