@@ -437,35 +437,22 @@ def _settle(anchor, ids, places, offs, begins, size, body, least, number) -> np.
 def _classes(texts: list[bytes], ids: list[int], least: int) -> list[list[int]]:
     """For each text and each start of ``least`` bytes in it, the smallest of ``ids`` among texts that hold those bytes."""
     joined = b"\0".join(texts) + b"\0"
-    out = [[i] * (len(t) - least + 1) for t, i in zip(texts, ids, strict=True)]
-    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts]).tolist()
-    begins, at = [], 0
-    for t in texts:
-        begins.append(at)
-        at += len(t) + 1
-    before, members, smallest = b"", [], LAST
-
-    def close() -> None:
-        if len(members) > 1:
-            for w, k in members:
-                out[w][k] = smallest
-
-    for p in suffix_array(joined):
-        if p >= len(owner):
-            continue
-        w = owner[p]
-        k = p - begins[w]
-        if k >= len(out[w]):
-            continue  # fewer than ``least`` bytes of its own text follow
-        here = joined[p : p + least]
-        if here != before:
-            close()
-            before, members, smallest = here, [], LAST
-        members.append((w, k))
-        if ids[w] < smallest:
-            smallest = ids[w]
-    close()
-    return out
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begins = np.cumsum(sizes + 1) - (sizes + 1)
+    # places where ``least`` bytes of a text begin
+    counts = sizes - least + 1
+    first = np.cumsum(counts) - counts
+    place = np.arange(int(counts.sum())) - np.repeat(first - begins, counts)
+    here = np.zeros(len(joined) + 1, bool)
+    here[place] = True
+    order = np.array(suffix_array(joined), np.int64)
+    order = order[here[order]]
+    strings = np.lib.stride_tricks.sliding_window_view(np.frombuffer(joined, np.uint8), least)[order]
+    new = np.concatenate([[True], (strings[1:] != strings[:-1]).any(1)])
+    smallest = np.zeros(len(joined), np.int64)
+    smallest[place] = np.repeat(np.array(ids, np.int64), counts)
+    smallest[order] = np.minimum.reduceat(smallest[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return [x.tolist() for x in np.split(smallest[place], first[1:])]
 
 
 def _cut(text: bytes, lo: np.ndarray, hi: np.ndarray, least: int) -> tuple[int, int, bytes]:
