@@ -4,7 +4,7 @@ Documents fall into cells of (source, language, topic); a cell's size is its tok
 to each dimension's target share in turn until all three marginals fit. A document of a cell is drawn with probability
 min(1, c * weight / size): c is as large as lets no cell exceed 1 (every marginal is then met exactly in expectation), or
 is set by ``budget``, the expected share of tokens to draw, with cells that reach 1 filled first. The draw compares a hash
-of the id and the seed with the probability, so it is the same on every run and grows with the probability.
+of the seed, the id and the text with the probability, so it is the same on every run and grows with the probability.
 
 Targets not given are the data's own shares, tempered: share ** alpha, made to sum to 1.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import WORD, documents, text_of, written
 
 MOST_CELLS = 200_000
-ROUNDS, CLOSE = 500, 1e-10
+ROUNDS, CLOSE = 500, 1e-13
 #: Exponent of the data's own shares, by dimension, where no target is given.
 ALPHA = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 
@@ -184,7 +184,8 @@ def mixed(
     fitted = fitted.select(*[F.col(d).alias(f"_mx_{d}") for d in dims], F.col("weight").alias("_mx_weight"), F.col("probability").alias("_mx_probability"))
     same = [F.col(d).eqNullSafe(F.col(f"_mx_{d}")) for d in dims]
     joined = base.join(F.broadcast(fitted) if n <= most_cells else fitted, same[0] & same[1] & same[2], "left")
-    chance = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64(text_of())), F.lit(1 << 53)) / F.lit(float(1 << 53))).alias("u")
+    own = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_of()))
+    chance = F.conv(F.substring(own, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     added = {"tokens": F.col("_mx_tokens"), "weight": F.col("_mx_weight"), "probability": F.col("_mx_probability"), "drawn": chance < F.col("_mx_probability")}
     names = [c for c in base.columns if c not in added and not c.startswith("_mx_")]
     return joined.select(*[f"`{c}`" for c in names], *[v.alias(k) for k, v in added.items()])
@@ -194,3 +195,32 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell, weight, probability and draw of every row of ``documents``, to tempered targets."""
     out = mixed(documents(spark, sf_dir))
     return out.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), "drawn")
+
+
+def oracle_sql(rounds: int = 40) -> str:
+    """The cells, raked by so many rounds of window sums written out one after another, and the draw."""
+    words = r"len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))"
+    count = lambda c: f"(strlen(t) - strlen(replace(t, {c}, '')))"
+    topic = f"CASE WHEN {count(chr(39) + '|' + chr(39))} * 50 > strlen(t) THEN 'table' WHEN contains(t, '@') THEN 'contact' WHEN {count('chr(10)')} * 60 > strlen(t) THEN 'verse' ELSE 'prose' END"
+    goals, steps, now = [], [], "w0"
+    for d, alpha in ALPHA.items():
+        goals.append(f"goal_{d} AS (SELECT v, CASE WHEN n > 0 THEN pow(n / (SELECT sum(tokens) FROM cells), {alpha}) ELSE 0 END AS x FROM (SELECT {d} AS v, sum(tokens) AS n FROM cells GROUP BY {d}))")
+        goals.append(f"share_{d} AS (SELECT v, x / (SELECT sum(x) FROM goal_{d}) AS x FROM goal_{d})")
+    for i in range(rounds):
+        for d in ALPHA:
+            steps.append(f"w{i}_{d} AS MATERIALIZED (SELECT c.* REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 THEN w * x / sum(w) OVER (PARTITION BY {d}) ELSE 0 END AS w) FROM {now} c JOIN share_{d} s ON s.v IS NOT DISTINCT FROM c.{d})")
+            now = f"w{i}_{d}"
+    return f"""
+WITH texts AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+docs AS (SELECT *, {topic} AS topic, {words}::BIGINT AS tokens FROM texts),
+cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL),
+{', '.join(goals)},
+w0 AS (SELECT *, tokens / (SELECT sum(tokens) FROM cells) AS w FROM cells),
+{', '.join(steps)},
+raked AS (SELECT source, lang, topic, tokens AS size, w / (SELECT sum(w) FROM {now}) AS weight FROM {now}),
+rated AS (SELECT *, CASE WHEN size > 0 THEN weight / size ELSE 0 END AS rate FROM raked),
+fitted AS (SELECT *, CASE WHEN size > 0 THEN least(1, rate / (SELECT max(rate) FROM rated)) ELSE 1 END AS probability FROM rated)
+SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, round(weight, 9) AS weight, round(probability, 9) AS probability,
+       ('0x' || md5('42|' || coalesce(doc_id::VARCHAR, '') || '|' || t)[1:13])::BIGINT / 4503599627370496.0::DOUBLE < probability AS drawn
+FROM docs d JOIN fitted f ON f.source IS NOT DISTINCT FROM d.source AND f.lang IS NOT DISTINCT FROM d.lang AND f.topic = d.topic
+"""

@@ -28,5 +28,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scan": secrets.oracle_sql(),
         "op3_line_dedup": line_dedup.oracle_sql(),
+        "op6_suffix_dedup": suffix_dedup.oracle_sql(),
+        "op9_mixing": mixing.oracle_sql(),
         "op10_sharding": sharding.oracle_sql(),
     }

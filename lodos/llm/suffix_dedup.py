@@ -521,3 +521,21 @@ def _packed(keyed: DataFrame) -> DataFrame:
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents`` with what is removed from it."""
     return removed(documents(spark, sf_dir))
+
+
+def oracle_sql(least: int = LEAST) -> str:
+    """Every string of ``least`` bytes, as hexadecimal text, with the smallest id that it starts in; no suffix order."""
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {LAST}) AS k, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+strings AS (SELECT r, k, p, h[2 * p + 1:2 * p + {2 * least}] AS s FROM (SELECT r, k, h, unnest(range(n - {least - 1})) AS p FROM texts WHERE n >= {least})),
+firsts AS (SELECT s, min(k) AS least FROM strings GROUP BY s HAVING min(k) < max(k)),
+gone AS (SELECT r, p FROM strings JOIN firsts USING (s) WHERE k > least),
+starts AS (SELECT r, p, CASE WHEN p > lag(p) OVER (PARTITION BY r ORDER BY p) + {least} THEN 1 ELSE 0 END AS new FROM gone),
+numbered AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS run FROM starts),
+runs AS (SELECT r, min(p) AS a, max(p) + {least} AS b FROM numbered GROUP BY r, run),
+-- what stands before each run, and behind the last
+kept AS (SELECT r, a, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS after, a AS until, b FROM runs),
+pieces AS (SELECT k.r, string_agg(h[2 * after + 1:2 * until], '' ORDER BY a) AS head, max(b) AS last, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM kept k JOIN texts t ON t.r = k.r GROUP BY k.r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(head || h[2 * last + 1:], h))) AS kept_sha256
+FROM texts t LEFT JOIN pieces p ON p.r = t.r
+"""

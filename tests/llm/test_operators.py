@@ -543,7 +543,7 @@ def test_mixing_on_driver_and_cluster_agree(spark, odd):
     assert all(math.isclose(a[k][0], b[k][0], rel_tol=1e-3, abs_tol=1e-6) and a[k][1] == b[k][1] for k in a)
 
 
-def test_mixing_query_by_hand(spark, results):
+def test_mixing_query_by_hand(results):
     """The query's own rows: cells, weights raked by plain loops, probabilities and draws."""
 
     def topic(t):
@@ -573,12 +573,11 @@ def test_mixing_query_by_hand(spark, results):
     whole = sum(weights.values())
     rate = {c: w / whole / sizes[c] if sizes[c] else 0.0 for c, w in weights.items()}
     chance = {c: rate[c] / max(rate.values()) if sizes[c] else 1.0 for c in sizes}
-    numbered = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(ROWS)], "i long, doc_id long, text string")
-    u = {r["i"]: r["u"] for r in numbered.selectExpr("i", "pmod(xxhash64(42, doc_id, xxhash64(coalesce(text, ''))), 9007199254740992) / 9007199254740992D AS u").collect()}
+    own = lambda r: int(hashlib.md5(f"42|{'' if r[0] is None else r[0]}|{r[1] or ''}".encode()).hexdigest()[:13], 16) / 2**52
     want = sorted(((r[0], *cell(r), words(r[1]), round(weights[cell(r)] / whole, 6), round(chance[cell(r)], 6)) for r in ROWS), key=repr)
     got = results("op9_mixing")
     assert sorted(((r["doc_id"], r["source"], r["lang"], r["topic"], r["tokens"], round(r["weight"], 6), round(r["probability"], 6)) for r in got), key=repr) == want
-    assert Counter(r["doc_id"] for r in got if r["drawn"]) == Counter(r[0] for i, r in enumerate(ROWS) if u[i] < chance[cell(r)])
+    assert Counter(r["doc_id"] for r in got if r["drawn"]) == Counter(r[0] for r in ROWS if own(r) < chance[cell(r)])
 
 
 # --- sharding
