@@ -127,15 +127,18 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS, m: int | None = None,
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, m: int | None = None, hot: int = HOT, seed: int = 42) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) of every row of ``docs``; component_id: the smallest doc_id reachable by links."""
+    """(doc_id, text_hash, fp, root, component_id) of every row of ``docs``; component_id: the smallest doc_id reachable by links.
+
+    ``root`` names the component also where ids repeat, and two components have one smallest id.
+    """
     prints = written(fingerprints(docs, words, seed), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = components(links(nodes.select("fp"), nodes.count(), radius, m, hot))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = written(rooted.join(ids, "root").select("fp", "component_id"), "classes")
+    of = written(rooted.join(ids, "root").select("fp", "root", "component_id"), "classes")
     drop_written(nodes)
-    return prints.join(of, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
+    return prints.join(of, "fp", "left").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, radius: int = RADIUS) -> DataFrame:
@@ -147,10 +150,9 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = RADIUS) -> DataFr
 
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component in ``found`` (doc_id, text_hash, fp, component_id)."""
+    """The rows of ``docs`` that are the first of their component in ``found`` (doc_id, text_hash, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    # null ids can only stay in a component of null ids, which their fingerprints' components tell apart by text
-    first = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("k")).agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    first = found.groupBy("root").agg(F.min(order).alias("first"))
     keep = written(first.select("first.doc_id", F.col("first.text_hash").alias("_sh_hash")), "kept")
     hashed = docs.withColumn("_sh_hash", F.xxhash64(text_of()))
     same = hashed["doc_id"].eqNullSafe(keep["doc_id"]) & (hashed["_sh_hash"] == keep["_sh_hash"])
