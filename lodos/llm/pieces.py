@@ -25,6 +25,7 @@ only the id and text columns are read. A vocabulary that lacks one of the 256 by
 from __future__ import annotations
 
 import gc
+import hashlib
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -443,17 +444,27 @@ def _encoded(ids: pa.Array, texts: list[str], model: str, n_best: int) -> pa.Rec
     return pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "segmentations"])
 
 
-def encode(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL) -> DataFrame:
-    """doc_id, ids of the best segmentation, and the N best as costs and edits of it. ``model`` is a path that executors can open."""
+def encode(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL, check: bool = False) -> DataFrame:
+    """doc_id, ids of the best segmentation, and the N best as costs and edits of it. ``model`` is a path that executors can open.
+
+    With ``check`` also text_sha256, of the text that the ids decode to, in the same pass. What a task remembers of spans it
+    forgets at its end: workers stay, and serve other stages.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for i, j in _parts(map(len, texts), TOGETHER):
-                yield _encoded(batch.column("doc_id").slice(i, j - i), texts[i:j], model, n_best)
+                out = _encoded(batch.column("doc_id").slice(i, j - i), texts[i:j], model, n_best)
+                if check:
+                    digests = [hashlib.sha256(_text_of(x.values.to_numpy(), model).encode()).hexdigest() for x in out.column("ids")]
+                    out = pa.RecordBatch.from_arrays([*out.columns, pa.array(digests, pa.string())], [*out.schema.names, "text_sha256"])
+                yield out
+        if (model, n_best) in _held:
+            _held[model, n_best].forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, ENCODED)
+    return rows.mapInArrow(run, ENCODED + ", text_sha256 string" * check)
 
 
 def decode_ids(ids: list[int], table: list[bytes]) -> str:
@@ -476,25 +487,25 @@ def _decoder(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _decoders: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
+def _text_of(which: np.ndarray, model: str) -> str:
+    """The text of an array of ids, without the space in front."""
+    data, begins, sizes = _decoder(model)
+    size = sizes[which]
+    ends = np.cumsum(size)
+    raw = data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins[which] - (ends - size), size)].tobytes()
+    return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+
+
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """``encoded`` with text, decoded from the column ids; a null list decodes to null. Other columns pass through."""
     names = [c for c in encoded.columns if c != "text"]
     at = names.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, begins, sizes = _decoder(model)
         for batch in batches:
             for i, j in _parts([len(x) if x.is_valid else 0 for x in batch.column(at)], TOGETHER // 2):
-                part, texts = batch.slice(i, j - i), []
-                for ids in part.column(at):
-                    if not ids.is_valid:
-                        texts.append(None)
-                        continue
-                    which = ids.values.to_numpy()
-                    size = sizes[which]
-                    ends = np.cumsum(size)
-                    raw = data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins[which] - (ends - size), size)].tobytes()
-                    texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
+                part = batch.slice(i, j - i)
+                texts = [_text_of(ids.values.to_numpy(), model) if ids.is_valid else None for ids in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, "text"])
 
     schema = encoded.select(*names).withColumn("text", F.lit("")).schema

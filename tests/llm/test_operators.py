@@ -356,7 +356,8 @@ def test_best_segmentations_are_the_library_ones():
 
 
 def test_decoding_gives_texts_back(spark, odd):
-    back = pieces.decode(pieces.encode(odd))
+    back = pieces.decode(pieces.encode(odd, check=True)).cache()
+    assert rows_of(back, "doc_id", "text_sha256") == sorted(((r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in ROWS), key=repr)
     assert rows_of(back, "doc_id", "text") == sorted(((r[0], r[1] or "") for r in ROWS), key=repr)
 
 
