@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -129,18 +130,55 @@ def _rooted(low: Column, roots: dict[str, str]) -> Column:
     return F.when(root != "", F.concat(_map(roots, root), F.regexp_extract(low, pattern, 2)))
 
 
-def _tokens(held: DataFrame, text: str) -> DataFrame:
-    """(_row, pos, token, start, end, low) with the token before as before, before_low, before_start."""
-    rows = cut(held, ROW, text=text)
-    near = F.transform(F.arrays_zip("_t", "_e"), lambda x, i: F.struct(x["_t"].alias("t"), x["_e"].alias("e"), F.get("_t", i - 1).alias("b"), F.get("_e", i - 1).alias("be")))
-    rows = rows.select(ROW, F.posexplode(near).alias("pos", "r")).select(ROW, "pos", F.col("r.t").alias("token"), F.col("r.e").cast("long").alias("end"), F.col("r.b").alias("before"), F.col("r.be").cast("long").alias("_be"))
-    rows = rows.withColumn("start", F.col("end") - F.length("token")).withColumn("before_start", F.col("_be") - F.length("before"))
-    return rows.withColumn("low", L.lower("token")).withColumn("before_low", L.lower("before")).drop("_be")
+def _in(part: str, forms: set[str] | list[str]) -> Column:
+    """Whether an expression is one of these texts in some case; its letters' case is no matter, so that none need be lowered."""
+    cases = lambda c: {c, {"i": "İ", "ı": "I"}.get(c, c.upper()), "\u212a" if c == "k" else c}
+    every = sorted({"".join(x) for f in forms for x in product(*map(cases, f))})
+    return F.expr(f"{part} IN ({', '.join(chr(39) + x.replace(chr(39), chr(92) + chr(39)) + chr(39) for x in every)})")
+
+
+def _ending(forms: set[str] | list[str]) -> Column:
+    """Whether a token may end with one of these: by their last three letters, or two where they have no more."""
+    last = {f[-3:] for f in forms}
+    return _in("right(token, 2)", [f for f in last if len(f) == 2]) | _in("right(token, 3)", [f for f in last if len(f) == 3])
+
+
+def _asking() -> Column:
+    """Whether a rule of :func:`token_findings` may find something at (pos, token, before); most tokens are passed by here."""
+    whole = {"te", "ta", "ki", *WITH_DE, *WITH_KI, *DOUBLES, *SPOKEN, *APART, *(p.split(" ")[1] for p in (*INDEFINITE, *TOGETHER))}
+    parted = F.expr("token").isNotNull() & _in("substring(token, 1, 4)", "da de dan den nda nde".split()) & L.lower("before").isin(LOCATIVE)
+    return (
+        ((F.col("pos") == 0) & F.rlike("token", F.lit(r"^\p{IsLowercase}")))
+        | _in("substring(token, 1, 4)", {w[:4] for w in (*whole, *BIL, *DROPPED, *SOFTENED)})
+        | _ending(["mi", "mı", "mu", "mü", *QUESTION, *NARROWED])
+        | (F.rlike(F.right("token", F.lit(1)), F.lit(r"[!-/:-@\[-`{-~]")) & (F.length("token") > 1))
+        | parted
+    )
+
+
+#: Pieces whose lengths are added up at once.
+_BLOCK = 64
+
+
+def _tokens(held: DataFrame, text: str, gate: Column) -> DataFrame:
+    """(_row, pos, token, start, end, low) of the tokens that pass ``gate``, with the token before as before, before_low, before_start."""
+    once = held.select(ROW, T.pieces(text).alias("_p")).select(ROW, "_p", F.transform("_p", T.bare).alias("_t"))
+    length = lambda first, n: F.length(F.array_join(F.slice("_p", first, n), ""))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_p") - 1) / _BLOCK).cast("int")), lambda b: length(b * _BLOCK + 1, F.lit(_BLOCK)))
+    near = F.arrays_zip(F.col("_t").alias("t"), F.concat(F.array(F.lit(None).cast("string")), "_t").alias("b"))
+    once = once.select(ROW, "_p", blocks.alias("_l"), near.alias("_n")).select(ROW, "_p", T.running(F.col("_l")).alias("_b"), "_n")
+    rows = once.select(ROW, "_p", "_b", F.posexplode("_n").alias("pos", "r")).select(ROW, "_p", "_b", "pos", F.col("r.t").alias("token"), F.col("r.b").alias("before"))
+    rows = rows.where(F.col("token").isNotNull() & gate)
+    block = F.floor(F.col("pos") / _BLOCK).cast("int")
+    end = F.coalesce(F.get("_b", block - 1), F.lit(0)) + length(block * _BLOCK + 1, F.col("pos") % _BLOCK + 1)
+    rows = rows.select(ROW, "pos", "token", "before", end.cast("long").alias("end"), F.length(F.get("_p", F.col("pos"))).alias("_n"))
+    rows = rows.withColumn("start", F.col("end") - F.length("token")).withColumn("before_start", F.col("end") - F.col("_n") - F.length("before"))
+    return rows.withColumn("low", L.lower("token")).withColumn("before_low", L.lower("before")).drop("_n")
 
 
 def token_findings(held: DataFrame, text: str = "text") -> DataFrame:
     """(_row, finding...) of the rules that look at a token and the one before it."""
-    rows = _tokens(held, text)
+    rows = _tokens(held, text, _asking())
     tok, low, s, e = F.col("token"), F.col("low"), F.col("start"), F.col("end")
     prev, plow, ps = F.col("before"), F.col("before_low"), F.col("before_start")
     pair, both = F.concat(plow, F.lit(" "), low), F.concat(prev, F.lit(" "), tok)
@@ -199,20 +237,26 @@ def token_findings(held: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(ROW, F.explode(found).alias("f")).select(ROW, "f.*")
 
 
+#: What stands around an apostrophe that a rule finds.
+_DERIVED = "[lL](?:[eEaA][rR]|[ıIiİuUüÜ])"
+_APOSTROPHE = rf"(?:{_DERIVED}|[lL][ıIiİuUüÜ][kK\u212a]|[gG][iİ][lL])'\p{{IsAlphabetic}}|'(?:{_DERIVED}|[sS][ıIiİuUüÜ][zZ])|[345]'[dD][eEaA]"
+
+
 def apostrophe_findings(held: DataFrame, text: str = "text") -> DataFrame:
     """Doubled ordinals (the first of each kind), number suffixes that must harden, suffixes that take no apostrophe."""
     t = F.col(text)
     each = []
+    ordered = held.where(F.contains(t, F.lit(".'")))
     for i, mark in enumerate(ORDINAL):
         at = F.locate(mark, t)
         number = F.regexp_extract(F.substring(t, F.lit(1), at - 1), "(?s)([0-9]+)$", 1)
         there = (at > 0) & (number != "")
         start = at - 1 - F.length(number)
         each.append(_first(start, at - 1 + len(mark), "ApostropheNumberDate", F.concat(number, F.lit(mark)), F.when(there, F.concat(number, F.lit(mark[1:]))), 50 + i))
-    doubled = held.select(ROW, F.explode(F.array_compact(F.array(*each))).alias("f")).select(ROW, "f.*")
+    doubled = ordered.select(ROW, F.explode(F.array_compact(F.array(*each))).alias("f")).select(ROW, "f.*")
     part = r"[^\p{IsWhite_Space}.,(\"!]+"
     pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(part), 0).alias("part"), T.match_ends(t, part).alias("end"))
-    rows = held.where(F.contains(t, F.lit("'"))).select(ROW, F.explode(F.filter(pairs, lambda p: F.contains(p["part"], F.lit("'")))).alias("r"))
+    rows = held.where(F.contains(t, F.lit("'")) & F.rlike(t, F.lit(_APOSTROPHE))).select(ROW, F.explode(F.filter(pairs, lambda p: F.contains(p["part"], F.lit("'")))).alias("r"))
     rows = rows.select(ROW, "r.part", (F.col("r.end") - F.length("r.part")).cast("long").alias("begin"))
     marks = F.filter(F.sequence(F.lit(1), F.length("part")), lambda i: F.substring(F.col("part"), i, F.lit(1)) == "'")
     at = rows.select(ROW, "part", "begin", F.explode(marks).alias("at"))
@@ -231,6 +275,7 @@ def apostrophe_findings(held: DataFrame, text: str = "text") -> DataFrame:
 
 def tautologies(held: DataFrame, text: str = "text") -> DataFrame:
     """The first of each doubled expression, anywhere in a text."""
+    held = held.where(F.rlike(text, F.lit("|".join(map(T.any_case, TWICE)).replace("[kK]", "[kK\u212a]"))))
     low = L.lower(text)
     each = []
     for i, (phrase, better) in enumerate(TWICE.items()):
@@ -240,6 +285,7 @@ def tautologies(held: DataFrame, text: str = "text") -> DataFrame:
 
 
 #: What a word must end with for a rule on its parses.
+ASKING = "de da te ta ki dan den dı di du dü dır dir dur dür ca ce yor lar ler".split()
 _ASKS = "(de|da|te|ta|ki|d[ae]n|d[ıiuü]r?|c[ae]|[ae]yor|l[ae]r)$"
 
 
@@ -289,7 +335,7 @@ def word_fixes(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def word_findings(held: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
     """(_row, finding...) of the rules on a word's parses: clitics on verbs, assimilation, narrowing, harmony of plurals."""
-    rows = _tokens(held, text).select(ROW, "token", "low", "start", "end").where(F.rlike("low", F.lit(_ASKS)))
+    rows = _tokens(held, text, _ending(ASKING)).select(ROW, "token", "low", "start", "end").where(F.rlike("low", F.lit(_ASKS)))
     met = rows.join(word_fixes(rows, lexicon), "low")
     tok = F.col("token")
     better = F.when(F.col("whole").isNotNull(), _cased(tok, F.col("whole"))).otherwise(F.concat(F.substring(tok, F.lit(1), F.length(tok) - F.col("drop")), F.col("tail")))
