@@ -156,6 +156,14 @@ def _asking() -> Column:
     )
 
 
+def rows_before(held: DataFrame, text: str) -> DataFrame:
+    """(_row, pos, token, before): all tokens, each with the one before it."""
+    once = held.select(ROW, T.words(text).alias("_t"))
+    near = F.arrays_zip(F.col("_t").alias("t"), F.concat(F.array(F.lit(None).cast("string")), "_t").alias("b"))
+    rows = once.select(ROW, F.posexplode(near).alias("pos", "r")).select(ROW, "pos", F.col("r.t").alias("token"), F.col("r.b").alias("before"))
+    return rows.where(F.col("token").isNotNull())
+
+
 #: Pieces whose lengths are added up at once.
 _BLOCK = 64
 
@@ -379,16 +387,16 @@ def agreements(words: list[str], ends: list[int], parses: list[list[dict]]) -> l
 
 def agreement_findings(held: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
     """(_row, finding...) of the rules on number, possession, polarity and subjects, in the texts that hold a trigger of one."""
-    texts = cut(held, ROW, text=text)
-    texts = texts.withColumn("_low", F.transform("_t", lambda t: L.lower(t))).where(F.size("_t") > 1)
-    pairs = F.exists(
-        F.arrays_zip(F.slice("_low", F.lit(1), F.size("_low") - 1).alias("a"), F.slice("_low", F.lit(2), F.size("_low")).alias("b")),
-        lambda p: (p["a"].isin(sorted(QUANTITY)) | F.rlike(p["a"], F.lit("^[0-9]+$"))) & F.rlike(p["b"], F.lit(".l[ae]r$")),
+    quantity = F.rlike("before", F.lit("^[0-9]+$")) | L.lower("before").isin(sorted(QUANTITY))
+    ends, first = _in("right(token, 3)", ["lar", "ler"]), (F.col("pos") == 0) & F.rlike(L.lower("token"), F.lit("l[ae]r"))
+    word = _in("substring(token, 1, 4)", {w[:4] for w in ("benim", *NEGATIVE)}) & L.lower("token").isin(["benim", *sorted(NEGATIVE)])
+    ne = _in("token", ["ne"])
+    met = rows_before(held, text).where(ends | first | ne | word)
+    flags = met.groupBy(ROW).agg(
+        F.max((ends & (F.length("token") > 3) & F.coalesce(quantity, F.lit(False))) | word).alias("one"), F.max(first).alias("first"), F.max(ends).alias("last"), F.sum(ne.cast("int")).alias("ne")
     )
-    any_of = lambda ws: F.arrays_overlap("_low", F.array(*map(F.lit, ws)))
-    subject = F.rlike(F.get("_low", F.lit(0)), F.lit("l[ae]r")) & F.exists("_low", lambda w: F.rlike(w, F.lit("l[ae]r$")))
-    twice = F.size(F.filter("_low", lambda w: w == "ne")) >= 2
-    some = texts.where(pairs | any_of(["benim", *sorted(NEGATIVE)]) | subject | twice).select(ROW, "_t", "_e")
+    asked = flags.where(F.col("one") | (F.col("first") & F.col("last")) | (F.col("ne") >= 2)).select(ROW)
+    some = cut(held.join(asked, ROW, "left_semi"), ROW, text=text).where(F.size("_t") > 1).select(ROW, "_t", "_e")
     each = some.select(ROW, F.posexplode(F.arrays_zip("_t", "_e")).alias("pos", "r")).select(ROW, "pos", F.col("r._t").alias("token"), F.col("r._e").alias("end"))
     listed = parse_lists(each.select(F.col("token").alias("word")), lexicon)
     met = each.join(listed, each["token"] == listed["word"], "left").select(ROW, F.struct("pos", "token", "end", "parses").alias("t"))
