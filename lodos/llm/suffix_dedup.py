@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of
+from .common import documents, give_back, text_of
 
 LEAST = 50
 GRAM = 12
@@ -250,6 +250,7 @@ def _binned(docs: DataFrame, bins: int, least: int) -> DataFrame:
                         out_bins.append(b)
                         blobs.append(pack(raw))
                 yield pa.RecordBatch.from_arrays([pa.array(out_bins, pa.int64()), pa.array(blobs, pa.binary())], ["bin", "blob"])
+            give_back()
 
     return docs.mapInArrow(run, "bin long, blob binary")
 
@@ -483,7 +484,10 @@ def removed(docs: DataFrame, least: int = LEAST, with_text: bool = False) -> Dat
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [b for batch in batches for b in batch.column("blob").to_pylist()]  # a partition is a bin
         if blobs:
-            yield from _ranges(blobs, least, GRAM).to_batches()
+            found = _ranges(blobs, least, GRAM)
+            del blobs
+            give_back()
+            yield from found.to_batches()
 
     binned = _binned(keyed.select("doc_id", "text_hash", "text").where(F.octet_length("text") >= least), bins, least)
     ranges = binned.repartitionById(bins, F.col("bin").cast("int")).select("blob").mapInArrow(settle, "doc_id long, text_hash long, lo array<int>, hi array<int>")

@@ -78,3 +78,16 @@ def test_sentences_in_one_pass(spark):
     assert sorted(map(tuple, whole.select(names).collect()), key=str) == sorted(map(tuple, spans.select(names).collect()), key=str)
     forms = whole.where("doc_id = 4").orderBy("sentence").collect()
     assert [[t["form"] for t in r["tokens"]] for r in forms] == [["x", "😀", "ev", "."], ["😀", "ev"]]
+
+
+def test_workers_give_memory_back():
+    """A large array that was freed doesn't stay with its process."""
+    import psutil
+
+    from lodos.llm.common import give_back
+
+    own, held = psutil.Process(), [bytes(1000) for _ in range(300_000)]
+    full = own.memory_info().rss
+    held.clear()
+    give_back()
+    assert own.memory_info().rss < full - 200_000_000
