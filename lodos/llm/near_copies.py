@@ -1,13 +1,19 @@
-"""Near copies by exact Jaccard similarity of word shingles; candidates from banded MinHash.
+"""Near copies by exact Jaccard similarity of word shingles; candidates from SimHash by multi-index hashing.
 
 A text's shingles are those of its fingerprint in ``simhash``, as a set of 64-bit hashes. Texts of equal sets are one node.
-Each node has ``BANDS`` keys of ``ROWS`` minima each; nodes that share a key are candidates (at a similarity of 0.8 that
-misses one pair in 2,700, above it fewer). Candidates link if the exact similarity of their sets reaches ``least``, in
-integers, so that no pair below it links.
+A node's fingerprint has ``BITS`` bits, each set where over half of the set's hashes, mixed anew for each 64 bits, have it:
+at a similarity of 0.8 two differ in about 15 % of them, and with 64 bits a radius wide enough for that has no small balls
+in any segment. The fingerprint is cut into segments; each node is stored in a table under each of them and looks up the
+Hamming ball of radius 1 around its own, in the tables' smaller half as in ``simhash``. A linked pair differs by two or more
+bits in every segment once in 2,700 at a similarity of 0.8, and less often above it. What meets is verified over ``SIGHT``
+bits in the join, then over all bits (``RADIUS``), and links if the exact similarity of the sets reaches ``LEAST``, in
+integers, so that no pair below it links. The width of the segments is chosen by cost from the number of nodes.
 
-A key of up to ``hot`` nodes gives all its pairs. One of more nodes gives the pairs of each node with ``PIVOTS`` others:
-nodes are dealt into that many classes anew for each band, and in each class the node whose keys are shared most is taken,
-which in a group of edited copies is the text they were made from. No list of a large group is made anywhere.
+A list that more look-ups than ``hot`` and the double of what chance brings meet is hot, and the nodes stored in hot lists
+are a crowd: groups of edited copies, among whom nearly all meet. Each of the crowd is first compared with one node, that
+stored in the fullest hot lists of those it meets, which in a group of edited copies is the text they were made from. Then every
+two of the crowd that share that node or meet in any list, hot or not, and are in no common component yet are compared. So a crowd gives the same components as a plain join, and a pair is only spared where its ends are linked already.
+No list of a large group is made anywhere. Pairs of other nodes, with each other and the crowd, are joined plainly.
 
 Defined results for odd input: null and empty texts have no shingles and are one node; a text shorter than a shingle is a
 shingle; an empty table gives an empty table; only the id and text columns are read.
@@ -16,26 +22,34 @@ shingle; an empty table gives an empty table; only the id and text columns are r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, text_of, written
 from .components import components
-from .simhash import first_of_each
+from .simhash import _ball, first_of_each
 
 LEAST = (4, 5)
-BANDS, ROWS = 20, 5
-HOT, PIVOTS = 64, 8
-#: Shingles whose minima are taken at once.
-BLOCK = 1 << 12
+#: Bits of a fingerprint, as 64-bit words.
+WORDS = 9
+BITS = 64 * WORDS
+#: Width and number of the segments that may be chosen.
+SEGMENTS = [(16, 24), (18, 32)]
+#: Most differing bits of a link: of all (at a similarity of 0.8 they are 87, give or take 9), of all where two sets have
+#: fewer than SHORT shingles together and ties of bits are common, and of the 96 that the tables hold, half of a name among them.
+RADIUS, WIDE, SHORT = 128, 160, 32
+SIGHT = 30
+HOT = 8
+#: Entries of a hot list that a task compares with others.
+PART = 4096
 
-_rng = np.random.default_rng(20)
-_XOR = _rng.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
-_TIMES = _rng.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 
 
 def shingles(text: bytes, words: int = 5) -> np.ndarray:
@@ -50,70 +64,182 @@ def shingles(text: bytes, words: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(line[a:b]) for a, b in zip(starts, ends[min(words, len(parts)) - 1 :].tolist(), strict=True)], np.uint64))
 
 
-def keys_of(found: np.ndarray) -> list[int]:
-    """The key of each band, as signed 64-bit integers."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for i in range(0, len(found), BLOCK):
-        h = (found[None, i : i + BLOCK] ^ _XOR) * _TIMES
-        least = np.minimum(least, (h ^ (h >> np.uint64(29))).min(1))
-    return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(BANDS, ROWS))]
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set of shingles, as WORDS signed 64-bit integers."""
+    count = np.zeros(BITS, np.int64)
+    for i in range(0, len(found), 255):  # as many as a byte counts
+        z = found[i : i + 255, None] + _SHIFTS
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        count += np.unpackbits(z.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * count > len(found)).view(np.int64)
+
+
+def name_of(found: np.ndarray, bits: np.ndarray) -> int:
+    """A node's name: 32 bits of its fingerprint, and 32 of the hash of its set."""
+    return (int(bits[-1]) >> 32 << 32) | xxhash.xxh64_intdigest(found.tobytes()) >> 32
 
 
 def _prints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_hash, fp, n, keys) of every row; fp: the hash of the set of shingles, n: its size."""
+    """(doc_id, text_hash, fp, n, bits) of every row; fp: the name of its set of shingles, n: the set's size, bits: its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            fp = pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
-            cols = [batch.column("doc_id"), batch.column("text_hash"), fp, pa.array(map(len, sets), pa.int64()), pa.array([keys_of(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "fp", "n", "keys"])
+            bits = [fingerprint(s) for s in sets]
+            fp = pa.array([name_of(s, b) for s, b in zip(sets, bits, strict=True)], pa.int64())
+            cols = [batch.column("doc_id"), batch.column("text_hash"), fp, pa.array(map(len, sets), pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "fp", "n", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, n long, keys array<long>")
-
-
-def candidates(nodes: DataFrame, hot: int = HOT) -> DataFrame:
-    """Distinct pairs (a, b) of ``nodes`` (fp, n, keys) that share a key and whose sizes let them link."""
-    rows = nodes.select("fp", "n", F.posexplode("keys").alias("band", "key"))
-    full = written(rows.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1"), "keys")
-    shared = rows.join(full, ["band", "key"])
-    few = shared.where(F.col("size") <= hot).groupBy("band", "key").agg(F.collect_list(F.struct("fp", "n")).alias("m"))
-    one = few.select("m", F.explode("m").alias("x")).select("x", F.explode(F.filter("m", lambda y: y["fp"] > F.col("x.fp"))).alias("y"))
-    pairs = one.select(F.col("x.fp").alias("a"), F.col("x.n").alias("na"), F.col("y.fp").alias("b"), F.col("y.n").alias("nb"))
-    if not full.where(F.col("size") > hot).isEmpty():
-        # how widely a node's keys are shared, over all bands
-        weight = written(shared.where(F.col("size") > hot).groupBy("fp").agg(F.sum("size").alias("weight")), "weights")
-        many = written(shared.where(F.col("size") > hot).join(weight, "fp"), "hot")
-        dealt = F.pmod(F.xxhash64("fp", "band"), F.lit(PIVOTS))
-        top = [F.max(F.when(dealt == k, F.struct("weight", "fp", "n"))).alias(f"p{k}") for k in range(PIVOTS)]
-        pivots = many.groupBy("band", "key").agg(*top).select("band", "key", F.array_compact(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p"))
-        met = many.join(pivots, ["band", "key"]).select("fp", "n", F.explode("p").alias("p")).where(F.col("p.fp") != F.col("fp"))
-        least, most = F.least("fp", "p.fp"), F.greatest("fp", "p.fp")
-        own = F.col("fp") == least
-        pairs = pairs.union(met.select(least, F.when(own, F.col("n")).otherwise(F.col("p.n")), most, F.when(own, F.col("p.n")).otherwise(F.col("n"))))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, n long, bits array<long>")
+
+
+def choose_segments(n: int) -> tuple[int, int]:
+    """The segments with the least work for n nodes: rows that are moved, and pairs that meet by chance, 60 to a row."""
+
+    def cost(of: tuple[int, int]) -> float:
+        width, m = of
+        looks = m * (width + 2) / 2
+        return m + looks * (1 + n / 2**width / 60)
+
+    return min(SEGMENTS, key=cost)
+
+
+def _segment(i: int, width: int) -> Column:
+    """The i-th segment's value, across words."""
+    word, at = divmod(i * width, 64)
+    value = F.shiftrightunsigned(F.col("bits")[word], at)
+    if at + width > 64:
+        value = value.bitwiseOR(F.shiftleft(F.col("bits")[word + 1], 64 - at))
+    return value.bitwiseAND((1 << width) - 1).cast("int")
+
+
+def _seen(a: str, b: str) -> Column:
+    """Whether two nodes that meet may link, by the bits that the tables hold."""
+    name = F.shiftrightunsigned(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp")), 32)
+    return F.bit_count(name) + F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) <= SIGHT
+
+
+def tables(nodes: DataFrame, width: int, m: int) -> tuple[DataFrame, DataFrame]:
+    """The stored entries and the look-ups of ``nodes`` (fp, bits): (key, fp, sig), key: segment and its value."""
+    entry = F.explode(F.array(*[F.struct(F.lit(i << width).alias("seg"), _segment(i, width).alias("v")) for i in range(m)])).alias("e")
+    own = nodes.select("fp", F.col("bits")[WORDS - 2].alias("sig"), entry).select("fp", "sig", "e.seg", "e.v")
+    ball = F.explode(F.array(*[F.lit(x).cast("int") for x in _ball(width, 1)])).alias("x")
+    looks = own.select("*", ball).where(F.col("v").bitwiseXOR(F.col("x")) >= F.col("v"))
+    stored = own.select((F.col("seg") + F.col("v")).alias("key"), "fp", "sig")
+    return stored, looks.select((F.col("seg") + F.col("v").bitwiseXOR(F.col("x"))).alias("key"), "fp", "sig")
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Distinct (a, b) of the two sides l and t of a join."""
+    least, most = F.least("l.fp", "t.fp"), F.greatest("l.fp", "t.fp")
+    return met.where("l.fp != t.fp").select(least.alias("a"), most.alias("b")).distinct()
+
+
+def full_lists(stored: DataFrame, width: int, limit: int) -> DataFrame:
+    """(key, n) of the lists that more than ``limit`` look-ups meet, those from keys of a few nodes not counted; n: how many."""
+    own = stored.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit // (width + 1))
+    ball = F.explode(F.array(*[F.lit(x).cast("int") for x in _ball(width, 1)])).alias("x")
+    met = own.select("n", "key", ball).where(F.col("key").bitwiseXOR(F.col("x")) >= F.col("key"))
+    return met.groupBy(F.col("key").bitwiseXOR(F.col("x")).alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+
+
+def _near(a: str, b: str) -> Column:
+    """Whether two nodes may link, by their sizes and all bits of their fingerprints."""
+    apart = reduce(add, [F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(WORDS)])
     k, of = LEAST
-    return pairs.where((of * F.col("na") >= k * F.col("nb")) & (of * F.col("nb") >= k * F.col("na"))).select("a", "b").distinct()
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (of * na >= k * nb) & (of * nb >= k * na) & (apart <= F.when(na + nb < SHORT, WIDE).otherwise(RADIUS))
+
 
+def _pivots(stored: DataFrame, looks: DataFrame) -> DataFrame:
+    """(fp, pivot) of each node that meets hot lists (n: look-ups that do): the one stored in the fullest, of those that it meets."""
+    weight = stored.groupBy("fp").agg(F.sum("n").alias("weight"))
+    top = stored.join(weight, "fp").groupBy("key").agg(F.max(F.struct("weight", "fp")).alias("p"))
+    return looks.join(top, "key").groupBy("fp").agg(F.max("p").alias("p")).select("fp", F.col("p.fp").alias("pivot"))
 
-def links(docs: DataFrame, prints: DataFrame, words: int = 5, hot: int = HOT) -> DataFrame:
-    """Edges (a, b) between nodes whose shingles' exact similarity is LEAST or more."""
-    nodes = prints.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("text_hash").alias("text_hash"))
+
+def _meet(stored: DataFrame, looks: DataFrame, key: str, near: Column) -> DataFrame:
+    """Pairs of two roots that share ``key`` and are ``near``; nodes of a key's commonest root aren't compared with each other."""
+    counts = stored.groupBy(key, "root").agg(F.count("*").alias("size"))
+    most = counts.groupBy(key).agg(F.max(F.struct("size", "root"))["root"].alias("most"), (F.sum("size") / PART).cast("int").alias("parts"))
+    most = written(most, "most")
+    stored, looks = stored.join(most, key), looks.join(most, key)
+
+    def compared(few: DataFrame, name: str, many: DataFrame, of: str) -> DataFrame:
+        few = few.withColumn("part", F.explode(F.sequence(F.lit(0), "parts")))
+        many = many.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts") + 1).cast("int"))
+        return _pairs(few.alias(name).join(many.alias(of), [key, "part"]).where((F.col("l.root") != F.col("t.root")) & near))
+
+    off, rest = F.col("root") != F.col("most"), F.col("root") == F.col("most")
+    return compared(stored.where(off), "t", looks, "l").union(compared(looks.where(off), "l", stored.where(rest), "t")).distinct()
+
+
+def _across(docs: DataFrame, nodes: DataFrame, pivots: DataFrame, width: int, m: int, found: DataFrame, words: int) -> DataFrame:
+    """Links of ``nodes`` (fp, n, bits, text_hash) that meet and are in two components of ``found`` (node, root).
+
+    Nodes of one pivot are compared with each other by their sets within the join, whether they meet or not, so that no
+    pairs of a group are listed that don't link; those of two pivots where they meet in the tables.
+    """
+    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "n", "bits", "text_hash", F.coalesce("root", "fp").alias("root"))
+    rooted = written(rooted.join(pivots, "fp"), "rooted")
+    open_ = rooted.groupBy("pivot").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("pivot")
+    group = rooted.join(open_, "pivot", "left_semi")
+    group = written(group.drop("text_hash").join(_sets(docs, group, words), "fp"), "groups")
+    k, of = LEAST
+    alike = (of + k) * F.size(F.array_intersect("l.s", "t.s")) >= k * (F.col("l.n") + F.col("t.n"))
+    inner = written(_meet(group, group, "pivot", _near("l", "t") & alike), "inner")
+    stored, looks = (d.drop("sig").join(rooted.drop("text_hash"), "fp") for d in tables(nodes, width, m))
+    return inner.union(verified(docs, nodes, _meet(stored, looks, "key", (F.col("l.pivot") != F.col("t.pivot")) & _near("l", "t")), words))
+
+
+def links(docs: DataFrame, prints: DataFrame, words: int = 5, hot: int = HOT, segments: tuple[int, int] | None = None) -> DataFrame:
+    """Edges (a, b) between nodes whose shingles' exact similarity is LEAST or more, as many as span the components."""
+    nodes = prints.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("text_hash").alias("text_hash"))
     nodes = written(nodes, "nodes")
-    pairs = written(candidates(nodes, hot), "pairs")
-    used = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    texts = nodes.join(used, "fp", "left_semi").select("fp", "text_hash")
+    number = nodes.count()
+    width, m = segments or choose_segments(number)
+    stored, looks = tables(nodes, width, m)
+    limit = hot + 2 * number * (width + 2) // 2 ** (width + 1)
+    full = written(full_lists(stored, width, limit), "full")
+    crowd = written(stored.join(full, "key", "left_semi").select("fp").distinct(), "crowd")
+    if crowd.isEmpty():
+        return verified(docs, nodes, _pairs(looks.alias("l").join(stored.alias("t"), "key").where(_seen("l", "t"))), words)
+    some, others = nodes.join(crowd, "fp", "left_semi"), nodes.join(crowd, "fp", "left_anti")
+    some, others = written(some, "some"), written(others, "others")
+    own, found = tables(others, width, m), tables(some, width, m)
+    met = [(own[1], stored), (found[1], own[0])]
+    pairs = reduce(DataFrame.union, [_pairs(x.alias("l").join(y.alias("t"), "key").where(_seen("l", "t"))) for x, y in met])
+    pivots = written(_pivots(*(d.join(full, "key") for d in found)), "pivots")
+    first = pivots.where("fp != pivot").select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b"))
+    linked = verified(docs, nodes, pairs.union(first).distinct(), words)
+    return linked.union(_across(docs, some, pivots, width, m, components(linked), words))
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(fp, s) of ``nodes`` (fp, text_hash); s: the hashes of the node's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
 
+    texts = nodes.select("fp", "text_hash")
     held = docs.select(text_of().alias("text")).withColumn("text_hash", F.xxhash64("text")).join(texts, "text_hash").dropDuplicates(["fp"])
-    sets = written(held.select("fp", "text").mapInArrow(run, "fp long, s array<long>"), "sets")
+    return held.select("fp", "text").mapInArrow(run, "fp long, s array<long>")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that link: by size, by all bits of the fingerprints, and by the sets themselves."""
+    k, of = LEAST
+    ends = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.fp")).join(nodes.alias("y"), F.col("b") == F.col("y.fp"))
+    pairs = written(ends.where(_near("x", "y")).select("a", "b"), "pairs")
+    used = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    sets = written(_sets(docs, nodes.join(used, "fp", "left_semi"), words), "sets")
     a, b = sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(a, "a").join(b, "b").withColumn("c", F.size(F.array_intersect("sa", "sb")))
-    k, of = LEAST
     found = both.where(of * F.col("c") >= k * (F.size("sa") + F.size("sb") - F.col("c"))).select("a", "b")
     return written(found, "links")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodos.llm import line_dedup, mixing, near_copies, quality
+from lodos.llm.components import components
 
 
 def test_near_copies_link_at_the_exact_similarity(spark):
@@ -42,6 +43,47 @@ def test_near_copies_link_at_the_exact_similarity(spark):
     assert kept.columns == ["doc_id", "text", "other"] and {r["doc_id"] for r in kept.collect()} == set(want.values())
 
 
+def test_third_stage_links_by_simhash(spark):
+    """Look-ups in balls around segments find every link, at any width and however full the lists are."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    texts = []
+    for _ in range(25):  # chains: a text links to its neighbours alone, so that none of a group reaches all the others
+        text = [word() for _ in range(124)]
+        for k in range(8):
+            texts.append(" ".join(text))
+            for i in (10, 60):  # two edits change ten of 120 shingles: 110 of 130 stay, and 100 of 140 two texts on
+                text[i + 5 * k] = word()
+    for _ in range(100):  # 90 and 72 shingles, the lesser within the greater: exactly 0.8
+        text = [word() for _ in range(94)]
+        texts += [" ".join(text), " ".join(text[:76])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i: i - i % 8 if i < 200 else i - i % 2 for i in range(400)}
+    prints = near_copies._prints(docs, 5).cache()
+    for segments, hot in [((16, 24), 64), ((18, 32), 64), ((16, 24), 0)]:
+        found = components(near_copies.links(docs, prints, 5, hot, segments))
+        roots = {r["doc_id"]: r["root"] for r in prints.join(found, F.col("fp") == F.col("node"), "left").select("doc_id", F.coalesce("root", "fp").alias("root")).collect()}
+        least = {}
+        for i in sorted(roots):
+            least.setdefault(roots[i], i)
+        assert {i: least[r] for i, r in roots.items()} == want, (segments, hot)
+
+
+def test_third_stage_fingerprints_by_hand():
+    def mixed(h):
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * times % 2**64
+        return h ^ h >> 31
+
+    for n in (1, 2, 9, 300, 1000):  # more than a byte counts
+        found = near_copies.shingles(" ".join(f"w{i}" for i in range(n + 4)).encode())
+        want = []
+        for k in range(near_copies.WORDS):
+            h = [mixed((int(x) + (k + 1) * 0x9E3779B97F4A7C15) % 2**64) for x in found]
+            want.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+        assert len(found) == n and [int(x) % 2**64 for x in near_copies.fingerprint(found)] == want
+
+
 def line_runs_by_hand(texts, least_words, least_lines):
     """The texts left, with each later window grown line by line."""
     units = [[(i, x) for i, x in enumerate(t.split("\n")) if x.split()] for t in texts]
