@@ -5,14 +5,19 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The regular expression of one word, here and in every operator: no space, no 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of text that a worker has in hand at once, where rows are worked on one by one; a longer text is in hand alone.
+IN_HAND = 1 << 20
+
 _own: dict[str, str] = {}
 
 
@@ -66,6 +71,22 @@ def give_back() -> None:
         trim(0)
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = IN_HAND) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, in slices of about ``most`` bytes of a column. A batch may be a whole partition, and what is made
+    of it several times as large; slices take no room. Behind the last one, what the worker has freed is given back.
+    """
+    for batch in batches:
+        start = held = 0
+        for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist(), 1):
+            held += n or 0
+            if held >= most:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+        if start < batch.num_rows or not batch.num_rows:
+            yield batch.slice(start)
+    give_back()
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, text_of, written
+from .common import drop_written, parts, text_of, written
 from .components import components
 from .simhash import _ball, first_of_each
 
@@ -85,7 +85,7 @@ def _prints(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, text_hash, fp, n, bits) of every row; fp: the name of its set of shingles, n: the set's size, bits: its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sets = [shingles(t, words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             bits = [fingerprint(s) for s in sets]
             fp = pa.array([name_of(s, b) for s, b in zip(sets, bits, strict=True)], pa.int64())
@@ -222,7 +222,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(fp, s) of ``nodes`` (fp, text_hash); s: the hashes of the node's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sets = [shingles(t, words).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
 

@@ -36,18 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of
+from .common import documents, give_back, parts, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
-#: Spans that a worker remembers before it begins anew.
-REMEMBERED = 250_000
+#: Spans that a worker remembers before it begins anew: what a worker holds, its executor holds once for each core.
+REMEMBERED = 100_000
 #: What a character without a piece costs beyond the dearest piece, in units of the model's scores.
 UNKNOWN = 10
 #: More than any cost.
 NEVER = 1 << 60
-#: Longer spans pass forward alone; spans that pass together; text characters that are encoded together.
-LONG, BLOCK, TOGETHER = 40, 1 << 14, 4 << 20
+#: Longer spans pass forward alone; spans that pass together; bytes of texts that are encoded together, ids that are decoded.
+LONG, BLOCK, TOGETHER = 40, 1 << 13, 1 << 20
 
 
 def piece_bytes(model) -> list[bytes]:  # noqa: ANN001
@@ -452,16 +452,15 @@ def encode(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL, check: boo
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, j in _parts(map(len, texts), TOGETHER):
-                out = _encoded(batch.column("doc_id").slice(i, j - i), texts[i:j], model, n_best)
-                if check:
-                    digests = [hashlib.sha256(_text_of(x.values.to_numpy(), model).encode()).hexdigest() for x in out.column("ids")]
-                    out = pa.RecordBatch.from_arrays([*out.columns, pa.array(digests, pa.string())], [*out.schema.names, "text_sha256"])
-                yield out
+        for batch in parts(batches, most=TOGETHER):
+            out = _encoded(batch.column("doc_id"), batch.column("text").to_pylist(), model, n_best)
+            if check:
+                digests = [hashlib.sha256(_text_of(x.values.to_numpy(), model).encode()).hexdigest() for x in out.column("ids")]
+                out = pa.RecordBatch.from_arrays([*out.columns, pa.array(digests, pa.string())], [*out.schema.names, "text_sha256"])
+            yield out
         if (model, n_best) in _held:
             _held[model, n_best].forget()
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(run, ENCODED + ", text_sha256 string" * check)
@@ -503,7 +502,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in _parts([len(x) if x.is_valid else 0 for x in batch.column(at)], TOGETHER // 2):
+            for i, j in _parts([len(x) if x.is_valid else 0 for x in batch.column(at)], TOGETHER):
                 part = batch.slice(i, j - i)
                 texts = [_text_of(ids.values.to_numpy(), model) if ids.is_valid else None for ids in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, "text"])

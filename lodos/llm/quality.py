@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of
+from .common import documents, give_back, parts, text_of
 
 #: Trusted documents at most: those whose ids have the smallest hashes. The only sample here; counts cover all documents.
 TRUSTED = 20_000
@@ -90,6 +90,7 @@ def _forget(markers: dict[bytes, float] | None = None) -> None:
     """Leaves nothing of a task in the worker, which later tasks of other stages share, but begins with ``markers``."""
     global _words
     _words = _Words(markers)
+    give_back()
 
 
 def _toxicity(ids: np.ndarray) -> float:
@@ -171,7 +172,7 @@ def count_grams(docs: DataFrame, trusted: np.ndarray, buckets: int = BUCKETS) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(buckets, np.int64), np.zeros((FOLDS, buckets), np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             folds = _fold(np.array([x or 0 for x in batch.column("doc_id").to_pylist()], np.int64))
             for text, is_good, k in zip(batch.column("text").cast(pa.binary()).to_pylist(), _in(batch.column("doc_id"), trusted), folds, strict=True):
                 if words := text.split():
@@ -269,7 +270,7 @@ def scored(docs: DataFrame, model: Model, buckets: int = BUCKETS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio, markers = held.value
         _forget(markers)
-        for batch in batches:
+        for batch in parts(batches):
             out, scores, toxic = [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 words = text.split()
@@ -325,7 +326,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, **options: float) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio, markers = held.value
         _forget(markers)
-        for batch in batches:
+        for batch in parts(batches):
             stay = []
             for text in batch.column(at).cast(pa.binary()).to_pylist():
                 words = (text or b"").split()

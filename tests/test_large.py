@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodos.functions import tokens as T
@@ -91,3 +92,38 @@ def test_workers_give_memory_back():
     held.clear()
     give_back()
     assert own.memory_info().rss < full - 200_000_000
+
+
+@pytest.mark.parametrize("stage", ["quality", "copies", "pieces"])
+def test_stages_hold_little_in_their_workers(spark, monkeypatch, stage):
+    """A worker that gets a whole partition as one batch works on slices of it, with the same rows, and keeps nothing at its end."""
+    import re
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    from lodos.llm import near_copies, pieces, quality
+
+    rng, sent = random.Random(4), []
+    docs = spark.createDataFrame([(0, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: sent.append(f) or self)
+    if stage == "quality":
+        model = quality.Model(quality.np.zeros(quality.BUCKETS), 0.0)
+        monkeypatch.setattr(quality, "fit", lambda *_: model)
+        quality.kept_documents(docs, docs)
+    elif stage == "copies":
+        near_copies._prints(docs, 5)
+    else:
+        pieces.encode(docs, check=True)
+    texts = [" ".join(f"{rng.randrange(36**5):x}" for _ in range(n)) for n in [300] * 4000 + [150_000, 0]]
+    names = ["doc_id", "text", "text_hash"] if stage == "copies" else ["doc_id", "text"]
+    batch = lambda t: pa.RecordBatch.from_arrays([pa.array(range(len(t))), pa.array(t), pa.array(range(len(t)))][: len(names)], names)
+    small, large = batch(texts[:2]), batch(texts)
+    assert len(list(sent[0](iter([small, small.slice(0, 0)]))))
+    held = lambda: sum(map(int, re.findall(r"\nAnonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+    before, n, most = held(), 0, 0
+    for out in sent[0](iter([large])):
+        n, most = n + out.num_rows, max(most, out.num_rows)
+    del out
+    assert n == len(texts) - (stage == "quality") and most < 2000  # the empty text fails the quality rules
+    assert held() < before + 40
