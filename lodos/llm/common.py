@@ -54,6 +54,12 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merged(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join that no side is broadcast for. Spark sizes a table by its files and columns, too low after an explode, and packed files are
+    several times as large in memory; a broadcast goes through the driver."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def drop_written(df: DataFrame) -> None:
     """Removes the files of a stage that :func:`written` made and nothing reads any more."""
     spark = df.sparkSession

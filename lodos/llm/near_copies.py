@@ -9,11 +9,15 @@ bits in every segment once in 2,700 at a similarity of 0.8, and less often above
 bits in the join, then over all bits (``RADIUS``), and links if the exact similarity of the sets reaches ``LEAST``, in
 integers, so that no pair below it links. The width of the segments is chosen by cost from the number of nodes.
 
-A list that more look-ups than ``hot`` and the double of what chance brings meet is hot, and the nodes stored in hot lists
-are a crowd: groups of edited copies, among whom nearly all meet. Each of the crowd is first compared with one node, that
-stored in the fullest hot lists of those it meets, which in a group of edited copies is the text they were made from. Then every
-two of the crowd that share that node or meet in any list, hot or not, and are in no common component yet are compared. So a crowd gives the same components as a plain join, and a pair is only spared where its ends are linked already.
-No list of a large group is made anywhere. Pairs of other nodes, with each other and the crowd, are joined plainly.
+A list that more look-ups than ``hot`` and the double of what chance brings meet is hot, and the nodes stored in ``FEW`` hot
+lists or more are a crowd: groups of edited copies, among whom nearly all meet. Fewer are a chance meeting with such a group.
+Each of the crowd is first compared with one node, its pivot: that stored in the fullest hot lists of those it meets and may
+link to, or that one's own, which in a group of edited copies is the text they were made from. Then every two of the crowd
+that share that node or meet in any list, hot or not, and are in no common component yet are compared. So a crowd gives the
+same components as a plain join, and a pair is only spared where its ends are linked already. No list of a large group is
+made anywhere. Pairs of other nodes, with each other and the crowd, are joined plainly.
+
+Entries and look-ups are many to a node, and Spark sizes them as their nodes, so no table here is left to a broadcast.
 
 Defined results for odd input: null and empty texts have no shingles and are one node; a text shorter than a shingle is a
 shingle; an empty table gives an empty table; only the id and text columns are read.
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, parts, text_of, written
+from .common import drop_written, merged, parts, text_of, written
 from .components import components
 from .simhash import _ball, first_of_each
 
@@ -46,6 +50,8 @@ SEGMENTS = [(16, 24), (18, 32)]
 RADIUS, WIDE, SHORT = 128, 160, 32
 SIGHT = 30
 HOT = 8
+#: Hot lists that a node of a crowd is stored in, at least.
+FEW = 3
 #: Entries of a hot list that a task compares with others.
 PART = 4096
 
@@ -122,14 +128,14 @@ def _seen(a: str, b: str) -> Column:
     return F.bit_count(name) + F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) <= SIGHT
 
 
-def tables(nodes: DataFrame, width: int, m: int) -> tuple[DataFrame, DataFrame]:
-    """The stored entries and the look-ups of ``nodes`` (fp, bits): (key, fp, sig), key: segment and its value."""
+def tables(nodes: DataFrame, width: int, m: int, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The stored entries and the look-ups of ``nodes`` (fp, bits): (key, fp, sig), key: segment and its value; ``more``: columns to keep."""
     entry = F.explode(F.array(*[F.struct(F.lit(i << width).alias("seg"), _segment(i, width).alias("v")) for i in range(m)])).alias("e")
-    own = nodes.select("fp", F.col("bits")[WORDS - 2].alias("sig"), entry).select("fp", "sig", "e.seg", "e.v")
+    own = nodes.select("fp", F.col("bits")[WORDS - 2].alias("sig"), *more, entry).select("fp", "sig", *more, "e.seg", "e.v")
     ball = F.explode(F.array(*[F.lit(x).cast("int") for x in _ball(width, 1)])).alias("x")
     looks = own.select("*", ball).where(F.col("v").bitwiseXOR(F.col("x")) >= F.col("v"))
-    stored = own.select((F.col("seg") + F.col("v")).alias("key"), "fp", "sig")
-    return stored, looks.select((F.col("seg") + F.col("v").bitwiseXOR(F.col("x"))).alias("key"), "fp", "sig")
+    stored = own.select((F.col("seg") + F.col("v")).alias("key"), "fp", "sig", *more)
+    return stored, looks.select((F.col("seg") + F.col("v").bitwiseXOR(F.col("x"))).alias("key"), "fp", "sig", *more)
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -155,10 +161,15 @@ def _near(a: str, b: str) -> Column:
 
 
 def _pivots(stored: DataFrame, looks: DataFrame) -> DataFrame:
-    """(fp, pivot) of each node that meets hot lists (n: look-ups that do): the one stored in the fullest, of those that it meets."""
+    """(fp, pivot) of each node that looks up hot lists (``stored``, n: look-ups that meet one): of those that it meets and may link to,
+    the one stored in the fullest, or that one's own."""
     weight = stored.groupBy("fp").agg(F.sum("n").alias("weight"))
-    top = stored.join(weight, "fp").groupBy("key").agg(F.max(F.struct("weight", "fp")).alias("p"))
-    return looks.join(top, "key").groupBy("fp").agg(F.max("p").alias("p")).select("fp", F.col("p.fp").alias("pivot"))
+    top = merged(stored, weight, "fp").groupBy("key").agg(F.max(F.struct("weight", "fp", "sig")).alias("p"))
+    met = merged(looks.alias("l"), top.select("key", "p", F.col("p.fp").alias("fp"), F.col("p.sig").alias("sig")).alias("t"), "key")
+    first = met.where(_seen("l", "t")).groupBy("l.fp").agg(F.max("p").alias("p")).select("fp", F.col("p.fp").alias("pivot"))
+    first = written(first, "pivots")
+    second = first.select(F.col("fp").alias("pivot"), F.col("pivot").alias("next"))
+    return merged(first, second, "pivot", "left").select("fp", F.coalesce("next", "pivot").alias("pivot"))
 
 
 def _meet(stored: DataFrame, looks: DataFrame, key: str, near: Column) -> DataFrame:
@@ -166,12 +177,12 @@ def _meet(stored: DataFrame, looks: DataFrame, key: str, near: Column) -> DataFr
     counts = stored.groupBy(key, "root").agg(F.count("*").alias("size"))
     most = counts.groupBy(key).agg(F.max(F.struct("size", "root"))["root"].alias("most"), (F.sum("size") / PART).cast("int").alias("parts"))
     most = written(most, "most")
-    stored, looks = stored.join(most, key), looks.join(most, key)
+    stored, looks = merged(stored, most, key), merged(looks, most, key)
 
     def compared(few: DataFrame, name: str, many: DataFrame, of: str) -> DataFrame:
         few = few.withColumn("part", F.explode(F.sequence(F.lit(0), "parts")))
         many = many.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts") + 1).cast("int"))
-        return _pairs(few.alias(name).join(many.alias(of), [key, "part"]).where((F.col("l.root") != F.col("t.root")) & near))
+        return _pairs(merged(few.alias(name), many.alias(of), [key, "part"]).where((F.col("l.root") != F.col("t.root")) & near))
 
     off, rest = F.col("root") != F.col("most"), F.col("root") == F.col("most")
     return compared(stored.where(off), "t", looks, "l").union(compared(looks.where(off), "l", stored.where(rest), "t")).distinct()
@@ -183,16 +194,22 @@ def _across(docs: DataFrame, nodes: DataFrame, pivots: DataFrame, width: int, m:
     Nodes of one pivot are compared with each other by their sets within the join, whether they meet or not, so that no
     pairs of a group are listed that don't link; those of two pivots where they meet in the tables.
     """
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "n", "bits", "text_hash", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted.join(pivots, "fp"), "rooted")
+    rooted = merged(nodes, found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "bits", "text_hash", F.coalesce("root", "fp").alias("root"))
+    pivot = F.coalesce("pivot", "fp").alias("pivot")
+    rooted = written(merged(rooted, pivots, "fp", "left").select("fp", "n", "bits", "text_hash", "root", pivot), "rooted")
     open_ = rooted.groupBy("pivot").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("pivot")
-    group = rooted.join(open_, "pivot", "left_semi")
-    group = written(group.drop("text_hash").join(_sets(docs, group, words), "fp"), "groups")
+    group = merged(rooted, open_, "pivot", "left_semi")
+    group = written(merged(group.drop("text_hash"), _sets(docs, group, words), "fp"), "groups")
     k, of = LEAST
     alike = (of + k) * F.size(F.array_intersect("l.s", "t.s")) >= k * (F.col("l.n") + F.col("t.n"))
     inner = written(_meet(group, group, "pivot", _near("l", "t") & alike), "inner")
-    stored, looks = (d.drop("sig").join(rooted.drop("text_hash"), "fp") for d in tables(nodes, width, m))
-    return inner.union(verified(docs, nodes, _meet(stored, looks, "key", (F.col("l.pivot") != F.col("t.pivot")) & _near("l", "t")), words))
+    stored, looks = tables(rooted, width, m, ("root", "pivot"))
+    # lists where two roots and two pivots meet
+    ends = reduce(DataFrame.union, [d.select("key", "root", "pivot", F.lit(held).alias("held")) for d, held in ((stored, True), (looks, False))])
+    two = (F.min("root") != F.max("root")) & (F.min("pivot") != F.max("pivot")) & F.max("held")
+    mixed = written(ends.groupBy("key").agg(two.alias("two")).where("two").select("key"), "mixed")
+    stored, looks = (merged(d, mixed, "key", "left_semi") for d in (stored, looks))
+    return inner.union(verified(docs, nodes, _meet(stored, looks, "key", (F.col("l.pivot") != F.col("t.pivot")) & _seen("l", "t")), words))
 
 
 def links(docs: DataFrame, prints: DataFrame, words: int = 5, hot: int = HOT, segments: tuple[int, int] | None = None) -> DataFrame:
@@ -204,15 +221,15 @@ def links(docs: DataFrame, prints: DataFrame, words: int = 5, hot: int = HOT, se
     stored, looks = tables(nodes, width, m)
     limit = hot + 2 * number * (width + 2) // 2 ** (width + 1)
     full = written(full_lists(stored, width, limit), "full")
-    crowd = written(stored.join(full, "key", "left_semi").select("fp").distinct(), "crowd")
+    crowd = written(merged(stored, full, "key", "left_semi").groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") >= FEW).select("fp"), "crowd")
     if crowd.isEmpty():
-        return verified(docs, nodes, _pairs(looks.alias("l").join(stored.alias("t"), "key").where(_seen("l", "t"))), words)
-    some, others = nodes.join(crowd, "fp", "left_semi"), nodes.join(crowd, "fp", "left_anti")
+        return verified(docs, nodes, _pairs(merged(looks.alias("l"), stored.alias("t"), "key").where(_seen("l", "t"))), words)
+    some, others = merged(nodes, crowd, "fp", "left_semi"), merged(nodes, crowd, "fp", "left_anti")
     some, others = written(some, "some"), written(others, "others")
     own, found = tables(others, width, m), tables(some, width, m)
     met = [(own[1], stored), (found[1], own[0])]
-    pairs = reduce(DataFrame.union, [_pairs(x.alias("l").join(y.alias("t"), "key").where(_seen("l", "t"))) for x, y in met])
-    pivots = written(_pivots(*(d.join(full, "key") for d in found)), "pivots")
+    pairs = reduce(DataFrame.union, [_pairs(merged(x.alias("l"), y.alias("t"), "key").where(_seen("l", "t"))) for x, y in met])
+    pivots = written(_pivots(merged(found[0], full, "key"), found[1]), "pivots")
     first = pivots.where("fp != pivot").select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b"))
     linked = verified(docs, nodes, pairs.union(first).distinct(), words)
     return linked.union(_across(docs, some, pivots, width, m, components(linked), words))
@@ -227,19 +244,20 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
 
     texts = nodes.select("fp", "text_hash")
-    held = docs.select(text_of().alias("text")).withColumn("text_hash", F.xxhash64("text")).join(texts, "text_hash").dropDuplicates(["fp"])
+    held = docs.select(text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    held = merged(held, texts, "text_hash").dropDuplicates(["fp"])
     return held.select("fp", "text").mapInArrow(run, "fp long, s array<long>")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that link: by size, by all bits of the fingerprints, and by the sets themselves."""
     k, of = LEAST
-    ends = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.fp")).join(nodes.alias("y"), F.col("b") == F.col("y.fp"))
+    ends = merged(merged(pairs, nodes.alias("x"), F.col("a") == F.col("x.fp")), nodes.alias("y"), F.col("b") == F.col("y.fp"))
     pairs = written(ends.where(_near("x", "y")).select("a", "b"), "pairs")
     used = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    sets = written(_sets(docs, nodes.join(used, "fp", "left_semi"), words), "sets")
+    sets = written(_sets(docs, merged(nodes, used, "fp", "left_semi"), words), "sets")
     a, b = sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("c", F.size(F.array_intersect("sa", "sb")))
+    both = merged(merged(pairs, a, "a"), b, "b").withColumn("c", F.size(F.array_intersect("sa", "sb")))
     found = both.where(of * F.col("c") >= k * (F.size("sa") + F.size("sb") - F.col("c"))).select("a", "b")
     return written(found, "links")
 
@@ -252,12 +270,12 @@ def near_copies(docs: DataFrame, words: int = 5, hot: int = HOT) -> DataFrame:
     prints = written(_prints(docs, words), "prints")
     found = components(links(docs, prints, words, hot))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = merged(nodes, found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = written(rooted.join(ids, "root").select("fp", "root", "component_id"), "classes")
+    of = written(merged(rooted, ids, "root").select("fp", "root", "component_id"), "classes")
     drop_written(rooted)
-    return prints.join(of, "fp", "left").select("doc_id", "text_hash", "fp", "root", "component_id")
+    return merged(prints, of, "fp", "left").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop_written, text_of, written
+from .common import documents, drop_written, merged, text_of, written
 from .components import components
 
 RADIUS = 4
@@ -156,7 +156,7 @@ def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     keep = written(first.select("first.doc_id", F.col("first.text_hash").alias("_sh_hash")), "kept")
     hashed = docs.withColumn("_sh_hash", F.xxhash64(text_of()))
     same = hashed["doc_id"].eqNullSafe(keep["doc_id"]) & (hashed["_sh_hash"] == keep["_sh_hash"])
-    kept = hashed.join(keep, same, "left_semi")
+    kept = merged(hashed, keep, same, "left_semi")
     twice = hashed.groupBy("doc_id", "_sh_hash").agg(F.count("*").alias("n")).where("n > 1")
     if not twice.isEmpty():
         kept = kept.dropDuplicates(["doc_id", "_sh_hash"])
