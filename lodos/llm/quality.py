@@ -20,6 +20,7 @@ alone decides; without trusted or toxic ones there are no markers; an empty tabl
 
 from __future__ import annotations
 
+import functools
 import re
 from array import array
 from collections.abc import Iterator
@@ -51,9 +52,14 @@ _SPACES = b" \t\n\r\x0b\x0c"
 _SHAPE = re.compile(rb"([A-Z]+|\xc3[\x80-\x9e])|([a-z\x80-\xff]+)|([0-9]+)|([^A-Za-z0-9\x80-\xff]+)")
 
 
-def _shape(word: bytes) -> int:
-    """A small hash of all the word's runs: A letters of upper case, a of lower case, 0 digits, else the marks themselves."""
-    return xxhash.xxh32_intdigest(b"".join([(b"", b"A", b"a", b"0", m.group())[m.lastindex] for m in _SHAPE.finditer(word)]))
+#: Bytes by what the pattern tells apart: words of one outline have one shape, and there are few outlines.
+_OUTLINE = bytes(65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b if b < 97 or 123 <= b < 128 or b == 0xC3 else 128 if 128 <= b <= 0x9E else 97 for b in range(256))
+
+
+@functools.lru_cache(1 << 16)
+def _shape(outline: bytes) -> int:
+    """A small hash of all runs of a word's outline: A letters of upper case, a of lower case, 0 digits, else the marks themselves."""
+    return xxhash.xxh32_intdigest(b"".join([(b"", b"A", b"a", b"0", m.group())[m.lastindex] for m in _SHAPE.finditer(outline)]))
 
 
 def _bare(word: bytes) -> bytes:
@@ -70,7 +76,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
         self.hashes.append(xxhash.xxh64_intdigest(word))
-        self.shapes.append(_shape(word))
+        self.shapes.append((_shape if len(word) < 64 else _shape.__wrapped__)(word.translate(_OUTLINE)))
         self.odds.append(self.markers.get(_bare(word), 0.0) if self.markers else 0.0)
         return n
 
@@ -90,6 +96,7 @@ def _forget(markers: dict[bytes, float] | None = None) -> None:
     """Leaves nothing of a task in the worker, which later tasks of other stages share, but begins with ``markers``."""
     global _words
     _words = _Words(markers)
+    _shape.cache_clear()
     give_back()
 
 

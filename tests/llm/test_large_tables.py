@@ -2,7 +2,9 @@
 
 import random
 
-from lodos.llm import near_copies
+import xxhash
+
+from lodos.llm import near_copies, quality
 
 
 def _plans(spark, run):
@@ -50,3 +52,24 @@ def test_third_stage_sends_no_table_through_the_driver(spark):
                 x, y = sorted((up[i], up[j]))
                 up = [x if v == y else v for v in up]
     assert {r["doc_id"] for r in kept} == set(up)
+
+
+def test_shapes_are_found_once_for_an_outline(monkeypatch):
+    """Words that differ in letters alone have one shape, found once; shapes are those of the plain pattern."""
+    rng = random.Random(2)
+    odd = [bytes(rng.choice(b"aZ5#-\xc3\x80\x9e\x9f\xc4\xff") for _ in range(rng.randint(1, 90))) for _ in range(3_000)]
+    words = sorted({*odd, *(b"".join(rng.choice([b"a", b"k", b"z"]) for _ in range(12)) for _ in range(5_000))})
+    plain, calls = quality._SHAPE, []
+
+    class Counted:
+        def finditer(self, word):
+            calls.append(word)
+            return plain.finditer(word)
+
+    monkeypatch.setattr(quality, "_SHAPE", Counted())
+    quality._forget()
+    numbers = quality._numbered(words)
+    want = [xxhash.xxh32_intdigest(b"".join([(b"", b"A", b"a", b"0", m.group())[m.lastindex] for m in plain.finditer(w)])) for w in words]
+    assert [quality._words.shapes[i] for i in numbers] == want
+    assert len(calls) <= len(set(odd)) + 1 < len(words)
+    quality._forget()
