@@ -14,9 +14,9 @@ strings have equal anchors at equal places. Runs of neighbouring strings with on
 to a bin by their anchor's hash. In a bin
   1. segments stay whose anchor, with half of what a string holds beyond it on one side, occurs in two documents;
   2. segments of an anchor are aligned at it and trimmed to what agrees with some other segment; equal ones become one;
-  3. a segment that lies whole in one of a smaller id goes whole; an anchor with one segment left is settled; all others
-     are concatenated, in blocks of bounded size, and put in suffix order. Neighbours that agree on ``least`` bytes form a
-     class, whose smallest id is what counts.
+  3. a segment that lies whole in one of a smaller id goes whole; an anchor with one segment left is settled; two share what
+     agrees around it, as equal strings have their anchor at one place; three or more are concatenated, in blocks of bounded
+     size, and put in suffix order. Neighbours that agree on ``least`` bytes form a class, whose smallest id is what counts.
 Ranges of strings to remove return to their documents, where they are united and cut out.
 
 Bins are sized by the table's bytes. The bytes of one anchor's occurrences meet in one bin.
@@ -319,6 +319,18 @@ def _agree(anchor: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _leading(a: bytes, b: bytes) -> int:
+    """How many bytes the two begin with alike."""
+    n = min(len(a), len(b))
+    return n - -((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() // -8) if n else 0
+
+
+def _trailing(a: bytes, b: bytes) -> int:
+    """How many bytes the two end with alike."""
+    n = min(len(a), len(b))
+    return n - -((int.from_bytes(a[len(a) - n :], "little") ^ int.from_bytes(b[len(b) - n :], "little")).bit_length() // -8) if n else 0
+
+
 RANGES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
 
 
@@ -423,6 +435,19 @@ def _settle(anchor, ids, places, offs, begins, size, body, least, number) -> np.
                 if ids_of[r] > least_id:
                     emit(r, 0, len(text) - least + 1)
             continue
+        if len(apart) == 2:
+            (least_id, text, them), (_, other, those) = apart  # of the smaller id, of the larger
+            p, q = int(left[them[0]]), int(left[those[0]])  # the anchor's places
+            back, on = _trailing(text[:p], other[:q]), _leading(text[p:], other[q:])
+            for r in them:
+                if ids_of[r] > least_id:
+                    emit(r, 0, len(text) - least + 1)
+            for r in those:
+                if ids_of[r] > apart[1][0]:
+                    emit(r, 0, len(other) - least + 1)
+                elif ids_of[r] > least_id and back + on >= least:
+                    emit(r, q - back, q + on - least + 1)
+            continue
         for _, text, them in apart:
             waiting.append((text, them))
             held += len(text) + 1

@@ -4,7 +4,7 @@ import random
 
 import xxhash
 
-from lodos.llm import near_copies, quality
+from lodos.llm import near_copies, quality, suffix_dedup
 
 
 def _plans(spark, run):
@@ -73,3 +73,26 @@ def test_shapes_are_found_once_for_an_outline(monkeypatch):
     assert [quality._words.shapes[i] for i in numbers] == want
     assert len(calls) <= len(set(odd)) + 1 < len(words)
     quality._forget()
+
+
+def test_two_variants_need_no_suffix_order(spark, monkeypatch):
+    """Passages that two texts share whole and a third in part, at odd places and lengths from 50 bytes, are settled around their anchors."""
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    texts = []
+    for k in range(60):
+        passage = some(rng.randint(50, 160))
+        cut = passage[rng.randint(0, 30) : len(passage) - rng.randint(0, 30)]
+        texts += [some(rng.randint(0, 90)) + p + some(rng.randint(0, 90)) for p in (passage, passage, cut)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "0L as text_hash", "text").coalesce(2)
+    blobs = [bytes(r["blob"]) for r in suffix_dedup._binned(docs, 1, 50).collect()]
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda text: 1 / 0)
+    found = suffix_dedup._ranges(blobs, 50, 12).to_pylist()
+    got = {(r["doc_id"], p) for r in found for a, b in zip(r["lo"], r["hi"], strict=True) for p in range(a, b)}
+    first, want = {}, set()
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 49):
+            if first.setdefault(t[p : p + 50], i) < i:
+                want.add((i, p))
+    assert got == want and len({i for i, _ in want}) > 40
