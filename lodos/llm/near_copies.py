@@ -13,9 +13,11 @@ A list that more look-ups than ``hot`` and the double of what chance brings meet
 lists or more are a crowd: groups of edited copies, among whom nearly all meet. Fewer are a chance meeting with such a group.
 Each of the crowd is first compared with one node, its pivot: that stored in the fullest hot lists of those it meets and may
 link to, or that one's own, which in a group of edited copies is the text they were made from. Then every two of the crowd
-that share that node or meet in any list, hot or not, and are in no common component yet are compared. So a crowd gives the
-same components as a plain join, and a pair is only spared where its ends are linked already. No list of a large group is
-made anywhere. Pairs of other nodes, with each other and the crowd, are joined plainly.
+that share that node or meet in any list, hot or not, and are in no common component yet are compared. For the latter a crowd
+of up to ``CROWD`` has tables of its own, under shorter segments that are looked up as they are: 52 rows to a node, not 240,
+and a pair at 0.8 is missed once in 11,000, by the same reckoning as above. A pair is only spared where its ends are linked
+already. No list of a large group is made anywhere; those that share a pivot are compared one by one within the join, which
+takes time with the square of a group's unlinked members. Pairs of other nodes, with each other and the crowd, are joined plainly.
 
 Entries and look-ups are many to a node, and Spark sizes them as their nodes, so no table here is left to a broadcast.
 
@@ -45,6 +47,8 @@ WORDS = 9
 BITS = 64 * WORDS
 #: Width and number of the segments that may be chosen.
 SEGMENTS = [(16, 24), (18, 32)]
+#: Width and number of the segments by which nodes of a crowd of up to CROWD meet across pivots, where they are equal.
+EQUAL, CROWD = (11, 52), 500_000
 #: Most differing bits of a link: of all (at a similarity of 0.8 they are 87, give or take 9), of all where two sets have
 #: fewer than SHORT shingles together and ties of bits are common, and of the 96 that the tables hold, half of a name among them.
 RADIUS, WIDE, SHORT = 128, 160, 32
@@ -128,13 +132,16 @@ def _seen(a: str, b: str) -> Column:
     return F.bit_count(name) + F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) <= SIGHT
 
 
-def tables(nodes: DataFrame, width: int, m: int, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """The stored entries and the look-ups of ``nodes`` (fp, bits): (key, fp, sig), key: segment and its value; ``more``: columns to keep."""
+def tables(nodes: DataFrame, width: int, m: int, more: tuple[str, ...] = (), radius: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The stored entries and the look-ups of ``nodes`` (fp, bits): (key, fp, sig), key: segment and its value; ``more``: columns to keep.
+    With a radius of 0 a node looks up its own entries."""
     entry = F.explode(F.array(*[F.struct(F.lit(i << width).alias("seg"), _segment(i, width).alias("v")) for i in range(m)])).alias("e")
     own = nodes.select("fp", F.col("bits")[WORDS - 2].alias("sig"), *more, entry).select("fp", "sig", *more, "e.seg", "e.v")
-    ball = F.explode(F.array(*[F.lit(x).cast("int") for x in _ball(width, 1)])).alias("x")
-    looks = own.select("*", ball).where(F.col("v").bitwiseXOR(F.col("x")) >= F.col("v"))
     stored = own.select((F.col("seg") + F.col("v")).alias("key"), "fp", "sig", *more)
+    if not radius:
+        return stored, stored
+    ball = F.explode(F.array(*[F.lit(x).cast("int") for x in _ball(width, radius)])).alias("x")
+    looks = own.select("*", ball).where(F.col("v").bitwiseXOR(F.col("x")) >= F.col("v"))
     return stored, looks.select((F.col("seg") + F.col("v").bitwiseXOR(F.col("x"))).alias("key"), "fp", "sig", *more)
 
 
@@ -172,20 +179,24 @@ def _pivots(stored: DataFrame, looks: DataFrame) -> DataFrame:
     return merged(first, second, "pivot", "left").select("fp", F.coalesce("next", "pivot").alias("pivot"))
 
 
-def _meet(stored: DataFrame, looks: DataFrame, key: str, near: Column) -> DataFrame:
-    """Pairs of two roots that share ``key`` and are ``near``; nodes of a key's commonest root aren't compared with each other."""
-    counts = stored.groupBy(key, "root").agg(F.count("*").alias("size"))
-    most = counts.groupBy(key).agg(F.max(F.struct("size", "root"))["root"].alias("most"), (F.sum("size") / PART).cast("int").alias("parts"))
+def _meet(stored: DataFrame, looks: DataFrame, key: str, by: tuple[str, ...], near: Column) -> DataFrame:
+    """Pairs that share ``key``, differ in all columns of ``by`` and are ``near``; nodes that have a key's commonest value of any of these
+    columns aren't compared with each other."""
+    counts = reduce(DataFrame.union, [stored.groupBy(key, F.col(c).alias("value")).agg(F.count("*").alias("size"), F.lit(c).alias("by")) for c in by])
+    most = counts.groupBy(key).agg(F.max(F.struct("size", "by", "value")).alias("most"), (F.sum("size") / len(by) / PART).cast("int").alias("parts"))
     most = written(most, "most")
+    same, near = stored is looks, reduce(Column.__and__, [F.col(f"l.{c}") != F.col(f"t.{c}") for c in by], near)
     stored, looks = merged(stored, most, key), merged(looks, most, key)
 
     def compared(few: DataFrame, name: str, many: DataFrame, of: str) -> DataFrame:
         few = few.withColumn("part", F.explode(F.sequence(F.lit(0), "parts")))
         many = many.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts") + 1).cast("int"))
-        return _pairs(merged(few.alias(name), many.alias(of), [key, "part"]).where((F.col("l.root") != F.col("t.root")) & near))
+        return _pairs(merged(few.alias(name), many.alias(of), [key, "part"]).where(near))
 
-    off, rest = F.col("root") != F.col("most"), F.col("root") == F.col("most")
-    return compared(stored.where(off), "t", looks, "l").union(compared(looks.where(off), "l", stored.where(rest), "t")).distinct()
+    rest = F.coalesce(*[F.when(F.col("most.by") == c, F.col(c)) for c in by]) == F.col("most.value")
+    off = ~rest
+    found = compared(stored.where(off), "t", looks, "l")
+    return found if same else found.union(compared(looks.where(off), "l", stored.where(rest), "t")).distinct()
 
 
 def _across(docs: DataFrame, nodes: DataFrame, pivots: DataFrame, width: int, m: int, found: DataFrame, words: int) -> DataFrame:
@@ -202,14 +213,13 @@ def _across(docs: DataFrame, nodes: DataFrame, pivots: DataFrame, width: int, m:
     group = written(merged(group.drop("text_hash"), _sets(docs, group, words), "fp"), "groups")
     k, of = LEAST
     alike = (of + k) * F.size(F.array_intersect("l.s", "t.s")) >= k * (F.col("l.n") + F.col("t.n"))
-    inner = written(_meet(group, group, "pivot", _near("l", "t") & alike), "inner")
-    stored, looks = tables(rooted, width, m, ("root", "pivot"))
-    # lists where two roots and two pivots meet
-    ends = reduce(DataFrame.union, [d.select("key", "root", "pivot", F.lit(held).alias("held")) for d, held in ((stored, True), (looks, False))])
-    two = (F.min("root") != F.max("root")) & (F.min("pivot") != F.max("pivot")) & F.max("held")
-    mixed = written(ends.groupBy("key").agg(two.alias("two")).where("two").select("key"), "mixed")
-    stored, looks = (merged(d, mixed, "key", "left_semi") for d in (stored, looks))
-    return inner.union(verified(docs, nodes, _meet(stored, looks, "key", (F.col("l.pivot") != F.col("t.pivot")) & _seen("l", "t")), words))
+    inner = written(_meet(group, group, "pivot", ("root",), _near("l", "t") & alike), "inner")
+    more = ("root", "pivot")
+    if rooted.count() > CROWD:
+        stored, looks = tables(rooted, width, m, more)
+    else:
+        stored = looks = written(tables(rooted, *EQUAL, more, 0)[0], "stored")
+    return inner.union(verified(docs, nodes, _meet(stored, looks, "key", more, _seen("l", "t")), words))
 
 
 def links(docs: DataFrame, prints: DataFrame, words: int = 5, hot: int = HOT, segments: tuple[int, int] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 import xxhash
 
 from lodos.llm import near_copies, quality, suffix_dedup
@@ -54,6 +55,46 @@ def test_third_stage_sends_no_table_through_the_driver(spark):
     assert {r["doc_id"] for r in kept} == set(up)
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_a_crowd_meets_across_pivots(spark, monkeypatch, most):
+    """A crowd's look-ups are not listed again once pivots are known, and links across pivots are found, by equal segments and in balls."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    texts, base = [], [word() for _ in range(104)]
+    for v in range(4):  # variants five edits apart, and edited copies of each
+        for _ in range(60):
+            other = list(base)
+            for k in rng.sample(range(2, 100, 8), rng.randint(1, 3)):
+                other[k] = word()
+            texts.append(" ".join(other))
+        for k in range(5):
+            base[10 * k + v] = word()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    meet, across, kept = near_copies._meet, [], []
+
+    def seen(stored, looks, key, *rest):
+        found = meet(stored, looks, key, *rest)
+        if key == "key":
+            found = near_copies.written(found, "across")
+            across.append(found.count())
+        return found
+
+    monkeypatch.setattr(near_copies, "_meet", seen)
+    monkeypatch.setattr(near_copies, "CROWD", most, raising=False)
+    plans = _plans(spark, lambda: kept.extend(near_copies.one_of_each(docs).collect()))
+    made = [int(m["number of output rows"].replace(",", "")) for name, desc, m in plans if name == "Generate" and "root" in desc and "number of output rows" in m]
+    assert across and across[0] > 0
+    assert not most or made and max(made) <= 52 * len(set(texts))
+    sets = [set(near_copies.shingles(t.encode()).tolist()) for t in texts]
+    up = list(range(len(texts)))
+    for i in up[:]:
+        for j in range(i):
+            if up[i] != up[j] and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                x, y = sorted((up[i], up[j]))
+                up = [x if v == y else v for v in up]
+    assert {r["doc_id"] for r in kept} == set(up)
+
+
 def test_shapes_are_found_once_for_an_outline(monkeypatch):
     """Words that differ in letters alone have one shape, found once; shapes are those of the plain pattern."""
     rng = random.Random(2)
