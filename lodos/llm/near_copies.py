@@ -9,15 +9,18 @@ bits in every segment once in 2,700 at a similarity of 0.8, and less often above
 bits in the join, then over all bits (``RADIUS``), and links if the exact similarity of the sets reaches ``LEAST``, in
 integers, so that no pair below it links. The width of the segments is chosen by cost from the number of nodes.
 
-A list that more look-ups than ``hot`` and the double of what chance brings meet is hot, and the nodes stored in ``FEW`` hot
-lists or more are a crowd: groups of edited copies, among whom nearly all meet. Fewer are a chance meeting with such a group.
-Each of the crowd is first compared with one node, its pivot: that stored in the fullest hot lists of those it meets and may
-link to, or that one's own, which in a group of edited copies is the text they were made from. Then every two of the crowd
-that share that node or meet in any list, hot or not, and are in no common component yet are compared. For the latter a crowd
-of up to ``CROWD`` has tables of its own, under shorter segments that are looked up as they are: 52 rows to a node, not 240,
-and a pair at 0.8 is missed once in 11,000, by the same reckoning as above. A pair is only spared where its ends are linked
-already. No list of a large group is made anywhere; those that share a pivot are compared one by one within the join, which
-takes time with the square of a group's unlinked members. Pairs of other nodes, with each other and the crowd, are joined plainly.
+A list that more look-ups than ``hot`` and the double of what chance brings meet is hot, and its pairs are never listed: in
+groups of edited copies nearly all meet. A crowd is set apart: the nodes stored in ``FEW`` hot lists or more, and of the others
+those that in any hot list meet one that they may link to, whether they look it up or are looked up. What is left meets nobody
+in hot lists, so its pairs, with each other and the crowd, are those of the other lists, as many as these allow; they are joined
+plainly. The crowd is compared in two steps, each within tasks, of which no more than a forest of what they find leaves them:
+
+* Nodes that share a list and are near by all bits are of one family. A crowd of up to ``CROWD`` has lists of its own for that,
+  under shorter segments that are looked up as they are: 52 rows to a node, not 240, and a pair at 0.8 is missed once in 11,000,
+  by the same reckoning as above. Families are the components of what is near, so they may hold nodes that don't link.
+* The nodes of a family are compared with each other by their sets, whether they have met or not, a family of more than
+  ``LOAD`` hashes in parts, each with each. A node is compared with those that are not linked to it already, so the time grows
+  with the square of a family's unlinked members, the rows in proportion to its members (and the parts).
 
 Entries and look-ups are many to a node, and Spark sizes them as their nodes, so no table here is left to a broadcast.
 
@@ -37,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, merged, parts, text_of, written
+from .common import drop_written, give_back, merged, parts, text_of, written
 from .components import components
 from .simhash import _ball, first_of_each
 
@@ -47,7 +50,7 @@ WORDS = 9
 BITS = 64 * WORDS
 #: Width and number of the segments that may be chosen.
 SEGMENTS = [(16, 24), (18, 32)]
-#: Width and number of the segments by which nodes of a crowd of up to CROWD meet across pivots, where they are equal.
+#: Width and number of the segments by which nodes of a crowd of up to CROWD meet, where they are equal.
 EQUAL, CROWD = (11, 52), 500_000
 #: Most differing bits of a link: of all (at a similarity of 0.8 they are 87, give or take 9), of all where two sets have
 #: fewer than SHORT shingles together and ties of bits are common, and of the 96 that the tables hold, half of a name among them.
@@ -56,8 +59,14 @@ SIGHT = 30
 HOT = 8
 #: Hot lists that a node of a crowd is stored in, at least.
 FEW = 3
-#: Entries of a hot list that a task compares with others.
-PART = 4096
+#: Hashes of the sets that a task compares with each other or, of a larger family, with as many others.
+LOAD = 1 << 21
+#: Entries of a crowd's lists that a task has, about; the more of its lists are together, the fewer edges they have that others spare.
+ENTRIES = 1 << 16
+#: Nodes whose trees a task keeps in mind.
+MOST = 1 << 20
+#: Nodes that are compared all at once.
+SMALL = 48
 
 _SHIFTS = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 
@@ -167,59 +176,136 @@ def _near(a: str, b: str) -> Column:
     return (of * na >= k * nb) & (of * nb >= k * na) & (apart <= F.when(na + nb < SHORT, WIDE).otherwise(RADIUS))
 
 
-def _pivots(stored: DataFrame, looks: DataFrame) -> DataFrame:
-    """(fp, pivot) of each node that looks up hot lists (``stored``, n: look-ups that meet one): of those that it meets and may link to,
-    the one stored in the fullest, or that one's own."""
-    weight = stored.groupBy("fp").agg(F.sum("n").alias("weight"))
-    top = merged(stored, weight, "fp").groupBy("key").agg(F.max(F.struct("weight", "fp", "sig")).alias("p"))
-    met = merged(looks.alias("l"), top.select("key", "p", F.col("p.fp").alias("fp"), F.col("p.sig").alias("sig")).alias("t"), "key")
-    first = met.where(_seen("l", "t")).groupBy("l.fp").agg(F.max("p").alias("p")).select("fp", F.col("p.fp").alias("pivot"))
-    first = written(first, "pivots")
-    second = first.select(F.col("fp").alias("pivot"), F.col("pivot").alias("next"))
-    return merged(first, second, "pivot", "left").select("fp", F.coalesce("next", "pivot").alias("pivot"))
-
-
-def _meet(stored: DataFrame, looks: DataFrame, key: str, by: tuple[str, ...], near: Column) -> DataFrame:
-    """Pairs that share ``key``, differ in all columns of ``by`` and are ``near``; nodes that have a key's commonest value of any of these
-    columns aren't compared with each other."""
-    counts = reduce(DataFrame.union, [stored.groupBy(key, F.col(c).alias("value")).agg(F.count("*").alias("size"), F.lit(c).alias("by")) for c in by])
-    most = counts.groupBy(key).agg(F.max(F.struct("size", "by", "value")).alias("most"), (F.sum("size") / len(by) / PART).cast("int").alias("parts"))
-    most = written(most, "most")
-    same, near = stored is looks, reduce(Column.__and__, [F.col(f"l.{c}") != F.col(f"t.{c}") for c in by], near)
-    stored, looks = merged(stored, most, key), merged(looks, most, key)
-
-    def compared(few: DataFrame, name: str, many: DataFrame, of: str) -> DataFrame:
-        few = few.withColumn("part", F.explode(F.sequence(F.lit(0), "parts")))
-        many = many.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts") + 1).cast("int"))
-        return _pairs(merged(few.alias(name), many.alias(of), [key, "part"]).where(near))
-
-    rest = F.coalesce(*[F.when(F.col("most.by") == c, F.col(c)) for c in by]) == F.col("most.value")
-    off = ~rest
-    found = compared(stored.where(off), "t", looks, "l")
-    return found if same else found.union(compared(looks.where(off), "l", stored.where(rest), "t")).distinct()
-
+def _crowd(nodes: DataFrame, full: DataFrame, width: int, m: int) -> DataFrame:
+    """(fp) of the nodes that are in ``FEW`` of the hot lists ``full`` (key), or meet one that they may link to in any."""
+    held = written(merged(tables(nodes, width, m)[0], full, "key", "left_semi"), "hot")
+    many = written(held.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") >= FEW).select("fp"), "many")
+    few = merged(nodes, many, "fp", "left_anti")
+    ball = F.transform(F.array(*[F.lit(x).cast("int") for x in _ball(width, 1)]), lambda x: F.col("key").bitwiseXOR(x))
+    reach = full.select(F.col("key").alias("list"), F.explode(F.filter(ball, lambda x: x <= F.col("key"))).alias("key"))
+    looks = merged(tables(few, width, m)[0], reach, "key").select(F.col("list").alias("key"), "fp", "sig")
+    looks = written(looks, "looks")
+    meet = (F.col("l.key") == F.col("t.key")) & (F.col("l.fp") != F.col("t.fp")) & _seen("l", "t")
+    every = looks.union(tables(merged(nodes, many, "fp", "left_semi"), width, m)[1])
+    looking = merged(looks.alias("l"), held.alias("t"), meet, "left_semi").select("fp")
+    looked_up = merged(merged(held, many, "fp", "left_anti").alias("t"), every.alias("l"), meet, "left_semi").select("fp")
+    return written(many.union(looking).union(looked_up).distinct(), "crowd")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[np.ndarray]]:
+    """The columns (root, n, bits, and s where it is there) of the rows of each key, of rows in the order of keys; s: the sets in a row."""
+    open_: list[list[np.ndarray]] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, n = batch.column(key).to_numpy(), batch.column("n").to_numpy()
+        cols = [batch.column("root").to_numpy(), n, batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)]
+        at = np.arange(len(n) + 1)
+        if "s" in batch.schema.names:
+            cols.append(batch.column("s").flatten().to_numpy())
+            at = np.concatenate([[0], np.cumsum(n)])
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(n)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if keys[a] != last and open_:
+                yield [np.concatenate(x) if len(open_) > 1 else x[0] for x in zip(*open_, strict=True)]
+                open_ = []
+            last = keys[a]
+            open_.append([*(c[a:b] for c in cols[:3]), *(c[at[a] : at[b]] for c in cols[3:])])
+    if open_:
+        yield [np.concatenate(x) for x in zip(*open_, strict=True)]
+
+
+def _may_link(bits: np.ndarray, n: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """As ``_near``, of arrays."""
+    k, of = LEAST
+    apart = np.bitwise_count(bits ^ others).sum(-1, dtype=np.int64)
+    return (of * n >= k * sizes) & (of * sizes >= k * n) & (apart <= np.where(n + sizes < SHORT, WIDE, RADIUS))
 
-def _across(docs: DataFrame, nodes: DataFrame, pivots: DataFrame, width: int, m: int, found: DataFrame, words: int) -> DataFrame:
-    """Links of ``nodes`` (fp, n, bits, text_hash) that meet and are in two components of ``found`` (node, root).
 
-    Nodes of one pivot are compared with each other by their sets within the join, whether they meet or not, so that no
-    pairs of a group are listed that don't link; those of two pivots where they meet in the tables.
-    """
-    rooted = merged(nodes, found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "bits", "text_hash", F.coalesce("root", "fp").alias("root"))
-    pivot = F.coalesce("pivot", "fp").alias("pivot")
-    rooted = written(merged(rooted, pivots, "fp", "left").select("fp", "n", "bits", "text_hash", "root", pivot), "rooted")
-    open_ = rooted.groupBy("pivot").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("pivot")
-    group = merged(rooted, open_, "pivot", "left_semi")
-    group = written(merged(group.drop("text_hash"), _sets(docs, group, words), "fp"), "groups")
+def _forest(n: np.ndarray, bits: np.ndarray, sets: np.ndarray | None = None) -> list[tuple[int, np.ndarray]]:
+    """Edges (a node, those found from it) that span what is near, or with ``sets`` what links. Each node is compared once, with those
+    that none before it has found."""
+    if len(n) <= SMALL and not np.triu(_may_link(bits[:, None], n[:, None], bits, n), 1).any():
+        return []
     k, of = LEAST
-    alike = (of + k) * F.size(F.array_intersect("l.s", "t.s")) >= k * (F.col("l.n") + F.col("t.n"))
-    inner = written(_meet(group, group, "pivot", ("root",), _near("l", "t") & alike), "inner")
-    more = ("root", "pivot")
-    if rooted.count() > CROWD:
-        stored, looks = tables(rooted, width, m, more)
-    else:
-        stored = looks = written(tables(rooted, *EQUAL, more, 0)[0], "stored")
-    return inner.union(verified(docs, nodes, _meet(stored, looks, "key", more, _seen("l", "t")), words))
+    rest, edges = np.arange(len(n)), []
+    if sets is not None:
+        starts = np.concatenate([[0], np.cumsum(n)])
+        distinct, sets = np.unique(sets, return_inverse=True)
+        own = np.zeros(len(distinct), bool)
+    while len(rest) > 1:
+        queue, rest = [int(rest[0])], rest[1:]
+        others, sizes = bits[rest], n[rest]
+        while queue and len(rest):
+            i = queue.pop()
+            found = _may_link(bits[i], n[i], others, sizes)
+            if sets is not None and found.any():
+                some = rest[found]
+                own[sets[starts[i] : starts[i + 1]]] = True
+                both = own[np.concatenate([sets[starts[j] : starts[j + 1]] for j in some.tolist()])]
+                both = np.add.reduceat(both, np.cumsum(n[some]) - n[some], dtype=np.int64)
+                own[sets[starts[i] : starts[i + 1]]] = False
+                found[found] = of * both >= k * (n[i] + n[some] - both)
+            if found.any():
+                edges.append((i, rest[found]))
+                queue.extend(rest[found].tolist())
+                left = ~found
+                rest, others, sizes = rest[left], others[left], sizes[left]
+    return edges
+
+
+def _meet(rows: DataFrame, columns: tuple[str, ...], key: str, deal: Column) -> DataFrame:
+    """Edges (a, b) between nodes (root) of ``rows`` that share ``key``, as many as span what is near among them by n and bits, or links
+    where ``columns`` has their sets, too. They are found within a task for each value of ``deal``, which ``key`` decides; no pair that
+    isn't such an edge leaves it, and none that those of the task's other keys connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for root, *of in _groups(batches, key):
+            new = []
+            for i, found in _forest(*of) if len(root) > 1 else []:
+                a = int(root[i])
+                for b in root[found].tolist():
+                    x, y = top(a), top(b)
+                    if x != y:
+                        up[y] = x
+                        new.append((a, b))
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*new, strict=True)], ["a", "b"])
+            if len(up) > MOST:
+                up.clear()
+        give_back()
+
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(key, "root", *columns, deal.alias("deal")).repartition(count, "deal").sortWithinPartitions(key)
+    return dealt.drop("deal").mapInArrow(run, "a long, b long")
+
+
+def _among(docs: DataFrame, some: DataFrame, width: int, m: int, words: int) -> DataFrame:
+    """Links (a, b) of the crowd ``some`` (fp, n, bits, text_hash) that span its components."""
+    rooted = some.withColumn("root", F.col("fp"))
+    more = ("root", "n", "bits")
+    number = some.count()
+    lists = tables(rooted, width, m, more)[1] if number > CROWD else tables(rooted, *EQUAL, more, 0)[0]
+    deal = F.pmod(F.xxhash64("key"), F.lit(number * EQUAL[1] // ENTRIES + 1))
+    found = components(written(_meet(lists, ("n", "bits"), "key", deal), "near"))
+    family = F.coalesce("root", "fp").alias("family")
+    nodes = written(merged(some, found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "bits", "text_hash", family), "families")
+    sizes = nodes.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("held")).where("size > 1")
+    nodes = merged(nodes, sizes.select("family", F.floor((F.col("held") - 1) / LOAD).cast("int").alias("last")), "family")
+    nodes = written(nodes, "members")
+    part = F.pmod(F.xxhash64("fp"), F.col("last") + 1).cast("int").alias("x")
+    dealt = merged(nodes.drop("text_hash"), _sets(docs, nodes, words), "fp").select("*", part)
+    dealt = dealt.select(F.col("fp").alias("root"), "n", "bits", "s", "family", "x", F.explode(F.sequence(F.lit(0), "last")).alias("y"))
+    dealt = dealt.withColumn("block", F.xxhash64("family", F.least("x", "y"), F.greatest("x", "y")))
+    return written(_meet(dealt, ("n", "bits", "s"), "block", F.col("block")), "among")
 
 
 def links(docs: DataFrame, prints: DataFrame, words: int = 5, hot: int = HOT, segments: tuple[int, int] | None = None) -> DataFrame:
@@ -231,18 +317,15 @@ def links(docs: DataFrame, prints: DataFrame, words: int = 5, hot: int = HOT, se
     stored, looks = tables(nodes, width, m)
     limit = hot + 2 * number * (width + 2) // 2 ** (width + 1)
     full = written(full_lists(stored, width, limit), "full")
-    crowd = written(merged(stored, full, "key", "left_semi").groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") >= FEW).select("fp"), "crowd")
+    crowd = full if full.isEmpty() else _crowd(nodes, full.select("key"), width, m)
     if crowd.isEmpty():
         return verified(docs, nodes, _pairs(merged(looks.alias("l"), stored.alias("t"), "key").where(_seen("l", "t"))), words)
     some, others = merged(nodes, crowd, "fp", "left_semi"), merged(nodes, crowd, "fp", "left_anti")
     some, others = written(some, "some"), written(others, "others")
-    own, found = tables(others, width, m), tables(some, width, m)
-    met = [(own[1], stored), (found[1], own[0])]
+    own = tables(others, width, m)
+    met = [(own[1], stored), (tables(some, width, m)[1], own[0])]
     pairs = reduce(DataFrame.union, [_pairs(merged(x.alias("l"), y.alias("t"), "key").where(_seen("l", "t"))) for x, y in met])
-    pivots = written(_pivots(merged(found[0], full, "key"), found[1]), "pivots")
-    first = pivots.where("fp != pivot").select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b"))
-    linked = verified(docs, nodes, pairs.union(first).distinct(), words)
-    return linked.union(_across(docs, some, pivots, width, m, components(linked), words))
+    return verified(docs, nodes, pairs.distinct(), words).union(_among(docs, some, width, m, words))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:

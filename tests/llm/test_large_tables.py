@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -137,3 +138,67 @@ def test_two_variants_need_no_suffix_order(spark, monkeypatch):
             if first.setdefault(t[p : p + 50], i) < i:
                 want.add((i, p))
     assert got == want and len({i for i, _ in want}) > 40
+
+
+def test_pairs_with_a_group_are_not_listed(spark, monkeypatch):
+    """Groups of edited copies, most of them out of each other's reach: rows of the joins by node grow with the nodes, not with a group's
+    pairs, whether a member is stored in the hot lists or meets them from outside; families are compared whole, also in parts."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    texts, base = [], [word() for _ in range(104)]
+    for v in range(4):
+        for _ in range(150):
+            other = list(base)
+            for k in rng.sample(range(2, 100, 5), rng.choice([1, 2, 3, 4, 5, 6, 7])):
+                other[k] = word()
+            texts.append(" ".join(other))
+        for k in range(3):
+            base[20 * k + 5 * v] = word()
+    texts += [" ".join(word() for _ in range(60)) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [set(near_copies.shingles(t.encode()).tolist()) for t in texts]
+    up, linked = list(range(len(texts))), 0
+    for i in up[:600]:
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                linked += 1
+                if up[i] != up[j]:
+                    x, y = sorted((up[i], up[j]))
+                    up = [x if v == y else v for v in up]
+    assert 10 < len(set(up[:600])) < 590
+    for load in (1 << 21, 20_000):
+        monkeypatch.setattr(near_copies, "LOAD", load, raising=False)
+        kept = []
+        plans = _plans(spark, lambda: kept.extend(near_copies.one_of_each(docs).collect()))  # noqa: B023
+        joins = [(desc, int(m["number of output rows"].replace(",", ""))) for name, desc, m in plans if "Join" in name and "number of output rows" in m]
+        assert {r["doc_id"] for r in kept} == set(up)
+        listed = sum(n for desc, n in joins if "[a#" in desc.split(",")[0] and "[fp#" in desc)
+        assert listed <= 2 * len(texts), (load, listed, linked)
+        edges = [int(m["number of output rows"].replace(",", "")) for name, desc, m in plans if name == "MapInArrow" and "[a#" in desc and "number of output rows" in m]
+        assert edges and max(edges) <= 52 * len(texts)
+
+
+def test_a_forest_spans_what_is_near():
+    """Forests of what is near and of what links have the components of all pairs, for few nodes and many."""
+    rng = random.Random(6)
+    for size in (2, 30, near_copies.SMALL, 300):
+        base, texts = [str(rng.random()) for _ in range(rng.choice([9, 60, 150]))], []
+        for _ in range(size):
+            other = list(base)
+            for _ in range(rng.randint(0, 4)):
+                other[rng.randrange(len(other))] = str(rng.random())
+            texts.append(" ".join(other))
+        sets = [near_copies.shingles(t.encode()) for t in texts]
+        bits, n = np.array([near_copies.fingerprint(s) for s in sets]).view(np.uint64), np.array([len(s) for s in sets])
+        for of in (None, np.concatenate(sets).view(np.int64)):
+            near = [[bool(near_copies._may_link(bits[i], n[i], bits[j], n[j])) for j in range(size)] for i in range(size)]
+            if of is not None:
+                both = lambda i, j: len(np.intersect1d(sets[i], sets[j], True))
+                near = [[near[i][j] and 9 * both(i, j) >= 4 * (n[i] + n[j]) for j in range(size)] for i in range(size)]
+            want, got = list(range(size)), list(range(size))
+            for up, edges in ((want, [(i, j) for i in range(size) for j in range(i) if near[i][j]]), (got, [(i, j) for i, some in near_copies._forest(n, bits, of) for j in some.tolist()])):
+                for i, j in edges:
+                    x, y = sorted((up[i], up[j]))
+                    assert up is want or x != y and near[i][j]
+                    up[:] = [x if v == y else v for v in up]
+            assert got == want
