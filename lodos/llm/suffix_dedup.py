@@ -38,14 +38,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, give_back, text_of
+from .common import IN_HAND, documents, give_back, parts, text_of
 
 LEAST = 50
 GRAM = 12
 #: Text bytes for each bin; bins at least.
 BIN_BYTES, BINS = 8 << 20, 64
-#: Text bytes that a task cuts into segments at once; bytes put in suffix order at once; variants that one is looked for in.
+#: Text bytes whose segments travel in one blob for each bin; bytes put in suffix order at once; variants that one is looked for in.
 BLOCK, SORTED, NEAR = 8 << 20, 1 << 18, 16
+#: Segments whose bytes are laid out by places at once.
+ROWS = 1 << 13
 LAST = (1 << 63) - 1
 
 
@@ -161,14 +163,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _hashes_at(data: np.ndarray, places: np.ndarray, gram: int, block: int = 1 << 16) -> np.ndarray:
-    """A 64-bit hash of the ``gram`` bytes at each place, read as rows, a block of places at a time."""
+def _hashes_at(data: np.ndarray, places: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of the ``gram`` bytes at each place, read as rows, ROWS places at a time."""
     out = np.empty(len(places), np.uint64)
     power = np.array([pow(_BASE, k, 1 << 64) for k in range(gram)][::-1], np.uint64)
     rows = np.lib.stride_tricks.sliding_window_view(data, gram)
-    for a in range(0, len(places), block):
-        h = rows[places[a : a + block]].astype(np.uint64) @ power
-        out[a : a + block] = _mixed(h)
+    for a in range(0, len(places), ROWS):
+        h = rows[places[a : a + ROWS]].astype(np.uint64) @ power
+        out[a : a + ROWS] = _mixed(h)
     return out
 
 
@@ -202,64 +204,74 @@ def segments(texts: list[bytes], least: int = LEAST, gram: int = GRAM) -> tuple[
 
 def _take(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The bytes data[first : first + size] of each, joined."""
-    ends = np.cumsum(sizes)
-    at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
-    return data[at + np.repeat(first - (ends - sizes), sizes)]
+    out, done = np.empty(int(sizes.sum()), np.uint8), 0
+    for a in range(0, len(first), ROWS):
+        size = sizes[a : a + ROWS]
+        ends = np.cumsum(size)
+        n = int(ends[-1])
+        out[done : done + n] = data[np.arange(n) + np.repeat(first[a : a + ROWS] - (ends - size), size)]
+        done += n
+    return out
+
+
+def _pieces(texts: list[bytes], least: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Texts in blocks of about BLOCK bytes, with each one's number and where it begins there; a long text is cut into overlapping parts."""
+    pieces, owner, base = [], [], []
+    for d, t in enumerate(texts):
+        for a in range(0, max(1, len(t) - least + 1), IN_HAND):
+            pieces.append(t[a : a + IN_HAND + least - 1])
+            owner.append(d)
+            base.append(a)
+    for block in _runs_of(pieces, BLOCK):
+        yield pieces[block], np.array(owner[block]), np.array(base[block], np.int64)
+
+
+def _cut_up(pieces: list[bytes], least: int) -> tuple[np.ndarray, ...]:
+    """Of all pieces what :func:`segments` tells of them, but starts within their piece too; from about IN_HAND bytes at a time, since what is
+    worked out for each byte takes some forty times its room."""
+    found: list[tuple[np.ndarray, ...]] = []
+    before = 0
+    for group in _runs_of(pieces, IN_HAND):
+        number, first, strings, off, anchor, data, begins = segments(pieces[group], least)
+        found.append((number + group.start, first - begins[number], first + before, strings.astype(np.uint8), off.astype(np.uint8), anchor, data))
+        before += len(data)
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 def _binned(docs: DataFrame, bins: int, least: int) -> DataFrame:
     """(bin, blob): packed segments, a blob for each bin and block of texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blobs(ids: np.ndarray, marks: np.ndarray, pieces: list[bytes], base: np.ndarray) -> Iterator[tuple[int, bytes]]:
         pack = zstandard.ZstdCompressor(level=5).compress
-        for batch in batches:
+        number, where, first, strings, off, anchor, data = _cut_up(pieces, least)
+        where += base[number]
+        to = (anchor % np.uint64(bins)).astype(np.int64)
+        by = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[by], np.arange(bins + 1))
+        for b in range(bins):
+            rows = by[cuts[b] : cuts[b + 1]]
+            if not len(rows):
+                continue
+            body = _take(data, first[rows], strings[rows].astype(np.int64) + (least - 1))
+            heads = [ids[number[rows]], marks[number[rows]], where[rows], strings[rows], off[rows]]
+            yield b, pack(b"".join([np.int64(len(rows)).tobytes(), *(x.tobytes() for x in heads), body.tobytes()]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, "text", BLOCK):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             ids, marks = batch.column("doc_id").to_numpy(), batch.column("text_hash").to_numpy()
-            start, held = 0, 0
-            for i, t in enumerate(texts):
-                held += len(t)
-                if held < BLOCK and i + 1 < len(texts):
-                    continue
-                part = slice(start, i + 1)
-                start, held = i + 1, 0
-                out_bins, blobs = [], []
-                # a text longer than a block's places can number is cut into overlapping parts
-                pieces, owner, base = [], [], []
-                for d, t1 in enumerate(texts[part]):
-                    for a in range(0, max(1, len(t1) - least + 1), BLOCK):
-                        pieces.append(t1[a : a + BLOCK + least - 1])
-                        owner.append(d)
-                        base.append(a)
-                for group in _runs_of(pieces):
-                    number, first, strings, off, anchor, data, begins = segments(pieces[group], least)
-                    if not len(first):
-                        continue
-                    who = np.array(owner)[group][number]
-                    where = first - begins[number] + np.array(base, np.int64)[group][number]
-                    to = (anchor % np.uint64(bins)).astype(np.int64)
-                    by = np.argsort(to, kind="stable")
-                    cuts = np.searchsorted(to[by], np.arange(bins + 1))
-                    for b in range(bins):
-                        rows = by[cuts[b] : cuts[b + 1]]
-                        if not len(rows):
-                            continue
-                        size = strings[rows] + (least - 1)
-                        body = _take(data, first[rows], size)
-                        heads = [ids[part][who[rows]], marks[part][who[rows]], where[rows], strings[rows].astype(np.uint8), off[rows].astype(np.uint8)]
-                        raw = b"".join([np.int64(len(rows)).tobytes(), *(x.tobytes() for x in heads), body.tobytes()])
-                        out_bins.append(b)
-                        blobs.append(pack(raw))
-                yield pa.RecordBatch.from_arrays([pa.array(out_bins, pa.int64()), pa.array(blobs, pa.binary())], ["bin", "blob"])
-            give_back()
+            for pieces, owner, base in _pieces(texts, least):
+                out = list(blobs(ids[owner], marks[owner], pieces, base))
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bin", "blob"])
 
     return docs.mapInArrow(run, "bin long, blob binary")
 
 
-def _runs_of(pieces: list[bytes]) -> Iterator[slice]:
-    """Slices of pieces that hold BLOCK bytes together, or one piece: places within them fit 24 bits."""
+def _runs_of(pieces: list[bytes], most: int) -> Iterator[slice]:
+    """Slices of pieces that hold ``most`` bytes together, or one piece."""
     start, held = 0, 0
     for i, p in enumerate(pieces):
-        if i > start and held + len(p) > BLOCK:
+        if i > start and held + len(p) > most:
             yield slice(start, i)
             start, held = i, 0
         held += len(p)
@@ -267,21 +279,22 @@ def _runs_of(pieces: list[bytes]) -> Iterator[slice]:
         yield slice(start, len(pieces))
 
 
-def _unpack(blobs: list[bytes], least: int) -> tuple[np.ndarray, ...]:
+def _unpack(blobs: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]:
     """ids, marks, places, strings, offsets of all segments, their bytes joined, and where each begins."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+    heads: list[list[np.ndarray]] = [[] for _ in range(5)]
+    bodies: list[memoryview] = []
     unpack = zstandard.ZstdDecompressor().decompress
     for blob in blobs:
         raw = unpack(blob)
         n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
         for k, kind in enumerate((np.int64, np.int64, np.int64, np.uint8, np.uint8)):
-            parts[k].append(np.frombuffer(raw, kind, n, at))
+            heads[k].append(np.frombuffer(raw, kind, n, at))
             at += n * np.dtype(kind).itemsize
-        parts[5].append(np.frombuffer(raw, np.uint8, -1, at))
-    ids, marks, places, strings, offs, body = (np.concatenate(p) for p in parts)
+        bodies.append(memoryview(raw)[at:])
+    ids, marks, places, strings, offs = map(np.concatenate, heads)
     strings, offs = strings.astype(np.int64), offs.astype(np.int64)
     size = strings + (least - 1)
-    return ids, marks, places, strings, offs, body, np.cumsum(size) - size
+    return ids, marks, places, strings, offs, b"".join(bodies), np.cumsum(size) - size
 
 
 def _in_two(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -300,9 +313,13 @@ def _in_two(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def _rows(body: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int, back: bool) -> np.ndarray:
     """Each slice as a row of ``width`` numbers (byte + 1, then 0), reversed if ``back``."""
     k = np.arange(width)
-    at = first[:, None] + (sizes[:, None] - 1 - k if back else k)
-    inside = k < sizes[:, None]
-    return np.where(inside, body[np.where(inside, at, 0)].astype(np.uint16) + 1, 0).astype(">u2")
+    out = np.empty((len(first), width), ">u2")
+    for a in range(0, len(first), ROWS):
+        size = sizes[a : a + ROWS, None]
+        at = first[a : a + ROWS, None] + (size - 1 - k if back else k)
+        inside = k < size
+        out[a : a + ROWS] = np.where(inside, body[np.where(inside, at, 0)].astype(np.uint16) + 1, 0)
+    return out
 
 
 def _agree(anchor: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -336,7 +353,8 @@ RANGES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lo", pa
 
 def _ranges(blobs: list[bytes], least: int, gram: int) -> pa.Table:
     """(doc_id, text_hash, lo, hi): runs of starts of strings to remove, from one bin's blobs; a row for each document, with lists of runs."""
-    ids, marks, places, strings, offs, body, begins = _unpack(blobs, least)
+    ids, marks, places, strings, offs, raw, begins = _unpack(blobs, least)
+    body = np.frombuffer(raw, np.uint8)
     half = (least - gram) // 2
     size = strings + (least - 1)
     stay = np.zeros(len(ids), bool)
@@ -352,7 +370,7 @@ def _ranges(blobs: list[bytes], least: int, gram: int) -> pa.Table:
         exact = _rows(body, begins + offs, np.full(len(keep), gram), gram, False)
         _, anchor = np.unique(np.ascontiguousarray(exact).view(f"V{2 * gram}").reshape(-1), return_inverse=True)
         for part in _parts(anchor, 60_000):
-            out.append(_settle(anchor[part], ids[part], places[part], offs[part], begins[part], size[part], body, least, part))
+            out.append(_settle(anchor[part], ids[part], places[part], offs[part], begins[part], size[part], raw, least, part))
     found = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
     if not len(found):
         return pa.table({"doc_id": [], "text_hash": [], "lo": [], "hi": []}, RANGES)
@@ -384,14 +402,14 @@ def _parts(anchor: np.ndarray, most: int) -> Iterator[np.ndarray]:
         start = stop
 
 
-def _settle(anchor, ids, places, offs, begins, size, body, least, number) -> np.ndarray:  # noqa: ANN001
+def _settle(anchor, ids, places, offs, begins, size, raw, least, number) -> np.ndarray:  # noqa: ANN001
     """(row's number, lo, hi) of what to remove, for rows that hold all segments of their anchors."""
+    body = np.frombuffer(raw, np.uint8)
     width = int((size - offs).max())
     right = _agree(anchor, _rows(body, begins + offs, size - offs, width, False))
     left = _agree(anchor, _rows(body, begins, offs, max(1, int(offs.max())), True))
     a, b = begins + offs - left, begins + offs + right
     rows = np.nonzero(b - a >= least)[0]
-    raw = body.tobytes() if len(rows) else b""
     trimmed: dict[int, dict[bytes, list[int]]] = defaultdict(dict)
     for r, g, x, y in zip(rows.tolist(), anchor[rows].tolist(), a[rows].tolist(), b[rows].tolist(), strict=True):
         trimmed[g].setdefault(raw[x:y], []).append(r)
@@ -522,7 +540,7 @@ def removed(docs: DataFrame, least: int = LEAST, with_text: bool = False) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in parts(batches, "packed"):
             out = []
             for packed, lo, hi in zip(batch.column("packed").to_pylist(), batch.column("lo"), batch.column("hi"), strict=True):
                 text = unpack(packed) if packed else b""
@@ -540,7 +558,7 @@ def _packed(keyed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in parts(batches):
             packed = pa.array([pack(t) if t else b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("own_id"), batch.column("doc_id"), batch.column("text_hash"), packed], ["own_id", "doc_id", "text_hash", "packed"])
 

@@ -1,8 +1,10 @@
 """What goes through the driver, and what joins make of large groups."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -140,6 +142,55 @@ def test_two_variants_need_no_suffix_order(spark, monkeypatch):
     assert got == want and len({i for i, _ in want}) > 40
 
 
+def test_strings_are_binned_and_settled_in_little_memory():
+    """What is worked out for each byte or segment is held for a part of a block only; still every string travels once, also of a text
+    that is longer than a block, and repeated strings are found across parts."""
+
+    class Frame:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    def traced(run):
+        tracemalloc.start()
+        try:
+            return run(), tracemalloc.get_traced_memory()[1] / suffix_dedup.BLOCK
+        finally:
+            tracemalloc.stop()
+
+    rng = np.random.default_rng(3)
+    some = lambda n: bytes(rng.integers(97, 123, n, np.uint8))
+    texts = [some(n) for n in rng.integers(0, 6_000, 3_000).tolist()]
+    texts += [some(suffix_dedup.BLOCK + 70_000), b"", some(49), some(50)]
+    copied = [(texts[k % 3_000][-200:], texts[3_000][1_048_000 + 100 * k :][:1_000]) for k in range(4_000)]
+    texts += [x + b"<%d>" % k + y for k, (x, y) in enumerate(copied)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, pa.array([0] * len(texts), pa.int64()), pa.array(texts).cast(pa.string())], ["doc_id", "text_hash", "text"])
+    out, most = traced(lambda: list(suffix_dedup._binned(Frame(), 3, 50)(iter([batch]))))
+    assert most < 16  # blocks, the results among them; 44 if worked out for a block at once
+    bins = [[x["blob"] for b in out for x in b.to_pylist() if x["bin"] == k] for k in range(3)]
+    seen = [np.zeros(len(t), np.int64) for t in texts]
+    for blobs in bins:
+        who, _, places, strings, _, body, begins = suffix_dedup._unpack(blobs, 50)
+        for i, a, n, at in zip(who.tolist(), places.tolist(), strings.tolist(), begins.tolist(), strict=True):
+            seen[i][a : a + n] += 1
+            assert bytes(body[at : at + n + 49]) == texts[i][a : a + n + 49]
+    assert all((x[: max(0, len(x) - 49)] == 1).all() and not x[max(0, len(x) - 49) :].any() for x in seen)
+    gone = [np.zeros(len(t), bool) for t in texts]
+    for blobs in bins:
+        found, most = traced(lambda: suffix_dedup._ranges(blobs, 50, 12))  # noqa: B023
+        assert most < 11
+        for r in found.to_pylist():
+            for a, b in zip(r["lo"], r["hi"], strict=True):
+                gone[r["doc_id"]][a:b] = True
+    assert not any(x.any() for x in gone[:3_004])
+    first = {}
+    for i, t in enumerate(texts[3_004:], 3_004):
+        x, y = copied[i - 3_004]
+        want = {*range(len(x) - 49), *range(len(t) - len(y), len(t) - 49)}
+        want |= {p for p in range(len(t) - 49) if first.setdefault(t[p : p + 50], i) < i}
+        assert set(np.flatnonzero(gone[i]).tolist()) == want
+
+
 def test_pairs_with_a_group_are_not_listed(spark, monkeypatch):
     """Groups of edited copies, most of them out of each other's reach: rows of the joins by node grow with the nodes, not with a group's
     pairs, whether a member is stored in the hot lists or meets them from outside; families are compared whole, also in parts."""
