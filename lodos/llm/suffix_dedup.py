@@ -11,7 +11,7 @@ suffixes, following the same pointers. Nothing is renamed or sorted again.
 
 *Distribution.* A string of ``least`` bytes belongs to the smallest hash of its ``GRAM``-byte grams (its anchor), so equal
 strings have equal anchors at equal places. Runs of neighbouring strings with one anchor travel together as one segment,
-to a bin by their anchor's hash. In a bin
+to a bin by their anchor's hash; equal segments of a common anchor travel as one with all its occurrences. In a bin
   1. segments stay whose anchor, with half of what a string holds beyond it on one side, occurs in two documents;
   2. segments of an anchor are aligned at it and trimmed to what agrees with some other segment; equal ones become one;
   3. a segment that lies whole in one of a smaller id goes whole; an anchor with one segment left is settled; two share what
@@ -19,7 +19,7 @@ to a bin by their anchor's hash. In a bin
      size, and put in suffix order. Neighbours that agree on ``least`` bytes form a class, whose smallest id is what counts.
 Ranges of strings to remove return to their documents, where they are united and cut out.
 
-Bins are sized by the table's bytes. The bytes of one anchor's occurrences meet in one bin.
+Bins are sized by the table's bytes. One anchor's occurrences meet in one bin.
 
 Defined results for odd input: null and empty texts have no bytes; documents of one id never remove from each other; a
 null id is larger than all others but 2^63 - 1, which counts as the same id and still comes back as itself; equal rows
@@ -46,8 +46,10 @@ GRAM = 12
 BIN_BYTES, BINS = 8 << 20, 64
 #: Text bytes whose segments travel in one blob for each bin; bytes put in suffix order at once; variants that one is looked for in.
 BLOCK, SORTED, NEAR = 8 << 20, 1 << 18, 16
-#: Segments whose bytes are laid out by places at once.
-ROWS = 1 << 13
+#: Segments whose bytes are laid out by places at once; occurrences that are spread out at once.
+ROWS, SPREAD = 1 << 13, 1 << 18
+#: Occurrences of an anchor in the texts in hand from which on equal segments are sought.
+MANY = 16
 LAST = (1 << 63) - 1
 
 
@@ -226,25 +228,78 @@ def _pieces(texts: list[bytes], least: int) -> Iterator[tuple[list[bytes], np.nd
         yield pieces[block], np.array(owner[block]), np.array(base[block], np.int64)
 
 
+def _alike(first: np.ndarray, strings: np.ndarray, off: np.ndarray, anchor: np.ndarray, data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segments' numbers with equal ones (of anchors that occur MANY times) side by side, in the order of the text; and which are the first of theirs."""
+    n = len(first)
+    by = np.argsort(anchor, kind="stable")
+    a = anchor[by]
+    counts = np.diff(np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))) if n else np.zeros(0, np.int64)
+    hot = by[np.repeat(counts >= MANY, counts)]
+    if not len(hot):
+        return np.arange(n), np.ones(n, bool)
+    size = strings[hot] + (least - 1)
+    rows = np.zeros((len(hot), -(-int(size.max()) // 8) * 8), np.uint8)
+    k = np.arange(rows.shape[1])
+    for x in range(0, len(hot), ROWS):
+        inside = k < size[x : x + ROWS, None]
+        rows[x : x + ROWS] = np.where(inside, data[np.where(inside, first[hot[x : x + ROWS], None] + k, 0)], 0)
+    words = rows.view(np.uint64)
+    key = words @ np.array([pow(_BASE, i + 3, 1 << 64) for i in range(words.shape[1])], np.uint64)
+    key = _mixed(key + (strings[hot] * 256 + off[hot]).astype(np.uint64))
+    _, one, kind = np.unique(key, return_index=True, return_inverse=True)
+    like = one[kind]
+    other = (words != words[like]).any(1) | (size != size[like]) | (off[hot] != off[hot[like]])
+    kind[other] = len(one) + np.arange(int(other.sum()))  # a hash is no proof
+    rest = np.ones(n, bool)
+    rest[hot] = False
+    by = np.lexsort((hot, kind))
+    new = np.concatenate([[True], kind[by][1:] != kind[by][:-1]])
+    return np.concatenate([np.flatnonzero(rest), hot[by]]), np.concatenate([np.ones(n - len(hot), bool), new])
+
+
 def _cut_up(pieces: list[bytes], least: int) -> tuple[np.ndarray, ...]:
-    """Of all pieces what :func:`segments` tells of them, but starts within their piece too; from about IN_HAND bytes at a time, since what is
-    worked out for each byte takes some forty times its room."""
+    """Of all pieces, segments: first string's start, strings, anchor's offset, anchor's hash, rows of occurrences; occurrences in that order:
+    the piece's number, start within it, times that the segment follows there at equal steps, step; and the joined bytes.
+
+    Worked out from about IN_HAND bytes at a time: what is held for each byte takes some forty times its room.
+    """
     found: list[tuple[np.ndarray, ...]] = []
     before = 0
     for group in _runs_of(pieces, IN_HAND):
         number, first, strings, off, anchor, data, begins = segments(pieces[group], least)
-        found.append((number + group.start, first - begins[number], first + before, strings.astype(np.uint8), off.astype(np.uint8), anchor, data))
+        order, new = _alike(first, strings, off, anchor, data, least)
+        who, at = number[order], first[order]
+        apart = new.copy()
+        apart[1:] |= who[1:] != who[:-1]
+        step = np.diff(at, prepend=0)
+        start = apart.copy()
+        start[1:] |= ~apart[:-1] & (step[1:] != step[:-1])
+        runs = np.flatnonzero(start)
+        times = np.diff(runs, append=len(order))
+        steps = np.where(times > 1, step[np.minimum(runs + 1, len(step) - 1)], 0) if len(runs) else times
+        heads = np.flatnonzero(new)
+        count = np.diff(np.searchsorted(runs, heads), append=len(runs))
+        own = order[heads]
+        found.append((first[own] + before, strings[own].astype(np.uint8), off[own].astype(np.uint8), anchor[own], count.astype(np.int32), who[runs] + group.start, at[runs] - begins[who[runs]], times.astype(np.int32), steps.astype(np.int32), data))
         before += len(data)
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1 ... (counts[0] numbers), then those from starts[1], and so on."""
+    counts = counts.astype(np.int64)
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
 def _binned(docs: DataFrame, bins: int, least: int) -> DataFrame:
     """(bin, blob): packed segments, a blob for each bin and block of texts."""
 
     def blobs(ids: np.ndarray, marks: np.ndarray, pieces: list[bytes], base: np.ndarray) -> Iterator[tuple[int, bytes]]:
         pack = zstandard.ZstdCompressor(level=5).compress
-        number, where, first, strings, off, anchor, data = _cut_up(pieces, least)
+        first, strings, off, anchor, count, number, where, times, step, data = _cut_up(pieces, least)
         where += base[number]
+        begins = np.cumsum(count, dtype=np.int64) - count
         to = (anchor % np.uint64(bins)).astype(np.int64)
         by = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[by], np.arange(bins + 1))
@@ -252,9 +307,10 @@ def _binned(docs: DataFrame, bins: int, least: int) -> DataFrame:
             rows = by[cuts[b] : cuts[b + 1]]
             if not len(rows):
                 continue
+            own = _spread(begins[rows], count[rows])
             body = _take(data, first[rows], strings[rows].astype(np.int64) + (least - 1))
-            heads = [ids[number[rows]], marks[number[rows]], where[rows], strings[rows], off[rows]]
-            yield b, pack(b"".join([np.int64(len(rows)).tobytes(), *(x.tobytes() for x in heads), body.tobytes()]))
+            heads = [strings[rows], off[rows], count[rows], ids[number[own]], marks[number[own]], where[own], times[own], step[own]]
+            yield b, pack(b"".join([np.array([len(rows), len(own)], np.int64).tobytes(), *(x.tobytes() for x in heads), body.tobytes()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "text", BLOCK):
@@ -279,32 +335,35 @@ def _runs_of(pieces: list[bytes], most: int) -> Iterator[slice]:
         yield slice(start, len(pieces))
 
 
-def _unpack(blobs: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]:
-    """ids, marks, places, strings, offsets of all segments, their bytes joined, and where each begins."""
-    heads: list[list[np.ndarray]] = [[] for _ in range(5)]
+def _unpack(blobs: list[bytes], least: int) -> tuple:
+    """Of all segments strings, offsets, where their occurrences begin and how many rows these take, their bytes joined, and where each begins
+    there; of all occurrences ids, marks, places, times and steps."""
+    kinds = (np.uint8, np.uint8, np.int32, np.int64, np.int64, np.int64, np.int32, np.int32)
+    heads: list[list[np.ndarray]] = [[] for _ in kinds]
     bodies: list[memoryview] = []
     unpack = zstandard.ZstdDecompressor().decompress
     for blob in blobs:
         raw = unpack(blob)
-        n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
-        for k, kind in enumerate((np.int64, np.int64, np.int64, np.uint8, np.uint8)):
-            heads[k].append(np.frombuffer(raw, kind, n, at))
-            at += n * np.dtype(kind).itemsize
+        n, m = np.frombuffer(raw, np.int64, 2).tolist()
+        at = 16
+        for k, kind in enumerate(kinds):
+            heads[k].append(np.frombuffer(raw, kind, n if k < 3 else m, at))
+            at += len(heads[k][-1]) * np.dtype(kind).itemsize
         bodies.append(memoryview(raw)[at:])
-    ids, marks, places, strings, offs = map(np.concatenate, heads)
-    strings, offs = strings.astype(np.int64), offs.astype(np.int64)
-    size = strings + (least - 1)
-    return ids, marks, places, strings, offs, b"".join(bodies), np.cumsum(size) - size
+    strings, offs, count, *occurrences = map(np.concatenate, heads)
+    strings, offs = strings.astype(np.int16), offs.astype(np.int16)
+    size = strings.astype(np.int64) + (least - 1)
+    return strings, offs, np.cumsum(count, dtype=np.int64) - count, count, b"".join(bodies), np.cumsum(size) - size, *occurrences
 
 
-def _in_two(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether each key occurs with two different ids."""
+def _in_two(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether each key occurs with two different ids; ``low`` and ``high`` are the least and largest of each row's."""
     by = np.argsort(keys, kind="stable")
     k = keys[by]
     new = np.concatenate([[True], k[1:] != k[:-1]])
     group = np.cumsum(new) - 1
     heads = np.nonzero(new)[0]
-    two = np.minimum.reduceat(ids[by], heads) != np.maximum.reduceat(ids[by], heads)
+    two = np.minimum.reduceat(low[by], heads) != np.maximum.reduceat(high[by], heads)
     out = np.empty(len(keys), bool)
     out[by] = two[group]
     return out
@@ -352,42 +411,64 @@ RANGES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lo", pa
 
 
 def _ranges(blobs: list[bytes], least: int, gram: int) -> pa.Table:
-    """(doc_id, text_hash, lo, hi): runs of starts of strings to remove, from one bin's blobs; a row for each document, with lists of runs."""
-    ids, marks, places, strings, offs, raw, begins = _unpack(blobs, least)
+    """(doc_id, text_hash, lo, hi): runs of starts of strings to remove, from one bin's blobs; rows of a document hold lists of runs."""
+    strings, offs, start, count, raw, begins, ids, marks, places, times, step = _unpack(blobs, least)
     body = np.frombuffer(raw, np.uint8)
+    low, high, often = ids, ids, times
+    if len(ids) > len(strings):
+        low, high, often = np.minimum.reduceat(ids, start), np.maximum.reduceat(ids, start), np.add.reduceat(times, start, dtype=np.int64)
     half = (least - gram) // 2
     size = strings + (least - 1)
-    stay = np.zeros(len(ids), bool)
+    stay = np.zeros(len(size), bool)
     for delta in (0, -half):  # with the bytes right of the anchor, then with those left of it
         at = offs + delta
         fits = np.nonzero((at >= 0) & (at + gram + half <= size))[0]
         if len(fits):
-            stay[fits] |= _in_two(_hashes_at(body, begins[fits] + at[fits], gram + half), ids[fits])
+            stay[fits] |= _in_two(_hashes_at(body, begins[fits] + at[fits], gram + half), low[fits], high[fits])
     keep = np.nonzero(stay)[0]
     out: list[np.ndarray] = []
     if len(keep):
-        ids, marks, places, strings, offs, begins, size = (x[keep] for x in (ids, marks, places, strings, offs, begins, size))
+        low, high, often, start, count, offs, begins, size = (x[keep] for x in (low, high, often, start, count, offs, begins, size))
         exact = _rows(body, begins + offs, np.full(len(keep), gram), gram, False)
         _, anchor = np.unique(np.ascontiguousarray(exact).view(f"V{2 * gram}").reshape(-1), return_inverse=True)
         for part in _parts(anchor, 60_000):
-            out.append(_settle(anchor[part], ids[part], places[part], offs[part], begins[part], size[part], raw, least, part))
-    found = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-    if not len(found):
-        return pa.table({"doc_id": [], "text_hash": [], "lo": [], "hi": []}, RANGES)
-    k, lo, hi = found.T
-    by = np.lexsort((hi, lo, marks[k], ids[k]))
-    k, lo, hi = k[by], lo[by], hi[by]
-    other = np.concatenate([[True], (ids[k][1:] != ids[k][:-1]) | (marks[k][1:] != marks[k][:-1])])
-    # runs that touch become one; ends only grow within a document, so a shift by document keeps them apart
+            out.append(_settle(anchor[part], low[part], high[part], often[part], offs[part], begins[part], size[part], raw, least, part))
+    found = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+    tables = [pa.table({"doc_id": [], "text_hash": [], "lo": [], "hi": []}, RANGES)]
+    held = np.cumsum(often[found[:, 0]], dtype=np.int64)
+    edges = np.searchsorted(held, np.arange(SPREAD, int(held[-1]) + SPREAD, SPREAD)) + 1 if len(held) else []
+    done = 0
+    for end in edges:
+        if end > done:
+            k, lo, hi, than = found[done:end].T
+            row, of = _spread(start[k], count[k]), np.repeat(np.arange(len(k)), count[k])
+            more = ids[row] > than[of]
+            row, of = row[more], of[more]
+            lo, hi, n, by = places[row] + lo[of], places[row] + hi[of], times[row].astype(np.int64), step[row].astype(np.int64)
+            whole = hi - lo >= by  # one after another without a gap
+            hi[whole] += ((n - 1) * by)[whole]
+            n[whole] = 1
+            each, turn = np.repeat(np.arange(len(row)), n), _spread(np.zeros(len(row), np.int64), n)
+            if len(each):
+                tables.append(_united(ids[row[each]], marks[row[each]], lo[each] + turn * by[each], hi[each] + turn * by[each]))
+            done = end
+    return pa.concat_tables(tables)
+
+
+def _united(ids: np.ndarray, marks: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
+    """A row for each document, runs that touch as one."""
+    by = np.lexsort((hi, lo, marks, ids))
+    ids, marks, lo, hi = ids[by], marks[by], lo[by], hi[by]
+    other = np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])])
+    # ends only grow within a document, so a shift by document keeps them apart
     shift = np.cumsum(other) * (int(hi.max()) + 1)
     reach = np.maximum.accumulate(hi + shift)
     new = np.concatenate([[True], (lo + shift)[1:] > reach[:-1]])
     ends = (reach - shift)[np.concatenate([new[1:], [True]])]
     cuts = np.flatnonzero(other[new])[1:]
-    heads = k[other]
     edges = pa.array(np.concatenate([[0], cuts, [int(new.sum())]]).astype(np.int32))
     runs = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int32))) for x in (lo[new], ends)]
-    return pa.table([ids[heads], marks[heads], *runs], schema=RANGES)
+    return pa.table([ids[other], marks[other], *runs], schema=RANGES)
 
 
 def _parts(anchor: np.ndarray, most: int) -> Iterator[np.ndarray]:
@@ -402,69 +483,75 @@ def _parts(anchor: np.ndarray, most: int) -> Iterator[np.ndarray]:
         start = stop
 
 
-def _settle(anchor, ids, places, offs, begins, size, raw, least, number) -> np.ndarray:  # noqa: ANN001
-    """(row's number, lo, hi) of what to remove, for rows that hold all segments of their anchors."""
+def _settle(anchor, low, high, often, offs, begins, size, raw, least, number) -> np.ndarray:  # noqa: ANN001
+    """(row's number, lo, hi, than): what to remove where the id is larger than ``than``, for rows that hold all segments of their anchors."""
     body = np.frombuffer(raw, np.uint8)
     width = int((size - offs).max())
     right = _agree(anchor, _rows(body, begins + offs, size - offs, width, False))
     left = _agree(anchor, _rows(body, begins, offs, max(1, int(offs.max())), True))
+    right, left = np.where(often > 1, size - offs, right), np.where(often > 1, offs, left)  # with its own other occurrences
     a, b = begins + offs - left, begins + offs + right
     rows = np.nonzero(b - a >= least)[0]
     trimmed: dict[int, dict[bytes, list[int]]] = defaultdict(dict)
     for r, g, x, y in zip(rows.tolist(), anchor[rows].tolist(), a[rows].tolist(), b[rows].tolist(), strict=True):
         trimmed[g].setdefault(raw[x:y], []).append(r)
-    found: list[tuple[int, int, int]] = []
-    delta = (a - begins + places).tolist()
-    ids_of = ids.tolist()
+    found: list[tuple[int, int, int, int]] = []
+    delta = (a - begins).tolist()
+    low_of, high_of = low.tolist(), high.tolist()
     waiting: list[tuple[bytes, list[int]]] = []
     held = 0
 
-    def emit(r: int, lo: int, hi: int) -> None:
-        found.append((r, delta[r] + lo, delta[r] + hi))
+    def emit(r: int, lo: int, hi: int, than: int) -> None:
+        if high_of[r] > than:
+            found.append((r, delta[r] + lo, delta[r] + hi, than))
 
     def sort_waiting() -> None:
         nonlocal held
-        for (_, them), least_ids in zip(waiting, _classes([w for w, _ in waiting], [min(ids_of[r] for r in t) for _, t in waiting], least), strict=True):
+        for (_, them), least_ids in zip(waiting, _classes([w for w, _ in waiting], [min(low_of[r] for r in t) for _, t in waiting], least), strict=True):
             for r in them:
-                mine, lo = ids_of[r], None
+                lo = 0
+                if low_of[r] < high_of[r]:  # not the same for all occurrences
+                    for k in range(1, len(least_ids) + 1):
+                        if k == len(least_ids) or least_ids[k] != least_ids[lo]:
+                            emit(r, lo, k, least_ids[lo])
+                            lo = k
+                    continue
+                mine, lo = low_of[r], None
                 for k, least_id in enumerate(least_ids):
                     if mine > least_id:
                         lo = k if lo is None else lo
                     elif lo is not None:
-                        emit(r, lo, k)
+                        emit(r, lo, k, mine - 1)
                         lo = None
                 if lo is not None:
-                    emit(r, lo, len(least_ids))
+                    emit(r, lo, len(least_ids), mine - 1)
         waiting.clear()
         held = 0
 
     for variants in trimmed.values():
         # what lies whole in a variant of a smaller id goes whole, and tells the others nothing
         apart: list[tuple[int, bytes, list[int]]] = []
-        for least_id, text, them in sorted((min(map(ids_of.__getitem__, them)), text, them) for text, them in variants.items()):
+        for least_id, text, them in sorted((min(map(low_of.__getitem__, them)), text, them) for text, them in variants.items()):
             if any(least_id > i and text in other for i, other, _ in apart[:NEAR]):
                 for r in them:
-                    emit(r, 0, len(text) - least + 1)
+                    emit(r, 0, len(text) - least + 1, least_id - 1)
             else:
                 apart.append((least_id, text, them))
         if len(apart) == 1:
             ((least_id, text, them),) = apart
             for r in them:
-                if ids_of[r] > least_id:
-                    emit(r, 0, len(text) - least + 1)
+                emit(r, 0, len(text) - least + 1, least_id)
             continue
         if len(apart) == 2:
-            (least_id, text, them), (_, other, those) = apart  # of the smaller id, of the larger
+            (least_id, text, them), (own_least, other, those) = apart  # of the smaller id, of the larger
             p, q = int(left[them[0]]), int(left[those[0]])  # the anchor's places
             back, on = _trailing(text[:p], other[:q]), _leading(text[p:], other[q:])
             for r in them:
-                if ids_of[r] > least_id:
-                    emit(r, 0, len(text) - least + 1)
+                emit(r, 0, len(text) - least + 1, least_id)
             for r in those:
-                if ids_of[r] > apart[1][0]:
-                    emit(r, 0, len(other) - least + 1)
-                elif ids_of[r] > least_id and back + on >= least:
-                    emit(r, q - back, q + on - least + 1)
+                emit(r, 0, len(other) - least + 1, own_least)
+                if low_of[r] == own_least and back + on >= least:
+                    emit(r, q - back, q + on - least + 1, least_id)
             continue
         for _, text, them in apart:
             waiting.append((text, them))
@@ -473,7 +560,7 @@ def _settle(anchor, ids, places, offs, begins, size, raw, least, number) -> np.n
             sort_waiting()
     if waiting:
         sort_waiting()
-    got = np.array(found, np.int64).reshape(-1, 3)
+    got = np.array(found, np.int64).reshape(-1, 4)
     got[:, 0] = number[got[:, 0]]
     return got
 

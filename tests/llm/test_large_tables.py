@@ -142,43 +142,52 @@ def test_two_variants_need_no_suffix_order(spark, monkeypatch):
     assert got == want and len({i for i, _ in want}) > 40
 
 
-def test_strings_are_binned_and_settled_in_little_memory():
-    """What is worked out for each byte or segment is held for a part of a block only; still every string travels once, also of a text
-    that is longer than a block, and repeated strings are found across parts."""
+class _Frame:
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def _blobs(texts, bins):
+    """The blobs of each bin, and the most that was held meanwhile, in blocks; ids count from 0."""
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, pa.array([0] * len(texts), pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text_hash", "text"])
+    out, most = _traced(lambda: list(suffix_dedup._binned(_Frame(), bins, 50)(iter([batch]))))
+    out = [x for b in out for x in b.to_pylist()]
+    return [[x["blob"] for x in out if x["bin"] == k] for k in range(bins)], most
 
-    class Frame:
-        def mapInArrow(self, run, schema):  # noqa: N802
-            return run
 
-    def traced(run):
-        tracemalloc.start()
-        try:
-            return run(), tracemalloc.get_traced_memory()[1] / suffix_dedup.BLOCK
-        finally:
-            tracemalloc.stop()
+def _traced(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / suffix_dedup.BLOCK
+    finally:
+        tracemalloc.stop()
 
+
+def test_strings_are_binned_and_settled_in_little_memory():
+    """What is worked out for each byte or segment is held for a part of a block only; still every string travels once, also of a text
+    that is longer than a block, and repeated strings are found across parts."""
     rng = np.random.default_rng(3)
     some = lambda n: bytes(rng.integers(97, 123, n, np.uint8))
     texts = [some(n) for n in rng.integers(0, 6_000, 3_000).tolist()]
     texts += [some(suffix_dedup.BLOCK + 70_000), b"", some(49), some(50)]
     copied = [(texts[k % 3_000][-200:], texts[3_000][1_048_000 + 100 * k :][:1_000]) for k in range(4_000)]
     texts += [x + b"<%d>" % k + y for k, (x, y) in enumerate(copied)]
-    ids = pa.array(range(len(texts)), pa.int64())
-    batch = pa.RecordBatch.from_arrays([ids, pa.array([0] * len(texts), pa.int64()), pa.array(texts).cast(pa.string())], ["doc_id", "text_hash", "text"])
-    out, most = traced(lambda: list(suffix_dedup._binned(Frame(), 3, 50)(iter([batch]))))
+    bins, most = _blobs(texts, 3)
     assert most < 16  # blocks, the results among them; 44 if worked out for a block at once
-    bins = [[x["blob"] for b in out for x in b.to_pylist() if x["bin"] == k] for k in range(3)]
     seen = [np.zeros(len(t), np.int64) for t in texts]
     for blobs in bins:
-        who, _, places, strings, _, body, begins = suffix_dedup._unpack(blobs, 50)
-        for i, a, n, at in zip(who.tolist(), places.tolist(), strings.tolist(), begins.tolist(), strict=True):
-            seen[i][a : a + n] += 1
-            assert bytes(body[at : at + n + 49]) == texts[i][a : a + n + 49]
+        strings, _, _, count, body, begins, who, _, places, times, step = suffix_dedup._unpack(blobs, 50)
+        row, strings = np.repeat(np.arange(len(strings)), count), strings.tolist()
+        for i, a, r, n, d in zip(who.tolist(), places.tolist(), row.tolist(), times.tolist(), step.tolist(), strict=True):
+            for p in range(a, a + max(1, n * d), max(1, d)):
+                seen[i][p : p + strings[r]] += 1
+                assert body[begins[r] : begins[r] + strings[r] + 49] == texts[i][p : p + strings[r] + 49]
     assert all((x[: max(0, len(x) - 49)] == 1).all() and not x[max(0, len(x) - 49) :].any() for x in seen)
     gone = [np.zeros(len(t), bool) for t in texts]
     for blobs in bins:
-        found, most = traced(lambda: suffix_dedup._ranges(blobs, 50, 12))  # noqa: B023
-        assert most < 11
+        found, most = _traced(lambda: suffix_dedup._ranges(blobs, 50, 12))  # noqa: B023
+        assert most < 11, most
         for r in found.to_pylist():
             for a, b in zip(r["lo"], r["hi"], strict=True):
                 gone[r["doc_id"]][a:b] = True
@@ -191,6 +200,40 @@ def test_strings_are_binned_and_settled_in_little_memory():
         assert set(np.flatnonzero(gone[i]).tolist()) == want
 
 
+def test_a_common_passage_travels_once_for_many_texts(monkeypatch):
+    """An anchor that very many texts hold, also again and again at equal steps: equal segments are one, whatever their ids; also if their
+    hashes say nothing, and in parts of few occurrences."""
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passage, turn, long = some(120), some(8), some(64)
+    texts = []
+    for k in range(400):
+        other = [passage, passage[rng.randint(0, 40) :], turn * rng.randint(7, 60), long * rng.randint(1, 6), passage + some(3) + passage]
+        texts.append((some(rng.randint(0, 60)) + other[k % 5] + some(rng.randint(0, 60))).encode())
+    first, want = {}, set()
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 49):
+            if first.setdefault(t[p : p + 50], i) < i:
+                want.add((i, p))
+    for spread, mixed in ((1 << 18, suffix_dedup._mixed), (50, suffix_dedup._mixed), (50, lambda h: h & np.uint64(3))):
+        monkeypatch.setattr(suffix_dedup, "SPREAD", spread)
+        with monkeypatch.context() as m:
+            m.setattr(suffix_dedup, "_mixed", mixed)
+            ((blobs,), _) = _blobs(texts, 1)
+        found = suffix_dedup._ranges(blobs, 50, 12).to_pylist()
+        assert {(r["doc_id"], p) for r in found for a, b in zip(r["lo"], r["hi"], strict=True) for p in range(a, b)} == want
+    monkeypatch.undo()
+    repeats = [(turn * 4_000).encode()] * 200
+    (many,), _ = _blobs(repeats, 1)
+    found, most = _traced(lambda: suffix_dedup._ranges(many, 50, 12))
+    gone = np.zeros((200, 32_000), bool)
+    for r in found.to_pylist():
+        for a, b in zip(r["lo"], r["hi"], strict=True):
+            gone[r["doc_id"], a:b] = True
+    assert not gone[0].any() and gone[1:, :-49].all() and not gone[:, -49:].any()
+    assert sum(map(len, many)) < 2_000 and most < 0.5, (sum(map(len, many)), most)
+
+
 def test_pairs_with_a_group_are_not_listed(spark, monkeypatch):
     """Groups of edited copies, most of them out of each other's reach: rows of the joins by node grow with the nodes, not with a group's
     pairs, whether a member is stored in the hot lists or meets them from outside; families are compared whole, also in parts."""
